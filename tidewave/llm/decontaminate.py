@@ -73,7 +73,7 @@ def find_hits(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "doc
     rows = _hashed(rows, lengths).select("rid", "id", "text_hash", F.size("words").alias("n_words"), "words", F.posexplode("w").alias("at", "hash"))
     marks = _hashed(windows, lengths)
     # an item window is its own only run of its length, and has none of the longer ones that stand before
-    own = marks.select(F.element_at("w", 2).alias("hash"), F.col("words").alias("i_words"), F.col("len").alias("i_len"), "items")
+    own = marks.select(F.get("w", F.lit(1)).alias("hash"), F.col("words").alias("i_words"), F.col("len").alias("i_len"), "items")
     mark = docs.sparkSession.createDataFrame([(0, [], 0, [])], own.schema)
     own = own.unionByName(mark)
     start = F.lit(1)  # where the runs of a length begin in w

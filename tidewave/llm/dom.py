@@ -26,6 +26,8 @@ DRESS_WORDS = frozenset(
 )
 HEADER_WORDS = frozenset("header headers siteheader pageheader".split())
 MAIN_WORDS = frozenset("article main".split())
+#: Elements nested deeper than this get no node of their own.
+DEPTH = 120
 
 
 @dataclass
@@ -74,7 +76,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The root of a page's block tree, and its text blocks with their nodes, in page order."""
     root = Node("#root", "#root")
     stack: list[tuple[str, Node | None]] = [("#root", root)]  # open elements; inline ones have no node
-    here, buffer, blocks = root, [], []
+    here, buffer, blocks, depth = root, [], [], 0
 
     def flush() -> None:
         if buffer:
@@ -85,9 +87,10 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                 blocks.append((here, text))
 
     def pop_to(k: int) -> None:
-        nonlocal here
-        if any(n for _, n in stack[k:]):
+        nonlocal here, depth
+        if any(n or t in BLOCK for t, n in stack[k:]):
             flush()
+        depth -= sum(1 for _, n in stack[k:] if n)
         del stack[k:]
         here = next(n for _, n in reversed(stack) if n)
 
@@ -138,6 +141,9 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                 flush()
             continue
         new = _node(tag, m[3], here)
+        if new and depth >= DEPTH and tag not in RAW:
+            flush()
+            new = None
         if new:
             flush()
             here.children.append(new)
@@ -147,7 +153,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                 continue
             if m[3].endswith("/") and tag == "svg":
                 continue
-            here = new
+            here, depth = new, depth + 1
         elif tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n

@@ -3,10 +3,9 @@
 Documents become pieces of at most `capacity` tokens. Pieces are dealt into partitions, and each
 partition packs its own by best-fit decreasing. Lower bounds from dual feasible functions, over the
 partition's own lengths, say how few sequences it could need: a partition that needs no more is
-certified and closed. The others, and all sequences that aren't full while the whole is above the
-bound of all lengths together, give back what lies in sequences with room; those pieces are dealt again
-into fewer partitions and packed anew, until the bound is met, one partition holds all that is open, or
-a round gains nothing.
+certified and closed. The others exchange all their pieces: these are dealt again, into half as many partitions,
+and packed anew, until all are certified, the bound of all lengths together is met, one partition
+holds all that is open, or the rounds are over.
 
 Only the counts of lengths (at most `capacity` numbers) and one line of figures a round reach the driver.
 
@@ -30,7 +29,8 @@ from .tokens import encoder
 
 #: Pieces that one task packs at most, on average.
 TASK_PIECES = 100_000
-ROUNDS = 6
+#: Each round's tasks may hold twice as many as the last one's, so the last holds 2 ** (ROUNDS - 1) times as many.
+ROUNDS = 4
 
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -104,9 +104,9 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def _round(pieces: DataFrame, number: int, parts: int, capacity: int) -> DataFrame:
-    """pieces, dealt into parts tasks and packed there; adds sequence_id, offset, room (of its sequence) and gap (sequences of its task above the task's bound)."""
+    """pieces, dealt into parts tasks and packed there; adds sequence_id, offset and gap (sequences of its task above the task's bound)."""
     names = pieces.columns
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long, room long, gap long"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long, gap long"
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -117,15 +117,19 @@ def _round(pieces: DataFrame, number: int, parts: int, capacity: int) -> DataFra
         pdf = pd.concat(got, ignore_index=True)
         lengths = pdf["length"].to_numpy(np.int64)
         seq, offset, n = best_fit_decreasing(lengths, capacity)
-        fill = np.bincount(seq, weights=lengths, minlength=n).astype(np.int64)
         gap = n - lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
         part = TaskContext.get().partitionId()
-        yield pdf[names].assign(sequence_id=(number << 56) | (part << 32) | seq, offset=offset, room=capacity - fill[seq], gap=gap)
+        yield pdf[names].assign(sequence_id=(number << 56) | (part << 32) | seq, offset=offset, gap=gap)
 
     key = F.xxhash64(*[c for c in names if c in ("ids_crc32", "piece", "start", names[0])], F.lit(number))
     return pieces.repartition(parts, key).mapInPandas(pack, schema)
 
 
+def _settled(capacity: int):
+    """Packed by a certified partition, or as long as a sequence."""
+    return (F.col("gap") <= 0) | (F.col("length") == capacity)
+
+
 def pack(spark: SparkSession, pieces: DataFrame, capacity: int = 1024, task_pieces: int = TASK_PIECES, rounds: int = ROUNDS) -> DataFrame:
     """pieces (any columns; length at most capacity) with sequence_id and offset."""
     names = pieces.columns
@@ -134,18 +138,16 @@ def pack(spark: SparkSession, pieces: DataFrame, capacity: int = 1024, task_piec
         counts[r["length"]] = r["count"]
     bound, closed, used = lower_bound(counts, capacity), [], 0
     open_, n = pieces, int(counts.sum())
-    last = None
     for number in range(rounds):
-        parts = max(1, math.ceil(n / task_pieces))
+        parts = max(1, math.ceil(n / (task_pieces << number)))
         packed = cut(_round(open_, number, parts, capacity), "packed")
-        total = packed.where("offset = 0").agg(F.count("*").alias("bins"), F.count(F.when(F.col("room") == 0, 1)).alias("full"), F.coalesce(F.max("gap"), F.lit(0)).alias("gap")).first()
-        if used + total["bins"] <= bound or parts == 1 or number == rounds - 1 or total["bins"] - total["full"] == last:
+        total = packed.where("offset = 0").agg(F.count("*").alias("bins"), F.count(F.when(_settled(capacity), 1)).alias("settled")).first()
+        if used + total["bins"] <= bound or parts == 1 or number == rounds - 1 or total["bins"] == total["settled"]:
             closed.append(packed.select(*names, "sequence_id", "offset"))
             break
-        # above the bound of the whole, a certified partition's last sequences still have room that others can use
-        closed.append(packed.where("room = 0").select(*names, "sequence_id", "offset"))
-        open_ = packed.where("room > 0").select(*names)
-        used, last, n = used + total["full"], total["bins"] - total["full"], open_.count()
+        closed.append(packed.where(_settled(capacity)).select(*names, "sequence_id", "offset"))
+        open_ = packed.where(~_settled(capacity)).select(*names)
+        used, n = used + total["settled"], open_.count()
     out = closed[0]
     for c in closed[1:]:
         out = out.unionByName(c)

@@ -26,6 +26,8 @@ SAMPLE = 4096
 PLACES = (0, 1, 2, 3, 5, 8)
 FILTERS, BLOCK, PAD, SYMBOLS = 12, 128, 512, 513
 LAGS = range(2, 33)
+NEVER = -1e9  # the response at a padding place
+GAP = 36  # places between texts, so that no text sees another
 STEPS, BATCH, RATE = 700, 64, 0.01
 PIECE = 2048  # blocks whose responses are in memory at a time
 
@@ -38,26 +40,20 @@ class Model:
 
 
 def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts as one sequence of symbols, each padded to whole blocks (at least one); and the first block of each, and the end."""
+    """All texts as one sequence of symbols, each padded by GAP places and to whole blocks; and the first block of each, and the end."""
     lengths = np.array([len(t) for t in texts])
-    n_blocks = np.maximum(1, -(-lengths // BLOCK))
+    n_blocks = -(-(lengths + GAP) // BLOCK)
     first = np.concatenate([[0], np.cumsum(n_blocks)])
-    raw = np.zeros(first[-1] * BLOCK + 64, np.uint8)
-    pad = np.ones(len(raw), bool)
+    raw = np.full(first[-1] * BLOCK + 64, 255, np.uint8)  # no byte of UTF-8
     for t, f in zip(texts, first, strict=False):
         raw[f * BLOCK : f * BLOCK + len(t)] = np.frombuffer(t, np.uint8)
-        pad[f * BLOCK : f * BLOCK + len(t)] = False
+    pad = raw == 255
     four = np.zeros(len(raw), np.uint32)
     for k in range(4):
         four[: len(raw) - 3] |= raw[k : len(raw) - 3 + k].astype(np.uint32) << np.uint32(8 * k)
     again = np.zeros(len(raw), bool)
     for lag in LAGS:
         again[lag:] |= four[lag:] == four[:-lag]
-    for f in first[:-1]:  # what stands before a text isn't its own
-        if f:
-            start = slice(f * BLOCK, f * BLOCK + max(LAGS))
-            own = four[start]
-            again[start] = [any(i >= lag and own[i] == own[i - lag] for lag in LAGS) for i in range(len(own))]
     out = raw.astype(np.int16) + np.int16(256) * again
     out[pad] = PAD
     return out, first
@@ -104,7 +100,7 @@ def score(model: Model, texts: list[bytes]) -> np.ndarray:
 def train(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     m = Model(rng.normal(0, 0.1, (len(PLACES), SYMBOLS, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.3, 2 * FILTERS + 1).astype(np.float32))
-    m.tables[:, PAD] = 0
+    m.tables[1:, PAD], m.tables[0, PAD] = 0, NEVER
     m.head[-1] = 0
     if not len(texts):
         m.head[:] = 0
@@ -140,7 +136,7 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int
             a += 0.1 * (gw - a)
             b += 0.001 * (gw * gw - b)
             w -= (rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-        m.tables[:, PAD] = 0
+        m.tables[1:, PAD], m.tables[0, PAD] = 0, NEVER
     return m
 
 
