@@ -106,23 +106,26 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def _round(pieces: DataFrame, number: int, parts: int, capacity: int) -> DataFrame:
     """pieces, dealt into parts tasks and packed there; adds sequence_id, offset and gap (sequences of its task above the task's bound)."""
     names = pieces.columns
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long, gap long"
+    same = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:  # the lengths of a batch in turn, so that all parts get the same mixture
+            rank = np.empty(len(pdf), np.int64)
+            rank[np.argsort(pdf["length"].to_numpy(), kind="stable")] = np.arange(len(pdf))
+            yield pdf.assign(part=(rank + zlib.crc32(f"{number} {len(pdf)} {pdf['length'].sum()}".encode())) % parts)
 
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = list(batches)
         if not got:
             return
-        pdf = pd.concat(got, ignore_index=True)
-        lengths = pdf["length"].to_numpy(np.int64)
-        seq, offset, n = best_fit_decreasing(lengths, capacity)
-        gap = n - lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-        part = TaskContext.get().partitionId()
-        yield pdf[names].assign(sequence_id=(number << 56) | (part << 32) | seq, offset=offset, gap=gap)
-
-    key = F.xxhash64(*[c for c in names if c in ("ids_crc32", "piece", "start", names[0])], F.lit(number))
-    return pieces.repartition(parts, key).mapInPandas(pack, schema)
+        for part, pdf in pd.concat(got, ignore_index=True).groupby("part"):
+            lengths = pdf["length"].to_numpy(np.int64)
+            seq, offset, n = best_fit_decreasing(lengths, capacity)
+            gap = n - lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+            yield pdf[names].assign(sequence_id=(number << 56) | (int(part) << 32) | seq, offset=offset, gap=gap)
+
+    dealt = pieces.mapInPandas(deal, same + ", part long").repartition(parts, "part")
+    return dealt.mapInPandas(pack, same + ", sequence_id long, offset long, gap long")
 
 
 def _settled(capacity: int):
