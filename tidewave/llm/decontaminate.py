@@ -70,7 +70,8 @@ def find_hits(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "doc
     size = windows.agg(F.coalesce(F.sum(F.length(F.array_join("words", " ")) + F.length(F.array_join("items", " ")) + 64), F.lit(0)).alias("b"), F.array_sort(F.collect_set("len")).alias("k")).first()
     lengths = sorted(size["k"], reverse=True)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), words_of(F.col(text_col)).alias("words"))
-    rows = _hashed(rows, lengths).select("rid", "id", "text_hash", F.size("words").alias("n_words"), "words", F.posexplode("w").alias("at", "hash"))
+    # the outer form: w is never empty, and for the inner one the optimizer would add a filter that builds all of w again
+    rows = _hashed(rows, lengths).select("rid", "id", "text_hash", F.size("words").alias("n_words"), "words", F.posexplode_outer("w").alias("at", "hash"))
     marks = _hashed(windows, lengths)
     # an item window is its own only run of its length, and has none of the longer ones that stand before
     own = marks.select(F.get("w", F.lit(1)).alias("hash"), F.col("words").alias("i_words"), F.col("len").alias("i_len"), "items")
