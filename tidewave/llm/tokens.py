@@ -9,14 +9,14 @@ whole encoder, and texts with other white space next to a space go there uncut.
 
 from __future__ import annotations
 
+import gc
 import re
+from array import array
 from collections.abc import Iterable
 
-import numpy as np
-
 PLAIN = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 #: Parts whose ids a task remembers at most.
-REMEMBER = 600_000
+REMEMBER = 500_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -27,36 +27,41 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Parts(dict):
-    """part -> its ids as bytes, None where a text with that part must not be cut; lead stands before each part."""
+    """part -> its ids as bytes, None where a text with that part must not be cut; lead stands before each part.
 
-    def __init__(self, lib, kind: np.dtype, lead: str):
-        self.lib, self.model, self.kind, self.lead, self.letters = lib, lib.model, kind, lead, _byte_letters()
-        self.mark, self.tails = lead.translate(self.letters), {"": b""}
+    Two generations: what is met is in this dict; when it is full, it becomes `old`, and parts met again come back from there.
+    """
 
-    def _ids(self, s: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(s if s.isascii() else s.encode().decode("latin-1").translate(self.letters))], dtype=self.kind).tobytes()
+    def __init__(self, lib, code: str, lead: str):
+        self.lib, self.model, self.code, self.lead, self.letters = lib, lib.model, code, lead, _byte_letters()
+        self.mark, self.tails, self.old = lead.translate(self.letters), {"": b""}, {}
 
-    def _word(self, s: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(s)], dtype=self.kind).tobytes()
+    def age(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
+    def _ids(self, s: str) -> bytes:
+        s = s.translate(self.letters) if s.isascii() else s.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(s)]).tobytes()
 
     def __missing__(self, part: str) -> bytes | None:
-        m = PLAIN.fullmatch(part)
-        if m and m[1].isalpha():
+        if part in self.old:
+            out = self.old[part]
+        elif part.isalpha():  # one pre-token
+            out = array(self.code, [t.id for t in self.model.tokenize(self.mark + part)]).tobytes() if part.isascii() else self._ids(self.lead + part)
+        elif (m := PLAIN.fullmatch(part)) and m[1].isalpha():  # and another behind it
             letters, tail = m.groups()
             if tail not in self.tails:
                 self.tails[tail] = self._ids(tail)
-            if letters.isascii():
-                word = self._word(self.mark + letters)
-            else:
-                word = self._ids(self.lead + letters)
-            self[part] = out = word + self.tails[tail]
-            return out
+            word = self.get(letters) or self.old.get(letters)
+            if word is None:
+                word = self[letters] = self.__missing__(letters)
+            out = word + self.tails[tail]
         elif not part or part[0].isspace() or part[-1].isspace():
-            self[part] = None
-            return None
+            out = None
         else:
-            ids = self.lib.encode(self.lead + part, add_special_tokens=False).ids
-        self[part] = out = np.array(ids, dtype=self.kind).tobytes()
+            out = array(self.code, self.lib.encode(self.lead + part, add_special_tokens=False).ids).tobytes()
+        self[part] = out
         return out
 
 
@@ -68,20 +73,25 @@ class Encoder:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
-        self.kind, self.remember = np.dtype(kind), remember
-        self.heads, self.rest = _Parts(self.lib, self.kind, ""), _Parts(self.lib, self.kind, " ")
+        self.remember, code = remember, {"<u2": "H", "<u4": "I"}[kind]
+        self.heads, self.rest = _Parts(self.lib, code, ""), _Parts(self.lib, code, " ")
+        self.code = code
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         for known in (self.heads, self.rest):
             if len(known) > self.remember:
-                known.clear()
+                known.age()
         out = []
-        for t in texts:
-            head, *rest = t.split(" ")
-            try:
-                out.append(self.heads[head] + b"".join(map(self.rest.__getitem__, rest)))
-            except TypeError:  # a None among them
-                out.append(np.array(self.lib.encode(t, add_special_tokens=False).ids, dtype=self.kind).tobytes())
+        gc.disable()  # nothing here makes cycles, and collections would walk all that is remembered
+        try:
+            for t in texts:
+                head, *rest = t.split(" ")
+                try:
+                    out.append(self.heads[head] + b"".join(map(self.rest.__getitem__, rest)))
+                except TypeError:  # a None among them
+                    out.append(array(self.code, self.lib.encode(t, add_special_tokens=False).ids).tobytes())
+        finally:
+            gc.enable()
         return out
 
 
