@@ -55,8 +55,8 @@ def merged_sums(partials: DataFrame, by: list[str]) -> DataFrame:
     """One row of SUMS per key; arrays are added by zip_with in a SQL aggregate, element by element."""
     add = {}
     for c in ("sx", "xx", "sy", "xy", "yy"):
-        cells = partials.select(*by, F.posexplode(c).alias("k", "v")).groupBy(*by, "k").agg(F.sum("v").alias("v"))
-        add[c] = cells.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias(c))
+        cells = partials.select(*by, F.posexplode(c).alias("_k", "_v")).groupBy(*by, "_k").agg(F.sum("_v").alias("_v"))
+        add[c] = cells.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_v"))), lambda s: s["_v"]).alias(c))
     out = partials.groupBy(*by).agg(F.sum("n").alias("n"))
     for c in add.values():
         out = out.join(c, by)
@@ -150,7 +150,7 @@ def nested_cv(stories: dict, alphas: list[float], folds: int = 5) -> list[dict]:
             if not fit:
                 continue
             f, h = centred(total([stories[i] for i in fit])), centred(total([stories[i] for i in held]))
-            scores += [float(np.nanmean(np.append(correlations(h, w), np.nan if False else 0.0)[:-1])) for w in ridge_solutions(f["xx"], f["xy"], alphas)]
+            scores += [float(np.nanmean(correlations(h, w))) for w in ridge_solutions(f["xx"], f["xy"], alphas)]
         alpha = min(zip(-np.nan_to_num(scores, nan=-np.inf), alphas, strict=True))[1]
         f, h = centred(total([stories[i] for i in train])), centred(total([stories[i] for i in test]))
         r = correlations(h, ridge_solutions(f["xx"], f["xy"], [alpha])[0])

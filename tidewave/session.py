@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -42,3 +43,16 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return ship(spark)
+
+
+_own: list[str] = []
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="spark-tidewave-"))
+        base = f"file://{_own[0]}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
