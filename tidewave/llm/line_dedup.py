@@ -41,7 +41,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, top: int = TOP, salts: int = SALTS) -> DataFrame:
     """Per document with lines to drop: _ld_id, _ld_text (its text's hash) and bitmap, an array of (word, bits)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_ld_id"), F.xxhash64(text).alias("_ld_text"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    # the outer form: a text has a line at least, and for the inner one the optimizer would add a filter that splits each text again
+    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_ld_id"), F.xxhash64(text).alias("_ld_text"), F.posexplode_outer(F.split(text, "\n")).alias("pos", "line"))
     keys = base.select("_ld_id", "_ld_text", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     rows = keys.select("_ld_id", "_ld_text", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
     n = partitions(docs.sparkSession)
