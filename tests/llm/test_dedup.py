@@ -134,6 +134,14 @@ def test_suffix_dedup(spark, seed, group):
         assert len(r["kept"]) == r["n_bytes"] - r["n_removed"]
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_suffix_dedup_of_hot_grams(spark, monkeypatch, seed):
+    rows = repeat_rows(seed)
+    monkeypatch.setattr(suffix_dedup, "_hot_grams", lambda s, n: [r["gram"] for r in s.select("gram").distinct().collect()][::2])
+    got = suffix_dedup.remove_repeats(frame(spark, rows), length=40, gram=8).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in got) == repeats_by_hand(rows, 40)
+
+
 def test_suffix_dedup_in_small_parts(spark, monkeypatch):
     rows = repeat_rows(1)
     monkeypatch.setattr(suffix_dedup, "BUFFER", 97)

@@ -14,7 +14,8 @@ way induced sorting does, with common-prefix values carried along and cut at `le
    follows from that by a stable sort on that byte, and their common prefixes by range minima, and so on from right to left until the windows end.
    A window repeats if its common prefix with a neighbour is at least `length`.
 
-Groups with more than `group` different contexts are dealt out by window digest instead, exactly. All bytes of anything
+K-grams that are very frequent (approx_top_k names them) aren't sifted by one task each: their contexts are counted
+with partial sums and joined back. Groups with more than `group` different contexts are dealt out by window digest instead, exactly. All bytes of anything
 larger than a group stay in Spark's spillable sorts.
 
 Defined cases: null text is the empty text; texts shorter than `length` lose nothing; rows equal in id
@@ -37,6 +38,8 @@ from .common import cut, partitions
 
 GRAM = 32
 GROUP = 50_000
+#: K-grams that approx_top_k names at most, and the number of its counters.
+TOP, COUNTERS = 64, 4096
 BUFFER = 2 << 20  # bytes that a task looks at at a time
 PLACE = (1 << 23) - 1
 _pow: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -281,10 +284,16 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = GRAM, group:
             yield fixed(_tuples(pdf["id"].tolist(), pdf["th"].tolist(), [bytes(b) for b in pdf["b"]], length, gram))
 
     suffixes = base.where(F.length("b") >= length).mapInPandas(tuples, f"gram long, ctx long, id {id_type}, th long, at long")
-    ordered = suffixes.repartition(n, "gram").sortWithinPartitions("gram", "ctx", "id", "th", "at")
+    suffixes = cut(suffixes, "suffixes")
+    hot = _hot_grams(suffixes, n)
+    ordered = suffixes.where(~F.col("gram").isin(hot)).repartition(n, "gram").sortWithinPartitions("gram", "ctx", "id", "th", "at")
     sifted = cut(ordered.mapInPandas(lambda x: map(fixed, _sift(x, length)), f"kind int, gram long, ctx long, id {id_type}, th long, at long, n long"), "suffix-tuples")
     sure = sifted.where("kind = 0").select("id", "th", F.col("at").alias("s"), F.col("n").alias("e"))
-    asked = sifted.where("kind = 1").groupBy(F.col("id").alias("a_id"), F.col("th").alias("a_th")).agg(F.collect_list(F.struct("gram", "at", "n")).alias("asked"))
+    asking = sifted.where("kind = 1").select("gram", "id", "th", "at", "n")
+    if hot:
+        hot_sure, hot_asking = _sift_hot(suffixes.where(F.col("gram").isin(hot)), length)
+        sure, asking = sure.unionByName(hot_sure), asking.unionByName(hot_asking)
+    asked = asking.groupBy(F.col("id").alias("a_id"), F.col("th").alias("a_th")).agg(F.collect_list(F.struct("gram", "at", "n")).alias("asked"))
 
     # the bytes of a tuple's windows: from its first window's start to its last one's end
     have = base.join(asked, base["id"].eqNullSafe(asked["a_id"]) & (base["th"] == asked["a_th"])).dropDuplicates(["id", "th"])
@@ -304,6 +313,24 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = GRAM, group:
     return cut(out, "spans")
 
 
+def _hot_grams(suffixes: DataFrame, n: int) -> list[int]:
+    """K-grams so frequent that one would be more than a fourth of a task's share, at most TOP; how tuples are dealt depends on it, not the result."""
+    r = suffixes.agg(F.expr(f"approx_top_k(gram, {TOP}, {COUNTERS})").alias("t"), F.count("*").alias("n")).first()
+    return [x["item"] for x in (r["t"] or []) if x["count"] > r["n"] / (4 * n)]
+
+
+def _sift_hot(suffixes: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """What _sift does, for tuples of hot k-grams: contexts are counted before any shuffle, and the tuples meet those that repeat in a join that AQE splits."""
+    first = F.min(F.struct("id", "th", "at"))
+    contexts = cut(suffixes.groupBy("gram", "ctx").agg(F.count("*").alias("n"), first.alias("first")), "hot-contexts")
+    again = contexts.where("n > 1").select("gram", "ctx")
+    lo = F.expr("shiftright(at, 16)")
+    sure = suffixes.join(again, ["gram", "ctx"], "left_semi").select("id", "th", lo.alias("s"), (lo + F.expr("at & 255L") + length).alias("e"))
+    several = contexts.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")  # at most TOP rows
+    asking = contexts.join(F.broadcast(several), "gram").select("gram", "first.id", "first.th", "first.at", F.least("n", F.lit(2)).cast("long").alias("n"))
+    return sure, asking
+
+
 def _by_windows(contexts: DataFrame, length: int) -> DataFrame:
     """The same answer for contexts of very large groups: each window's digest is counted."""
     whole = contexts.select("id", "th", "n", F.expr("shiftright(at, 16)").alias("lo"), F.expr("at & 255L").alias("m"), F.concat("left", "right").alias("b"))
