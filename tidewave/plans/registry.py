@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import model_plans, quality_plans, relational_plans, statistics_plans, streaming_plans  # noqa: F401
+from . import model_plans, quality_plans, recording_plans, relational_plans, statistics_plans, streaming_plans  # noqa: F401
 from .base import QUERIES, SQL
 
 
