@@ -169,7 +169,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 def test_main_text_leaves_out_what_a_page_is_dressed_with(spark):
     body = '<article><header><h1>A &amp; B {i}</h1></header><div class="share">Share!</div><p>One\n  two<br>three &lt;x&gt; {i}<p><b>Bold <i>it</i>{i}</b></p><ul><li>first<li>second {i}</ul><figure><figcaption>cap</figcaption></figure><footer>by me</footer></article>'
     rows = [(i, "http://h.net/a", (PAGE.replace("{main}", body)).replace("{i}", str(i)), "x") for i in range(5)]
-    got = html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    got = html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string").withColumn("wrapper", F.lit(1)).withColumn("host", F.lit(2))).collect()
     for r in got:
         i = r["page_id"]
         assert r["text"] == f"A & B {i}\n\nOne two three <x> {i}\n\nBold it{i}\n\nfirst\n\nsecond {i}\n\ncap"
@@ -241,6 +241,7 @@ def test_url_rules(spark, limit):
     rules = list({x[1]: x for x in reversed(rules)}.values())
     df = spark.createDataFrame([(i, u) for i, u in enumerate(URLS * 2)], "page_id long, url string")
     got = url_rules.judge_urls(df, rules, broadcast_bytes=limit).collect()
+    assert url_rules.judge_urls(df.withColumn("host", F.lit(1)).withColumn("rule", F.lit(2)), rules, broadcast_bytes=limit).columns == ["page_id", "url", "host", "path", "rule", "verdict"]
     assert {(x["page_id"], x["host"], x["path"], x["rule"], x["verdict"]) for x in got} == {(i, *judge_by_hand(u, rules)) for i, u in enumerate(URLS * 2)}
     assert url_rules.judge_urls(df.limit(0), rules, broadcast_bytes=limit).count() == 0
 
@@ -288,7 +289,7 @@ def test_decontamination(spark, n, limit):
 
 def test_spans_or_documents_are_removed(spark):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen"
-    docs = spark.createDataFrame([(1, f"Before, {item.upper()}! After (all).", "a"), (2, "clean text", "b"), (None, None, "c"), (3, f"{item} " + "other " * 400, "d")], "doc_id long, text string, spans string")
+    docs = spark.createDataFrame([(1, f"Before, {item.upper()}! After (all).", "a"), (2, "clean text", "b"), (None, None, "c"), (3, f"{item} " + "other " * 400, "d")], "doc_id long, text string, spans string").withColumns({c: F.lit(1) for c in ("words", "hash", "at", "items", "n_hit")})
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
     cut_ = {r["spans"]: r["text"] for r in decontaminate.decontaminate(docs, items, "spans").collect()}
     assert cut_["a"].split() == ["Before,", "!", "After", "(all)."] and cut_["b"] == "clean text" and cut_["c"] is None
@@ -342,13 +343,14 @@ def test_the_pipeline_stage_by_stage(spark, lib):
 
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300)
     extra = spark.createDataFrame([(10_001, None, "en", "s", 0), (10_002, "", None, None, None), (None, "A text without an id, of fine quality.", "en", "s", 9)], docs.schema)
-    docs = docs.unionByName(extra).withColumn("score", F.lit("own"))
+    docs = docs.unionByName(extra).withColumns({c: F.lit("own") for c in ("score", "predicted", "bitmap", "n_lines", "line", "words", "fp", "id", "hash", "spans")})
     names = [n for n, _ in p.STAGES]
     assert names == ["quality_classifier", "line_dedup", "simhash_near_dedup", "decontamination", "best_fit_packing"]
     kept = {}
     for name, stage in p.STAGES:
         out = spark.createDataFrame(stage(spark, docs, "/root/testdata/sf0.01").collect(), None if name == names[-1] else docs.schema)
         if name != names[-1]:
+            assert {r["score"] for r in out.collect()} == {r["bitmap"] for r in out.collect()} == {"own"}
             assert out.columns == docs.columns and 0 < out.count() <= docs.count()
             kept[name], docs = (docs.collect(), out.collect()), out
     before, after = kept["line_dedup"]

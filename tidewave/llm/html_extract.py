@@ -213,7 +213,7 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
 
 def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """pages with text (the main text) and n_chars (its code points)."""
-    wrappers = cut(induce(pages, url_col, html_col), "wrappers").withColumnRenamed("host", "_host")
+    wrappers = cut(induce(pages, url_col, html_col), "wrappers").toDF("_host", "_wrapper")
     joined = pages.join(wrappers, host_of(F.col(url_col)) == F.col("_host"), "left")
 
     @F.pandas_udf("string")
@@ -230,4 +230,4 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
             yield pd.Series(rows, dtype="object")
 
     names = [c for c in pages.columns if c not in ("text", "n_chars")]
-    return joined.withColumn("_text", text(F.col(html_col), "wrapper")).select(*names, F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
+    return joined.withColumn("_text", text(F.col(html_col), "_wrapper")).select(*names, F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))

@@ -12,8 +12,8 @@ keys are salted changes the work's layout only, never the result.
 
 Defined cases: null or empty text is one empty line; rows with a null id are left as they are and make
 no other line a repeat; rows of one id are one document, each row with its own bitmap (keyed by id and
-text hash); an empty table gives an empty result; other columns pass through and may have any name but
-those starting with "_ld_".
+text hash); an empty table gives an empty result; other columns pass through, but for
+those named like an output, which it replaces, and may have any name that doesn't start with "_ld_".
 """
 
 from __future__ import annotations
@@ -62,6 +62,7 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, top: int = TOP, salts: int = SALTS) -> DataFrame:
     """docs with text_col replaced by the kept lines, and columns n_lines, n_dropped and bitmap (null: nothing to drop)."""
+    docs = docs.drop("n_lines", "n_dropped", "bitmap")
     maps = drop_bitmaps(docs, id_col, text_col, min_chars, top, salts)
     out = _keyed(docs, id_col, text_col).join(maps, ["_ld_id", "_ld_text"], "left")
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")

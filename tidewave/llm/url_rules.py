@@ -9,7 +9,7 @@ that are joined to the distinct URLs by token instead.
 
 Defined cases: a null URL or one without "://" has an empty host and path and no rule; repeated URLs and
 rows each get their verdict; a rule given twice counts once, its first action; an empty table gives an
-empty result; further columns pass through, and may not be named host, path, rule or verdict.
+empty result; further columns pass through, but for those named host, path, rule or verdict, which are replaced.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ def index_rules(rules: Iterable[tuple[str, str]]) -> list[tuple[str, str, str, s
 
 def judge_urls(df: DataFrame, rules: Iterable[tuple[str, str]], default: str = "allow", url_col: str = "url", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """df with host, path, rule (null: none fits) and verdict."""
-    index = index_rules(rules)
+    index, df = index_rules(rules), df.drop("host", "path", "rule", "verdict")
     parsed = df.withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
     if sum(len(x) + 64 for row in index for x in row) > broadcast_bytes:
         return _judge_by_join(parsed, index, default)
