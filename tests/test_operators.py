@@ -320,3 +320,33 @@ def test_every_query_has_its_sql_or_a_test(spark):
     q, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(q) and "window_quality_rollup" in q
     assert e.entry(spark).count() > 0
+
+
+def test_model_hooks(spark):
+    from tidewave.sources import models
+
+    files = spark.createDataFrame([("a", bytearray(np.arange(3, dtype="<f4").tobytes()))], "path string, content binary")
+    assert rows(models.decoded_audio(files, lambda b: np.frombuffer(b, "<f4"), 2), "t") == [("a", 0, 0.0), ("a", 1, 1.0), ("a", 2, 2.0)]
+    words = spark.createDataFrame([(1, "ab"), (1, "abcd"), (2, "a")], "w int, s string")
+    got = models.pooled(models.embedded(words, lambda: lambda xs: [[len(s), 1.0] for s in xs], "s").withColumnRenamed("y", "v"), ["w"], "v")
+    assert rows(got, "w") == [(1, [3.0, 1.0]), (2, [1.0, 1.0])]
+
+
+def test_recordings(spark):
+    from tidewave.operators import recordings
+
+    groups = spark.createDataFrame([(1, 1, 2), (2, 3, 3)], "group_id int, first int, last int")
+    trials = spark.createDataFrame([(1,), (2,), (3,)], "trial int")
+    assert rows(recordings.trials_of_groups(groups, trials), "trial") == [(1, 1), (2, 1), (3, 2)]
+    with pytest.raises(Exception, match="no or several"):
+        recordings.trials_of_groups(groups, trials.unionByName(spark.createDataFrame([(9,)], "trial int"))).collect()
+    s = spark.createDataFrame([("a", t, float(t)) for t in range(6)], "k string, t long, x double")
+    e = spark.createDataFrame([("a", 0.2, 0.2)], "k string, start double, duration double")
+    assert [r["t"] for r in recordings.segments(s, e, ["k"], "t", 10.0).orderBy("t").collect()] == [2, 3, 4]
+    r = s.withColumn("rate", F.lit(100))
+    assert rows(recordings.to_rate(r, ["k"], "t", "rate", 50).select("t", "x"), "t") == [(0, 0.0), (1, 2.0), (2, 4.0)]
+    with pytest.raises(Exception, match="multiple"):
+        recordings.to_rate(r, ["k"], "t", "rate", 30).collect()
+    short = spark.createDataFrame([("a", 5, 9)], "k string, have long, need long")
+    with pytest.raises(Exception, match="ends before"):
+        recordings.completeness([spark.createDataFrame([("a",)], "k string")], short, ["k"], "have", "need").collect()
