@@ -241,6 +241,38 @@ def test_bucket_links_join_all_that_is_near(far):
         assert {i: int(union.label[i]) for i in own} == components_by_hand(own, far)
 
 
+def test_similar_groups(spark):
+    r = random.Random(6)
+    vocabulary = [f"W{i}" for i in range(900)]
+    rows, groups = [], defaultdict(set)
+    for g in range(40):
+        base = [r.choice(vocabulary) for _ in range(r.choice([60, 150, 400]))]
+        for _ in range(r.choice([1, 2, 5])):
+            words = list(base)
+            for _ in range(len(words) // 100 + r.randrange(2)):
+                words[r.randrange(len(words))] = r.choice(vocabulary)
+            groups[g].add(len(rows))
+            rows.append((len(rows), " ".join(words), "x"))
+    n = len(rows)
+    rows += [(n, None, None), (n + 1, "", None), (n + 2, rows[0][1], "x"), (n + 2, rows[0][1], "x")]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(frame(spark, rows)).collect()}
+    assert set(got) == {i for i, *_ in rows} and got[n] == got[n + 1] == n and got[n + 2] == got[0]
+    sets = {i: simhash.shingles(t, 5) for i, t, _ in rows}
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    own = {i: g for g, ids in groups.items() for i in ids}
+    assert all(own[got[i]] == own[i] for i in own), "unlike texts are joined"
+    pairs = [(a, b) for ids in groups.values() for a in ids for b in ids if a < b and near(a, b)]
+    assert len(pairs) > 20 and sum(got[a] == got[b] for a, b in pairs) >= 0.7 * len(pairs)
+    assert simhash.similar_groups(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("agree", [1, 3])
+def test_any_masks_give_the_same_components(spark, agree):
+    fps = spark.createDataFrame(sorted({(fingerprint_by_hand(t, 4) - (1 << 64) * (fingerprint_by_hand(t, 4) >> 63),) for _, t, _ in near_rows()}), "fp long")
+    want, got = (sorted(map(tuple, simhash.components(spark, simhash.near_links(fps, 4, agree=k, steps=s)).collect())) for k, s in ((2, ()), (agree, (0, 1, 3))))
+    assert got == want
+
+
 @pytest.mark.parametrize("far", [0, 4, 8])
 def test_masks_leave_no_pair_out(far):
     r = random.Random(far)

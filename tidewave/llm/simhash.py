@@ -115,9 +115,11 @@ class _Union:
         return made
 
 
-def bucket_links(bucket: np.ndarray, fp: np.ndarray, max_differing: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def bucket_links(bucket: np.ndarray, fp: np.ndarray, max_differing: int, steps: tuple[int, ...] = ()) -> list[tuple[int, int]]:
     """Links (row, row) that connect, within each bucket, all that pairs at most max_differing bits apart connect.
 
+    With steps, smaller distances come first, so links are no longer (by a step) than they need be.
+
     bucket: ascending numbers; fp: uint64, in Gray order within each bucket.
     """
     n = len(fp)
@@ -145,12 +147,13 @@ def bucket_links(bucket: np.ndarray, fp: np.ndarray, max_differing: int, side: n
 
     top = len(levels) - 1
     roots = np.arange(len(levels[top][3]))
-    stack, same, dirty = [(top, roots, roots)], whole(), False
+    same, dirty = whole(), False
+    stack = [(far, top, roots, roots) for far in sorted({*steps, max_differing}, reverse=True)]
     while stack:
-        level, a, b = stack.pop()
+        far, level, a, b = stack.pop()
         if len(a) > SLICE // FANOUT**2:
             half = len(a) // 2
-            stack += [(level, a[half:], b[half:]), (level, a[:half], b[:half])]
+            stack += [(far, level, a[half:], b[half:]), (far, level, a[:half], b[:half])]
             continue
         if dirty:
             same, dirty = whole(), False
@@ -171,19 +174,26 @@ def bucket_links(bucket: np.ndarray, fp: np.ndarray, max_differing: int, side: n
         i, x, y = np.nonzero(ok)
         ca, cb = ca[i, x], cb[i, y]
         _, mask, value, _ = levels[level - 1]
-        near = np.bitwise_count((value[ca] ^ value[cb]) & mask[ca] & mask[cb]) <= max_differing
+        near = np.bitwise_count((value[ca] ^ value[cb]) & mask[ca] & mask[cb]) <= far
         ca, cb = ca[near], cb[near]
         if len(ca):
             twin = ca == cb  # groups with themselves go first: what they join needs no comparison later
-            stack.append((level - 1, ca[~twin], cb[~twin]))
-            stack.append((level - 1, ca[twin], cb[twin]))
+            stack.append((far, level - 1, ca[~twin], cb[~twin]))
+            stack.append((far, level - 1, ca[twin], cb[twin]))
     return out
 
 
-def near_links(fps: DataFrame, max_differing: int = 4, block: int = BLOCK) -> DataFrame:
-    """fps: distinct fp. Links a, b between fingerprints that connect all pairs at most max_differing bits apart."""
+def near_links(fps: DataFrame, max_differing: int = 4, block: int = BLOCK, steps: tuple[int, ...] = (), agree: int | None = None) -> DataFrame:
+    """fps: distinct fp. Links a, b between fingerprints that connect all pairs at most max_differing bits apart.
+
+    agree: blocks in a mask, 2 or as many more as keep an average bucket under a tenth of a block. It sets the work's layout only.
+    """
     spark = fps.sparkSession
-    each = F.array(*[F.lit(_signed(m)) for m in masks(max_differing)])
+    if agree is None:
+        n, agree = fps.count(), 2
+        while n >> (64 * agree // (max_differing + agree)) > block // 10:
+            agree += 1
+    each = F.array(*[F.lit(_signed(m)) for m in masks(max_differing, agree)])
     rows = fps.select("fp", F.posexplode(each).alias("m", "mask")).select("fp", "m", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     large = rows.groupBy("m", "key").count().where(F.col("count") > block)
     large = cut(large.select("m", "key", F.ceil(F.col("count") / block).cast("int").alias("k")), "large-buckets")
@@ -206,7 +216,7 @@ def near_links(fps: DataFrame, max_differing: int = 4, block: int = BLOCK) -> Da
             count = np.bincount(bucket)
             some = count[bucket] > 1
             fp = pdf["fp"].to_numpy()[some]
-            pairs = bucket_links(bucket[some], fp.view(np.uint64), max_differing) if len(fp) else []
+            pairs = bucket_links(bucket[some], fp.view(np.uint64), max_differing, steps) if len(fp) else []
             a, b = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
             return pd.DataFrame({"a": fp[a], "b": fp[b]})
 
@@ -265,3 +275,43 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_differing: int = 4, s
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = named.join(lows, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select(id_col, *keep, "fp", "component_id")
+
+
+def shingles(text: str | None, k: int) -> set[str]:
+    words = WORD.findall(text.translate(ASCII_LOWER)) if text else []
+    return {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_differing: int = 10, steps: tuple[int, ...] = (2, 4, 6, 8), seed: int = 42, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """Groups by similarity of shingle sets (Jaccard), with fingerprints as the index: id_col, component_id.
+
+    Equal texts are one node. Nodes of one fingerprint are linked to its smallest; fingerprints at most max_differing bits apart
+    by the shortest links that connect them. Each link's similarity is then computed from whole texts, and those below the
+    threshold are cut. Rows of one id are one document.
+    """
+    spark = docs.sparkSession
+    plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
+    marked = cut(fingerprints(plain, shingle, seed, "id", "t", ("th",)), "fingerprints")
+    nodes = cut(marked.groupBy("fp", "th").agg(F.min("id").alias("node")), "nodes")
+    lows = nodes.groupBy("fp").agg(F.min(F.struct("node", "th")).alias("low"))
+    within = nodes.join(lows, "fp").where(F.col("node") != F.col("low.node")).select(F.col("node").alias("a"), F.col("th").alias("a_th"), F.col("low.node").alias("b"), F.col("low.th").alias("b_th"))
+    links = cut(near_links(lows.select("fp"), max_differing, block, steps), "near-links").distinct()
+    end = lambda x: lows.select(F.col("fp").alias(x), F.col("low.node").alias(f"n_{x}"), F.col("low.th").alias(f"th_{x}"))
+    between = links.join(end("a"), "a").join(end("b"), "b").select(F.col("n_a").alias("a"), F.col("th_a").alias("a_th"), F.col("n_b").alias("b"), F.col("th_b").alias("b_th"))
+    pairs = cut(within.unionByName(between), "pairs")
+    texts = plain.select("id", "th", "t").dropDuplicates(["id", "th"])
+    side = lambda x: texts.select(F.col("id").alias(x), F.col("th").alias(f"{x}_th"), F.col("t").alias(f"{x}_t"))
+
+    @F.pandas_udf("double")
+    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            p, q = shingles(x, shingle), shingles(y, shingle)
+            out.append(len(p & q) / len(p | q) if p or q else 1.0)
+        return pd.Series(out, dtype="float64")
+
+    judged = pairs.join(side("a"), ["a", "a_th"]).join(side("b"), ["b", "b_th"]).withColumn("j", jaccard("a_t", "b_t"))
+    good = cut(judged.where(F.col("j") >= similarity).select("a", "b"), "similar")
+    roots = cut(components(spark, good), "roots")
+    named = nodes.join(roots, "node", "left").select("fp", "th", F.coalesce("root", "node").alias("component_id"))
+    return marked.join(named, ["fp", "th"]).select(F.col("id").alias(id_col), "component_id")
