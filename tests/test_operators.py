@@ -209,7 +209,11 @@ def test_leave_one_out_is_the_direct_correlation(spark):
 
 def test_window_quality_of_one_loud_channel(spark):
     df = spark.createDataFrame([(0, c, float(v)) for c in "abc" for v in (10, 11, 12, 400 if c == "c" else 13)], "w int, c string, x double")
-    r = quality.window_quality(df, ["w"], "c", "x").first()
+    r = quality.window_quality(df, ["w"], "c", "x", peak=300.0).first()
+    assert quality.window_quality(df, ["w"], "c", "x").first()["absolute_bad"] == 0
+    timed = df.groupBy("w", "c").agg(F.array_sort(F.collect_list("x")).alias("x")).select("w", "c", F.posexplode("x").alias("t", "x"))
+    power = quality.window_quality(timed, ["w"], "c", "x", t="t").first()["field_power"]
+    assert power == pytest.approx(np.sqrt(np.mean([0, 0, 0, np.var([1.5, 1.5, 388.5])])))
     assert r["absolute_bad"] == 1 and r["max_abs"] == pytest.approx(388.5) and r["high_fraction"] == pytest.approx(1 / 12) and r["n_samples"] == 12
 
 

@@ -10,10 +10,11 @@ from ..functions.names import joined_reasons, reasons
 from ..functions.statistics import log_floor, with_robust_z
 
 
-def window_quality(samples: DataFrame, window: list[str], channel: str, x: str, high: float = 150.0) -> DataFrame:
+def window_quality(samples: DataFrame, window: list[str], channel: str, x: str, high: float = 150.0, peak: float = 1000.0, fraction: float = 0.2, t: str | None = None) -> DataFrame:
     """One row per window: medians over channels of rms and peak to peak, the largest |x - median|, the fraction of it above `high`, and absolute_bad.
 
-    Amplitudes are taken from each channel's median in the window.
+    Amplitudes are taken from each channel's median in the window. A window is bad above the peak or the fraction. With t, the samples'
+    common time, it also has field_power: the root mean square over time of the deviation between channels.
     """
     w = Window.partitionBy(*window, channel)
     centred = samples.withColumn("_c", F.col(x) - F.median(x).over(w))
@@ -31,7 +32,10 @@ def window_quality(samples: DataFrame, window: list[str], channel: str, x: str,
         (F.sum("n_high") / F.sum("n")).alias("high_fraction"),
         F.sum("n").alias("n_samples"),
     )
-    return out.withColumn("absolute_bad", ((F.col("max_abs") > 2 * high) | (F.col("high_fraction") > 0.2)).cast("int"))
+    if t is not None:
+        between = centred.groupBy(*window, t).agg(F.var_pop("_c").alias("_v"))
+        out = out.join(between.groupBy(*window).agg(F.sqrt(F.avg("_v")).alias("field_power")), window)
+    return out.withColumn("absolute_bad", ((F.col("max_abs") > peak) | (F.col("high_fraction") > fraction)).cast("int"))
 
 
 def channel_accumulators(samples: DataFrame, by: list[str], chunk: str, order: list[str], x: str, jump: float, flat: float = 1e-9, limits: tuple[float, ...] = (100.0, 150.0, 200.0)) -> DataFrame:
@@ -53,6 +57,17 @@ def channel_accumulators(samples: DataFrame, by: list[str], chunk: str, order: l
     )
 
 
+def reference_correlation(samples: DataFrame, by: list[str], channel: str, t: str, x: str) -> DataFrame:
+    """r of each channel with the median over channels at each time: by, channel, r."""
+    mid = F.median(x).over(Window.partitionBy(*by, t))
+    return samples.withColumn("_m", mid).groupBy(*by, channel).agg(F.corr(x, "_m").alias("r"))
+
+
+def channel_rules(nonfinite: Column, flat: Column, high: Column, jumps: Column, r: Column, limits: dict[str, float]) -> dict[str, Column]:
+    """The named rules of a bad channel over its accumulated fractions; limits: flat, high, jumps and r."""
+    return {"nonfinite": nonfinite > 0, "flat": flat > limits["flat"], "high_amplitude": high > limits["high"], "jumps": jumps > limits["jumps"], "low_correlation": r < limits["r"]}
+
+
 def finished(acc: DataFrame) -> DataFrame:
     """Means, deviations and fractions of accumulators; the variance is never negative."""
     var = F.greatest(F.lit(0.0), F.col("squares") / F.col("n_samples") - F.pow(F.col("total") / F.col("n_samples"), 2))

@@ -12,7 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 # Frequency bands in Hz.
-BANDS = {"delta": (1.0, 4.0), "theta": (4.0, 8.0), "alpha": (8.0, 13.0), "beta": (13.0, 30.0), "gamma": (30.0, 45.0)}
+BANDS = {
+    "slow": (0.5, 1.0),
+    "delta": (1.0, 4.0),
+    "theta": (4.0, 8.0),
+    "alpha": (8.0, 13.0),
+    "beta": (13.0, 30.0),
+    "high": (30.0, 45.0),
+    "line": (49.0, 51.0),
+    "muscle": (55.0, 100.0),
+}
 
 
 def rational(source: float, target: float) -> tuple[int, int]:

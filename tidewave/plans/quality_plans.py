@@ -17,7 +17,7 @@ _WQ = f"""WITH {SAMPLES},
 
 
 def _window_quality(spark, sf_dir):
-    return quality.window_quality(samples(spark, sf_dir), ["session", "hour"], "channel", "value")
+    return quality.window_quality(samples(spark, sf_dir), ["session", "hour"], "channel", "value", peak=300.0)
 
 
 @query(_WQ + " SELECT session, hour, round(median_rms, 6) AS median_rms, round(median_ptp, 6) AS median_ptp, round(max_abs, 6) AS max_abs, round(high_fraction, 6) AS high_fraction, n_samples, absolute_bad FROM bad")
@@ -211,3 +211,22 @@ def average_reference(spark, sf_dir):
     """Each vector less its mean over channels."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(windows.average_reference(F.col("embedding"))).alias("channel", "x"))
     return e.select("vec_id", F.col("channel").cast("long").alias("channel"), F.round("x", 6).alias("x"))
+
+
+@query(f"""WITH {SAMPLES}, h AS (SELECT session, hour, channel, avg(value) AS v FROM s GROUP BY ALL), m AS (SELECT *, median(v) OVER (PARTITION BY session, hour) AS m FROM h)
+    SELECT session, channel, round(corr(v, m), 6) AS r FROM m GROUP BY ALL""")
+def reference_correlation(spark, sf_dir):
+    """Each channel's hourly course against the median over channels."""
+    h = samples(spark, sf_dir).groupBy("session", "hour", "channel").agg(F.avg("value").alias("v"))
+    return rounded(quality.reference_correlation(h, ["session"], "channel", "hour", "v"))
+
+
+@query(_ACC + """, f AS (SELECT subject, channel, nonfinite > 0 AS a, flat / greatest(1, differences) > 0.01 AS b, above_150 / n_samples > 0.05 AS c, jumps / greatest(1, differences) > 0.25 AS d FROM acc)
+    SELECT subject, channel, array_to_string(list_filter([CASE WHEN a THEN 'nonfinite' END, CASE WHEN b THEN 'flat' END, CASE WHEN c THEN 'high_amplitude' END, CASE WHEN d THEN 'jumps' END], lambda x: x IS NOT NULL), ';') AS reasons FROM f""")
+def channel_rules(spark, sf_dir):
+    """Named rules over accumulated fractions."""
+    from ..functions.names import reasons
+
+    d = F.greatest(F.lit(1), F.col("differences"))
+    rules = quality.channel_rules(F.col("nonfinite"), F.col("flat") / d, F.col("above_150") / F.col("n_samples"), F.col("jumps") / d, F.lit(1.0), {"flat": 0.01, "high": 0.05, "jumps": 0.25, "r": 0.0})
+    return _accumulated(spark, sf_dir).select("subject", "channel", F.array_join(reasons(**rules), ";").alias("reasons"))
