@@ -16,7 +16,7 @@ from collections.abc import Iterable
 
 PLAIN = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 #: Parts whose ids a task remembers at most.
-REMEMBER = 800_000
+REMEMBER = 600_000
 
 
 def _byte_letters() -> dict[int, str]:
