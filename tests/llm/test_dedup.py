@@ -266,6 +266,23 @@ def test_similar_groups(spark):
     assert simhash.similar_groups(frame(spark, [])).count() == 0
 
 
+def test_pairs_of_just_the_similarity_are_found(spark):
+    r = random.Random(11)
+    rows, pairs = [], []
+    for _ in range(300):
+        base = [f"W{r.randrange(5000)}" for _ in range(400)] + ["again and again"] * r.choice([0, 0, 60])
+        other = list(base[:400]) + ["again and again"] * r.choice([0, 60])
+        for at in r.sample(range(0, 400, 5), 7):
+            other[at + 2] = "changed"
+        p, q = " ".join(base), " ".join(other)
+        a, b = simhash.shingles(p, 5), simhash.shingles(q, 5)
+        if 0.8 <= len(a & b) / len(a | b) < 0.85:
+            pairs.append((len(rows), len(rows) + 1))
+        rows += [(len(rows), p, "x"), (len(rows) + 1, q, "x")]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(frame(spark, rows)).collect()}
+    assert len(pairs) > 150 and sum(got[a] == got[b] for a, b in pairs) >= 0.995 * len(pairs)
+
+
 @pytest.mark.parametrize("agree", [1, 3])
 def test_any_masks_give_the_same_components(spark, agree):
     fps = spark.createDataFrame(sorted({(fingerprint_by_hand(t, 4) - (1 << 64) * (fingerprint_by_hand(t, 4) >> 63),) for _, t, _ in near_rows()}), "fp long")
