@@ -283,6 +283,28 @@ def test_pairs_of_just_the_similarity_are_found(spark):
     assert len(pairs) > 150 and sum(got[a] == got[b] for a, b in pairs) >= 0.995 * len(pairs)
 
 
+def test_a_cut_link_hides_no_pair(spark):
+    """Families around a base with the smallest id: most members are below 0.8 to it and to most others."""
+    r = random.Random(3)
+    rows, near = [], []
+    for g in range(3):
+        base = [f"B{g}x{r.randrange(5000)}" for _ in range(300)]
+        rows.append((len(rows), " ".join(base), "x"))
+        for _ in range(100):
+            words = list(base)
+            for at in r.sample(range(0, 300, 10), 9):
+                words[at + 2] = f"W{r.randrange(5000)}"
+            twin = list(words)
+            for at in r.sample(range(5, 300, 10), 5):
+                twin[at + 2] = f"W{r.randrange(5000)}"
+            near.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(words), "x"), (len(rows) + 1, " ".join([*twin, *["again and again"] * 60]), "x")]
+    sets = {i: simhash.shingles(t, 5) for i, t, _ in rows}
+    assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in near)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(frame(spark, rows)).collect()}
+    assert [(a, b) for a, b in near if got[a] != got[b]] == []
+
+
 @pytest.mark.parametrize("agree", [1, 3])
 def test_any_masks_give_the_same_components(spark, agree):
     fps = spark.createDataFrame(sorted({(fingerprint_by_hand(t, 4) - (1 << 64) * (fingerprint_by_hand(t, 4) >> 63),) for _, t, _ in near_rows()}), "fp long")

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pandas as pd
@@ -314,7 +314,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
     Equal texts are one node. Nodes of one fingerprint are linked to its smallest; fingerprints at most max_differing bits apart
     by the shortest links that connect them; nodes that share a band to the smallest that has it. Bands see sets, so they also
     find pairs whose fingerprints lie far apart. Each link's similarity is then computed from whole texts, and those below the
-    threshold are cut. Rows of one id are one document.
+    threshold are cut. Bands that still hold several groups link their members to other heads as long as that joins many, and then
+    all pairs of members from different groups are tested, so no pair of a band is given up for links that were cut. Rows of one
+    id are one document.
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
@@ -328,7 +330,6 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
     banded = nodes.select("node", "th", "size", F.posexplode("bands").alias("band", "key"))
     heads = banded.groupBy("band", "key").agg(F.min(F.struct("node", "th")).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     shared = banded.join(heads, ["band", "key"]).where(F.col("node") != F.col("low.node")).select(F.col("node").alias("a"), F.col("th").alias("a_th"), F.col("low.node").alias("b"), F.col("low.th").alias("b_th"))
-    pairs = cut(within.unionByName(between).unionByName(shared).distinct(), "pairs")
     texts = plain.select("id", "th", "t").dropDuplicates(["id", "th"])
     side = lambda x: texts.select(F.col("id").alias(x), F.col("th").alias(f"{x}_th"), F.col("t").alias(f"{x}_t"))
 
@@ -340,8 +341,38 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
             out.append(len(p & q) / len(p | q) if p or q else 1.0)
         return pd.Series(out, dtype="float64")
 
-    judged = pairs.join(side("a"), ["a", "a_th"]).join(side("b"), ["b", "b_th"]).withColumn("j", jaccard("a_t", "b_t"))
-    good = cut(judged.where(F.col("j") >= similarity).select("a", "b"), "similar")
-    roots = cut(components(spark, good), "roots")
+    def judge(pairs: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The pairs that were not tested before, the larger end first, and those of them that are similar."""
+        x, y = F.struct(F.col("a").alias("n"), F.col("a_th").alias("th")), F.struct(F.col("b").alias("n"), F.col("b_th").alias("th"))
+        both = pairs.select(F.greatest(x, y).alias("x"), F.least(x, y).alias("y")).select(F.col("x.n").alias("a"), F.col("x.th").alias("a_th"), F.col("y.n").alias("b"), F.col("y.th").alias("b_th")).distinct()
+        new = cut(both if tested is None else both.join(tested, ["a", "a_th", "b", "b_th"], "left_anti"), "pairs")
+        judged = new.join(side("a"), ["a", "a_th"]).join(side("b"), ["b", "b_th"]).withColumn("j", jaccard("a_t", "b_t"))
+        return new, cut(judged.where(F.col("j") >= similarity).select("a", "b"), "similar")
+
+    def open_bands(roots: DataFrame) -> DataFrame:
+        """The members of bands that hold more than one group, with their group."""
+        at = banded.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
+        mixed = at.groupBy("band", "key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("band", "key")
+        return cut(at.join(mixed, ["band", "key"]), "open-bands")
+
+    tested, good = judge(within.unionByName(between).unionByName(shared), None)
+    for turn in count(1):
+        roots = cut(components(spark, good), "roots")
+        members = open_bands(roots)
+        n = members.select("node").distinct().count()
+        if not n:
+            break
+        heads = members.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "th", "group", "size")).alias("head"))
+        sized = lambda x, y: F.least(x, y) >= F.greatest(x, y) * similarity - 1e-9  # noqa: E731  (or they can't be similar)
+        stars = members.join(heads, ["band", "key"]).where((F.col("group") != F.col("head.group")) & sized(F.col("size"), F.col("head.size")))
+        new, found = judge(stars.select(F.col("node").alias("a"), F.col("th").alias("a_th"), F.col("head.node").alias("b"), F.col("head.th").alias("b_th")), tested)
+        tested, good = tested.unionByName(new), good.unionByName(found)
+        if found.count() * 10 < n:  # other heads join little more: all that is left meets
+            members = open_bands(cut(components(spark, good), "roots"))
+            other = members.select("band", "key", F.col("node").alias("b"), F.col("th").alias("b_th"), F.col("group").alias("b_group"), F.col("size").alias("b_size"))
+            met = members.join(other, ["band", "key"]).where((F.col("group") < F.col("b_group")) & sized(F.col("size"), F.col("b_size")))
+            good = good.unionByName(judge(met.select(F.col("node").alias("a"), F.col("th").alias("a_th"), "b", "b_th"), tested)[1])
+            roots = cut(components(spark, good), "roots")
+            break
     named = nodes.join(roots, "node", "left").select("fp", "th", F.coalesce("root", "node").alias("component_id"))
     return marked.join(named, ["fp", "th"]).select(F.col("id").alias(id_col), "component_id")
