@@ -82,6 +82,31 @@ def test_retrieval_of_the_target_itself(spark):
     assert retrieval.draw_candidates(3, [0, 5, 10], 5, 5, 1) == [None] * 3
 
 
+def test_retrieval_by_brute_force(spark):
+    r = np.random.default_rng(5)
+    data = [(g, int(t) * 700 + 3, r.normal(size=3).tolist(), [0.0] * 3 if t < 4 else r.normal(size=3).tolist()) for g, k in (("a", 43), ("b", 19), (None, 25), ("c", 30)) for t in r.permutation(k)]
+    df = spark.createDataFrame(data, "g string, t long, p array<double>, y array<double>")
+    found = retrieval.retrieval_windows(df.repartition(4), ["g"], "t", "p", "y", 4, 5, 9)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+    got = {(x["g"], x["segment"]): x for x in found.collect()}
+    want = 0
+    for g in ("a", "b", None, "c"):
+        own = sorted((x for x in data if x[0] == g), key=lambda x: x[1])
+        k = len(own) // 4
+        p, y = (np.array([x[c] for x in own[: k * 4]]).reshape(k, -1) for c in (2, 3))
+        for i, c in enumerate(retrieval.draw_candidates(k, [j * 4 for j in range(k)], 4, 5, 9)):
+            if c is None:
+                continue
+            want += 1
+            x = got[g, i]
+            s = [0.0 if y[j].std() == 0 else np.corrcoef(p[i], y[j])[0, 1] for j in c]
+            assert x["candidates"] == c and x["start"] == i * 4 and np.allclose(x["scores"], s)
+            at = c.index(i)
+            assert (x["positive_label"], x["predicted_label"]) == (at, int(np.argmax(s))) and x["positive_rank"] == 1 + sum(v > s[at] for v in s)
+            assert abs(x["margin"] - (s[at] - np.delete(s, at).mean())) < 1e-9 and x["correct"] == (np.argmax(s) == at)
+    assert len(got) == want > 20
+
+
 def test_ranks_and_ties(spark):
     df = spark.createDataFrame([(1, 0, 0.5, False), (1, 1, 0.5, True), (1, 2, 0.1, False)], "q int, p int, s double, pos boolean")
     r = retrieval.ranked(df, ["q"], "p", "s", "pos").first()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +13,9 @@ from pyspark.sql.window import Window
 
 from ..functions.missing import ratio_or_zero
 
+#: Samples are numbered within spans of so many values of t.
+SPAN = 4096
+
 
 def split(trials: list[int], seed: int, subject: int, group: int, validation: int = 2, test: int = 2) -> dict[int, str]:
     """Train, validation and test trials; the draw depends on seed, subject and group only."""
@@ -57,35 +63,60 @@ def ranked(scored: DataFrame, query: list[str], position: str, score: str, posit
     return g.select(*query, "positive_score", "positive_label", F.col("_best.p").alias("predicted_label"), (1 + F.size(F.expr("filter(_neg, x -> x > positive_score)"))).alias("positive_rank"), (F.col("_best.p") == F.col("positive_label")).cast("int").alias("correct"), neg.alias("mean_negative"), (F.col("positive_score") - neg).alias("margin"))
 
 
+def drawn(k: int, n: int, seed: int) -> Iterator[list[int]]:
+    """draw_candidates for k windows side by side, where a window overlaps itself only: by index arithmetic, without a pool."""
+    rng = np.random.default_rng(seed)
+    for i in range(k if k >= n else 0):
+        j = rng.choice(k - 1, n - 1, replace=False)
+        chosen = [i, *(j + (j >= i)).tolist()]
+        yield [int(chosen[m]) for m in rng.permutation(n)]
+
+
 def retrieval_windows(prediction: DataFrame, by: list[str], t: str, predicted: str, target: str, width: int, n: int, seed: int) -> DataFrame:
     """N-way retrieval over the full windows of each trial: one row per window with its candidates, scores, rank and margin.
 
-    The draws of a trial are one sequence, so a trial is one group; it holds one story's samples.
+    t is a number. The draws of a trial are one sequence, as in the reference, of numbers of windows alone; samples are numbered
+    within spans of t, windows are put together by key and number, and meet their candidates in a join, so no trial is gathered.
     """
-    schema = ", ".join(f"{b} {prediction.schema[b].dataType.simpleString()}" for b in by) + ", segment int, start long, candidates array<int>, scores array<double>, positive_label int, predicted_label int, positive_rank int, correct int, margin double"
-    names = [*by, "segment", "start", "candidates", "scores", "positive_label", "predicted_label", "positive_rank", "correct", "margin"]
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(t)
-        p, y = (np.stack(pdf[c].to_numpy()).astype(np.float64) for c in (predicted, target))
-        k = len(p) // width
-        flat = lambda m: (lambda z: z - z.mean(1, keepdims=True))(m[: k * width].reshape(k, -1))
-        if not k:
-            return pd.DataFrame(columns=names)
-        a, b = flat(p), flat(y)
-        den = np.sqrt(np.outer((a * a).sum(1), (b * b).sum(1)))
-        r = np.where(den > 1e-12, a @ b.T / np.where(den > 1e-12, den, 1), 0.0)
-        rows = []
-        for i, c in enumerate(draw_candidates(k, [j * width for j in range(k)], width, n, seed)):
-            if c is None:
-                continue
-            s = r[i, c]
-            at = c.index(i)
-            others = np.delete(s, at)
-            rows.append((*key, i, i * width, c, s.tolist(), at, int(s.argmax()), int(1 + (others > s[at]).sum()), int(s.argmax() == at), float(s[at] - others.mean())))
-        return pd.DataFrame(rows, columns=names)
-
-    return prediction.groupBy(*by).applyInPandas(run, schema)
+    g = F.struct(*by)
+    x = prediction.select(g.alias("g"), F.floor(F.col(t) / SPAN).alias("span"), F.col(t).alias("t"), F.col(predicted).alias("p"), F.col(target).alias("y"))
+    spans = x.groupBy("g", "span").agg(F.count(F.lit(1)).alias("rows"))
+    before = Window.partitionBy("g").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("g", F.coalesce("span", F.lit(-1)).alias("span"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
+    x = x.withColumn("span", F.coalesce("span", F.lit(-1))).withColumn("i", F.row_number().over(Window.partitionBy("g", "span").orderBy("t")) - 1)
+    x = x.join(spans, ["g", "span"]).withColumn("i", F.col("i") + F.col("before"))
+    parts = x.groupBy("g", F.floor(F.col("i") / width).cast("int").alias("w")).agg(F.array_sort(F.collect_list(F.struct("i", "p", "y"))).alias("v"))  # width rows
+    flat = lambda c: F.flatten(F.transform("v", lambda r: F.transform(r[c], lambda v: v.cast("double"))))
+    centred = lambda c: F.transform(c, lambda v: v - F.aggregate(c, F.lit(0.0), lambda s, u: s + u) / F.size(c))
+    full = parts.where(F.size("v") == width)
+    side = lambda c, name: full.select("g", F.col("w").alias(f"w_{name}"), flat(c).alias("v")).select("g", f"w_{name}", F.explode(F.array(centred(F.col("v")))).alias(name))
+
+    def draws(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, k in zip(pdf["key"], pdf["k"], strict=True):
+                numbers = enumerate(drawn(int(k), n, seed))
+                while rows := list(islice(numbers, 10_000)):
+                    yield pd.DataFrame([(key, i, c) for i, c in rows], columns=["key", "w_a", "candidates"])
+
+    trials = _trials(prediction, g, width)
+    dealt = trials.select("key", "k").repartition("key").mapInPandas(draws, "key string, w_a int, candidates array<int>")
+    asked = dealt.join(trials.select("key", "g"), "key").select("g", "w_a", F.posexplode("candidates").alias("at", "w_b"))
+    j = asked.join(side("p", "a"), ["g", "w_a"]).join(side("y", "b"), ["g", "w_b"])
+    den = F.sqrt(dot(F.col("a"), F.col("a")) * dot(F.col("b"), F.col("b")))
+    j = j.select("g", "w_a", "at", "w_b", F.when(den > 1e-12, dot(F.col("a"), F.col("b")) / den).otherwise(0.0).alias("score"))
+    q = j.groupBy("g", "w_a").agg(F.array_sort(F.collect_list(F.struct("at", "w_b", "score"))).alias("c"))  # n candidates
+    q = q.select(F.col("g.*"), F.col("w_a").alias("segment"), F.col("c.w_b").alias("candidates"), F.col("c.score").alias("scores"))
+    q = q.withColumn("positive_label", (F.array_position("candidates", F.col("segment")) - 1).cast("int")).withColumn("predicted_label", (F.array_position("scores", F.array_max("scores")) - 1).cast("int"))
+    own = F.element_at("scores", F.col("positive_label") + 1)
+    others = F.filter("scores", lambda v, i: i != F.col("positive_label"))
+    rank = (1 + F.size(F.filter(others, lambda v: v > own))).cast("int")
+    margin = own - F.aggregate(others, F.lit(0.0), lambda s, v: s + v) / F.size(others)
+    return q.select(*by, "segment", (F.col("segment").cast("long") * width).alias("start"), "candidates", "scores", "positive_label", "predicted_label", rank.alias("positive_rank"), (F.col("predicted_label") == F.col("positive_label")).cast("int").alias("correct"), margin.alias("margin"))
+
+
+def _trials(prediction: DataFrame, g: Column, width: int) -> DataFrame:
+    """Per trial: its key as a struct and as text, and the number of its full windows."""
+    return prediction.groupBy(g.alias("g")).agg(F.count(F.lit(1)).alias("n")).select("g", F.to_json("g").alias("key"), F.floor(F.col("n") / width).alias("k"))
 
 
 def summary(rows: DataFrame, by: list[str], n: int) -> DataFrame:

@@ -55,10 +55,9 @@ def nested_cv(spark, sf_dir):
 def candidate_retrieval(spark, sf_dir):
     """Five-way retrieval of windows: a noisy copy of each trial's vectors against the vectors."""
     e = table(spark, sf_dir, "embeddings")
-    t = windows.numbered(e, ["label"], ["vec_id"])
     y = F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double"))
     p = F.transform(y, lambda v, i: v + F.sin(F.col("vec_id") * 3 + i) / 8)
-    return retrieval.retrieval_windows(t.select("label", "t", p.alias("p"), y.alias("y")), ["label"], "t", "p", "y", 4, 5, 123)
+    return retrieval.retrieval_windows(e.select("label", "vec_id", p.alias("p"), y.alias("y")), ["label"], "vec_id", "p", "y", 4, 5, 123)
 
 
 @query()
