@@ -107,6 +107,13 @@ def test_retrieval_by_brute_force(spark):
     assert len(got) == want > 20
 
 
+def test_permutations_are_as_many_as_in_the_reference(spark):
+    import __spark_entry__
+
+    p = [r["p"] for r in __spark_entry__.queries()["permutation_correlation"](spark, "/root/testdata/sf0.001").collect() if not math.isnan(r["p"])]
+    assert p and all(abs(v * 200_001 - round(v * 200_001)) < 1e-6 for v in p) and any(abs(v * 20_001 - round(v * 20_001)) > 1e-6 for v in p)
+
+
 def test_ranks_and_ties(spark):
     df = spark.createDataFrame([(1, 0, 0.5, False), (1, 1, 0.5, True), (1, 2, 0.1, False)], "q int, p int, s double, pos boolean")
     r = retrieval.ranked(df, ["q"], "p", "s", "pos").first()

@@ -170,6 +170,6 @@ def permutation_correlation(spark, sf_dir):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("session")
-        return pd.DataFrame([(pdf["channel"].iloc[0], st.permutation_p(pdf["x"], pdf["y"], 20260101, 20_000), len(pdf))], columns=["channel", "p", "n"])
+        return pd.DataFrame([(pdf["channel"].iloc[0], st.permutation_p(pdf["x"], pdf["y"], 20260101), len(pdf))], columns=["channel", "p", "n"])
 
     return d.groupBy("channel").applyInPandas(run, "channel string, p double, n long")
