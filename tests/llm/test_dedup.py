@@ -92,7 +92,7 @@ def test_line_dedup(spark, rows):
 
 
 def test_line_dedup_without_and_with_salted_keys_is_one_result(spark):
-    rows = line_rows(60, 8)
+    rows = line_rows(60, 8) + [(900, "\n".join(["the same old line", f"only here {i}"][i % 2] for i in range(70_000)), None)]
     a, b = (line_dedup.dedup_lines(frame(spark, rows), top=top, salts=5).select("doc_id", "text").collect() for top in (1, 64))
     assert Counter(map(tuple, a)) == Counter(map(tuple, b))
 
