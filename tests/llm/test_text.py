@@ -16,16 +16,14 @@ from tidewave.llm import decontaminate, html_extract, packing, quality, queries,
 
 SF = "/root/testdata/sf0.001"
 PATH = queries.tokenizer_path()
-ODD = [None, "", " ", "a", "  a b", "a ", "it's he'll don't, x' 's", "a  b\n\n c\nd", "x1 y2 3z", "<|endoftext|> a", "a\tb c", "éa été, l'été! 😀", "q \x1c r \x85s\u2003t \u00a0 u", "a_b c__ _", "½ ² Ⅷ x²", "w " * 5000, "z" * 20000]
+ODD = [None, "", " ", "a", "  a b", "a ", "it's he'll don't, x' 's", "a  b\n\n c\nd", "x1 y2 3z", "<|endoftext|> a", "a<|endoftext|>b <|endoftext|>", "<|endoftext| >", "a\tb c", "éa été, l'été! 😀", "q \x1c r \x85s\u2003t \u00a0 u", "a_b c__ _", "½ ² Ⅷ x²", "w " * 5000, "z" * 20000]
 
 
 @pytest.fixture(scope="module")
 def lib():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def ids_of(lib, text, end):
@@ -45,9 +43,17 @@ DOCS = "doc_id long, text string, piece int, start string"
 
 def test_encoder_gives_the_librarys_ids(spark, lib):
     texts = [t or "" for t in ODD] + [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    enc = tokens.Encoder(PATH, remember=50)
+    texts += ["漢字仮名交じり文、" * 3000, "Zm9vYmFyMTIz" * 80_000, " ".join(f"w{i}x" for i in range(20_000)), "天地 " * 50]
+    enc = tokens.Encoder(PATH, remember=60_000)
     for t, b in zip(texts, enc.encode(texts), strict=True):
         assert b == np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    for known in (enc.heads, enc.rest):
+        assert max(map(len, [*known, *known.old]), default=0) <= tokens.LONGEST
+        assert sum(len(k) + len(v or b"") + tokens.ENTRY for k, v in known.items()) <= 30_000
+
+
+def test_an_added_token_is_one_id(lib):
+    assert np.frombuffer(tokens.Encoder(PATH).encode(["a <|endoftext|> b"])[0], "<u4").tolist() == [64, 220, 50256, 275]
 
 
 def test_packing_is_whole_and_gapless(spark, lib):
@@ -118,6 +124,22 @@ def test_partitions_exchange_until_the_bound_is_met(spark):
     assert len(got) <= packing.best_fit_decreasing(np.array(lengths), 1024)[2] * 1.005 + 1
 
 
+def test_exchange_goes_on_as_long_as_it_gains(spark, monkeypatch):
+    """Six partitions that can't be certified by themselves: more than four rounds are run, none is given up while it gains."""
+    r = random.Random(7)
+    lengths = [r.choice([341, 342, 343, 512, 513, 170, 171, 683]) for _ in range(600)]
+    rows = spark.createDataFrame([(i, n, "x") for i, n in enumerate(lengths)], "doc_id long, length long, part string").withColumn("gap", F.lit("own"))
+    rounds = []
+    run = packing._round
+    monkeypatch.setattr(packing, "_round", lambda p, number, *a: rounds.append(number) or run(p, number, *a))
+    monkeypatch.setattr(packing, "IDLE", 5)
+    got = packing.pack(spark, rows, task_pieces=100)
+    assert got.columns == ["doc_id", "length", "part", "gap", "sequence_id", "offset"]
+    sums = got.groupBy("sequence_id").agg(F.sum("length").alias("s"), F.min("gap").alias("g")).collect()
+    assert len(rounds) > 4 and max(x["s"] for x in sums) <= 1024 and sum(x["s"] for x in sums) == sum(lengths) and {x["g"] for x in sums} == {"own"}
+    assert len(sums) <= packing.best_fit_decreasing(np.array(lengths), 1024)[2] * 1.02
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack(spark, packing.pieces_of(spark.createDataFrame([], DOCS), PATH)).count() == 0
 

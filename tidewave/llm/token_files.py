@@ -11,7 +11,7 @@ place at the end, so that a task run twice leaves one whole file. File systems a
 pyarrow.fs by the folder's URI.
 
 Defined cases: null text is the empty text, which is the end id alone; null ids come first; rows equal
-in id are ordered by text; an empty table writes no file and reads as no rows; further columns are ignored.
+in id are ordered by text; very long texts are one document in a frame of their own; an empty table writes no file and reads as no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -200,9 +200,19 @@ def _frames(rows: Iterable[tuple], with_ids: bool, id_type: str) -> Iterator[pd.
 
 
 def with_bases(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """files with base, the number of tokens in files of lower ranges. One row a file reaches the driver."""
+    """files with base, the number of tokens in files of lower ranges, which is read from the files' own indexes. One row a file reaches the driver."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for file, part in zip(pdf["file"], pdf["part"], strict=True):
+                system, path = _open_fs(file)
+                with system.open_input_file(path) as f:
+                    rows.append((file, part, sum(sum(lengths) for _, lengths in Reader(f).index)))
+            yield pd.DataFrame(rows, columns=["file", "part", "n_tokens"])
+
     base, out = 0, []
-    for r in sorted(files.collect(), key=lambda r: r["part"]):
+    for r in sorted(files.select("file", "part").mapInPandas(counted, "file string, part int, n_tokens long").collect(), key=lambda r: r["part"]):
         out.append((r["file"], base))
         base += r["n_tokens"]
     return spark.createDataFrame(out, "file string, base long")

@@ -2,9 +2,12 @@
 
 A single space between two characters that aren't white space always begins a new pre-token, so a text
 may be cut before such spaces and its parts encoded apart with the same ids. Encoder does that and
-keeps the ids of parts it has met, up to a fixed number. Parts that are letters with punctuation behind
+keeps the ids of short parts it has met, up to a fixed number of bytes. Parts that are letters with punctuation behind
 them are one or two pre-tokens, which go to the library's BPE model at once; all others go through its
-whole encoder, and texts with other white space next to a space go there uncut.
+whole encoder. Texts with other white space next to a space, and texts that hold one of the tokenizer's
+added tokens (which the library takes out before it cuts anything), go there uncut.
+
+Very long texts are encoded whole; a long part (an unspaced text, say) is encoded and forgotten.
 """
 
 from __future__ import annotations
@@ -15,8 +18,10 @@ from array import array
 from collections.abc import Iterable
 
 PLAIN = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
-#: Parts whose ids a task remembers at most.
-REMEMBER = 600_000
+#: Bytes of parts and ids that a process remembers in one generation at most (there are two), and the longest part remembered.
+REMEMBER, LONGEST = 120 << 20, 64
+#: What a part costs besides its letters and ids: two objects' headers and a place in the dictionary.
+ENTRY = 170
 
 
 def _byte_letters() -> dict[int, str]:
@@ -32,13 +37,18 @@ class _Parts(dict):
     Two generations: what is met is in this dict; when it is full, it becomes `old`, and parts met again come back from there.
     """
 
-    def __init__(self, lib, code: str, lead: str):
+    def __init__(self, lib, code: str, lead: str, remember: int):
         self.lib, self.model, self.code, self.lead, self.letters = lib, lib.model, code, lead, _byte_letters()
-        self.mark, self.tails, self.old = lead.translate(self.letters), {"": b""}, {}
+        self.mark, self.tails, self.old, self.bytes, self.remember = lead.translate(self.letters), {"": b""}, {}, 0, remember
 
-    def age(self) -> None:
-        self.old = dict(self)
-        self.clear()
+    def keep(self, part: str, ids: bytes | None) -> None:
+        if len(part) > LONGEST:
+            return
+        self.bytes += ENTRY + (len(part) if part.isascii() else 4 * len(part)) + len(ids or b"")
+        if self.bytes > self.remember:
+            self.old, self.bytes = dict(self), 0
+            self.clear()
+        self[part] = ids
 
     def _ids(self, s: str) -> bytes:
         s = s.translate(self.letters) if s.isascii() else s.encode().decode("latin-1").translate(self.letters)
@@ -51,17 +61,18 @@ class _Parts(dict):
             out = array(self.code, [t.id for t in self.model.tokenize(self.mark + part)]).tobytes() if part.isascii() else self._ids(self.lead + part)
         elif (m := PLAIN.fullmatch(part)) and m[1].isalpha():  # and another behind it
             letters, tail = m.groups()
-            if tail not in self.tails:
-                self.tails[tail] = self._ids(tail)
+            end = self.tails.get(tail)
+            if end is None:
+                end = self._ids(tail)
+                if len(tail) <= 8 and len(self.tails) < 10_000:
+                    self.tails[tail] = end
             word = self.get(letters) or self.old.get(letters)
-            if word is None:
-                word = self[letters] = self.__missing__(letters)
-            out = word + self.tails[tail]
+            out = (self.__missing__(letters) if word is None else word) + end
         elif not part or part[0].isspace() or part[-1].isspace():
             out = None
         else:
             out = array(self.code, self.lib.encode(self.lead + part, add_special_tokens=False).ids).tobytes()
-        self[part] = out
+        self.keep(part, out)
         return out
 
 
@@ -72,24 +83,27 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
-        self.remember, code = remember, {"<u2": "H", "<u4": "I"}[kind]
-        self.heads, self.rest = _Parts(self.lib, code, ""), _Parts(self.lib, code, " ")
-        self.code = code
+        self.code = {"<u2": "H", "<u4": "I"}[kind]
+        self.heads, self.rest = (_Parts(self.lib, self.code, lead, remember // 2) for lead in ("", " "))
+        added = [t.content for t in self.lib.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))).search if added else lambda t: None
+
+    def whole(self, text: str) -> bytes:
+        return array(self.code, self.lib.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        for known in (self.heads, self.rest):
-            if len(known) > self.remember:
-                known.age()
         out = []
         gc.disable()  # nothing here makes cycles, and collections would walk all that is remembered
         try:
             for t in texts:
+                if self.added(t):
+                    out.append(self.whole(t))
+                    continue
                 head, *rest = t.split(" ")
                 try:
                     out.append(self.heads[head] + b"".join(map(self.rest.__getitem__, rest)))
                 except TypeError:  # a None among them
-                    out.append(array(self.code, self.lib.encode(t, add_special_tokens=False).ids).tobytes())
+                    out.append(self.whole(t))
         finally:
             gc.enable()
         return out
