@@ -316,6 +316,8 @@ def test_spans_or_documents_are_removed(spark):
     cut_ = {r["spans"]: r["text"] for r in decontaminate.decontaminate(docs, items, "spans").collect()}
     assert cut_["a"].split() == ["Before,", "!", "After", "(all)."] and cut_["b"] == "clean text" and cut_["c"] is None
     assert {r["spans"] for r in decontaminate.decontaminate(docs, items).collect()} == {"b", "c", "d"}
+    many = spark.createDataFrame([(1, " - ".join(["start", item, "mid", item, item, "end"]) + "!", "m")], "doc_id long, text string, spans string")
+    assert decontaminate.decontaminate(many, items, "spans").first()["text"].split() == ["start", "-", "-", "mid", "-", "-", "-", "end!"]
     none = items.limit(0)
     assert decontaminate.decontaminate(docs, none).count() == 4
     assert decontaminate.find_hits(docs.limit(0), items).count() == 0

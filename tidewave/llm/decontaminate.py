@@ -6,12 +6,17 @@ words, then two overlapping 8s make 13), one pass each. The windows stream throu
 of item windows, and a match counts once the words themselves agree. Spans of hit words are merged
 per document.
 
-The set is broadcast only when its measured size is under broadcast_bytes; above it the same join runs
-as a shuffle join, which AQE splits where one window is very frequent.
+The set is broadcast only when its measured size is under broadcast_bytes. Above it documents' words are
+written once, hashes alone are shuffled to the item windows, and the words are looked up for the few
+windows that met; AQE splits that join where one window is very frequent.
+
+Words are kept as keys (common.folded_ascii), which are equal when the words are.
 
 Defined cases: null or wordless texts have no words, no hits and are not contaminated; items without
-words have no windows; repeated items and rows count as themselves; an empty table on either side gives
-no hits; doc columns other than id and text are not read here.
+words have no windows; very long texts are read whole, in time linear in their words and hits; ties (one window in several
+items) count for each of them; repeated items and rows count as themselves; an empty table on either side gives
+no hits; doc columns other than id and text are not read by find_hits, and decontaminate keeps them, whatever their names are
+but for those that start with "_dc_".
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import cut, folded_ascii
 
 DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -27,8 +32,8 @@ BROADCAST_BYTES = 64 << 20
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text; an array, empty for null."""
-    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), DELIMITERS), "")
+    """The keys of a text's words; an array, empty for null. Delimiters are ASCII, so bytes tell them as well as letters."""
+    return F.array_remove(F.split(folded_ascii(F.coalesce(text, F.lit(""))), DELIMITERS), "")
 
 
 def _grow(a: Column, shift: int) -> Column:
@@ -70,28 +75,39 @@ def find_hits(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "doc
     size = windows.agg(F.coalesce(F.sum(F.length(F.array_join("words", " ")) + F.length(F.array_join("items", " ")) + 64), F.lit(0)).alias("b"), F.array_sort(F.collect_set("len")).alias("k")).first()
     lengths = sorted(size["k"], reverse=True)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), words_of(F.col(text_col)).alias("words"))
+    small = size["b"] <= broadcast_bytes
+    if not small:
+        rows = cut(rows, "document-words")
     # the outer form: w is never empty, and for the inner one the optimizer would add a filter that builds all of w again
-    rows = _hashed(rows, lengths).select("rid", "id", "text_hash", F.size("words").alias("n_words"), "words", F.posexplode_outer("w").alias("at", "hash"))
+    each = _hashed(rows, lengths).select("rid", "id", "text_hash", F.size("words").alias("n_words"), *(["words"] if small else []), F.posexplode_outer("w").alias("at", "hash"))
     marks = _hashed(windows, lengths)
     # an item window is its own only run of its length, and has none of the longer ones that stand before
     own = marks.select(F.get("w", F.lit(1)).alias("hash"), F.col("words").alias("i_words"), F.col("len").alias("i_len"), "items")
-    mark = docs.sparkSession.createDataFrame([(0, [], 0, [])], own.schema)
-    own = own.unionByName(mark)
     start = F.lit(1)  # where the runs of a length begin in w
     place = F.lit(0)
     for k in lengths:
         place = F.when(F.col("i_len") == k, F.col("at") - start).otherwise(place)
         start = start + F.greatest(F.col("n_words") - k + 1, F.lit(0))
-    rows = rows.alias("d").join((F.broadcast(own) if size["b"] <= broadcast_bytes else own).alias("i"), (F.col("d.hash") == F.col("i.hash")) & (((F.col("at") == 0) & (F.col("i_len") == 0)) | ((F.col("at") > 0) & (F.col("i_len") > 0) & (F.slice("words", F.greatest(place, F.lit(0)) + 1, F.col("i_len")) == F.col("i_words")) & (place >= 0))))
-    hit = F.when(F.col("i_len") > 0, F.struct(place.alias("at"), F.col("i_len").alias("len")))
-    hits = rows.select("rid", "id", "text_hash", "n_words", hit.alias("hit"), "items").groupBy("rid", "id", "text_hash").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_list("hit")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    same_words = (place >= 0) & (F.slice("words", F.greatest(place, F.lit(0)) + 1, F.col("i_len")) == F.col("i_words"))
+    spread = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_list("hit"), lambda h: F.sequence(h["at"], h["at"] + h["len"] - 1)))))
+    names = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
+    if small:
+        mark = docs.sparkSession.createDataFrame([(0, [], 0, [])], own.schema)  # meets w[0], so that every row has a line
+        own = F.broadcast(own.unionByName(mark))
+        met = each.alias("d").join(own.alias("i"), (F.col("d.hash") == F.col("i.hash")) & (((F.col("at") == 0) & (F.col("i_len") == 0)) | ((F.col("at") > 0) & (F.col("i_len") > 0) & same_words)))
+        hit = F.when(F.col("i_len") > 0, F.struct(place.alias("at"), F.col("i_len").alias("len")))
+        hits = met.select("rid", "id", "text_hash", "n_words", hit.alias("hit"), "items").groupBy("rid", "id", "text_hash").agg(F.max("n_words").alias("n_words"), spread.alias("hits"), names.alias("items"))
+    else:
+        met = each.where("at > 0").join(own, "hash").select("rid", place.alias("place"), "i_len", "i_words", "items").where("place >= 0")
+        sure = met.join(rows.select("rid", "words"), "rid").where(F.slice("words", F.col("place") + 1, F.col("i_len")) == F.col("i_words"))
+        found = sure.select("rid", F.struct(F.col("place").alias("at"), F.col("i_len").alias("len")).alias("hit"), "items").groupBy("rid").agg(spread.alias("hits"), names.alias("items"))
+        hits = rows.select("rid", "id", "text_hash", F.size("words").alias("n_words")).join(found, "rid", "left").withColumns({"hits": F.coalesce("hits", F.array().cast("array<int>")), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    # hits: the places of hit words, ascending; a span begins where the place before isn't hit, and ends likewise
     merged = F.expr("""
-        aggregate(hits, cast(array() as array<struct<at:int,len:int>>), (a, x) ->
-          CASE WHEN size(a) > 0 AND x.at <= element_at(a, -1).at + element_at(a, -1).len
-               THEN concat(slice(a, 1, size(a) - 1), array(named_struct('at', element_at(a, -1).at, 'len', greatest(element_at(a, -1).len, x.at + x.len - element_at(a, -1).at))))
-               ELSE concat(a, array(named_struct('at', x.at, 'len', x.len))) END)""")
-    out = hits.withColumn("spans", merged)
-    return out.select("id", "text_hash", F.col("n_words").cast("long").alias("n_words"), "spans", F.expr("aggregate(spans, 0L, (a, x) -> a + x.len)").alias("n_hit"), "items")
+        transform(array(hits), p -> zip_with(
+          filter(p, (x, i) -> i = 0 OR get(p, i - 1) < x - 1), filter(p, (x, i) -> i = size(p) - 1 OR get(p, i + 1) > x + 1),
+          (s, e) -> named_struct('at', s, 'len', e - s + 1)))[0]""")
+    return hits.select("id", "text_hash", F.col("n_words").cast("long").alias("n_words"), merged.alias("spans"), F.size("hits").cast("long").alias("n_hit"), "items")
 
 
 def contaminated() -> Column:
@@ -109,6 +125,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents",
         raise ValueError(f"remove: documents or spans, not {remove}")
     out = docs.join(found, same, "left")
     cased = DELIMITERS.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
-    out = out.withColumn("_dc_words", F.array_remove(F.split(F.col(text_col), cased), "")).withColumn("_dc_gaps", F.split(F.col(text_col), LETTERS.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")))
-    kept = F.expr("array_join(transform(_dc_gaps, (g, i) -> concat(g, CASE WHEN i >= size(_dc_words) OR exists(_dc_spans, s -> i >= s.at AND i < s.at + s.len) THEN '' ELSE element_at(_dc_words, i + 1) END)), '')")
-    return out.withColumn(text_col, F.when(F.col("_dc_spans").isNull(), F.col(text_col)).otherwise(kept)).drop("_dc_id", "_dc_hash", "_dc_spans", "_dc_bad", "_dc_words", "_dc_gaps")
+    words, gaps = F.array_remove(F.split(F.col(text_col), cased), ""), F.split(F.col(text_col), LETTERS.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60"))
+    out = out.withColumn("_dc", F.struct(words.alias("w"), gaps.alias("g"), F.col("_dc_spans").alias("s")))
+    # gap i stands before word i. Runs of kept words and the gaps of the spans between them take turns, and the last gap ends the text.
+    kept = F.expr("""transform(array(_dc), d -> concat(array_join(zip_with(
+          transform(zip_with(concat(array(0), transform(d.s, s -> s.at + s.len)), concat(transform(d.s, s -> s.at), array(size(d.w))), (a, b) -> named_struct('a', a, 'n', b - a)),
+                    r -> array_join(zip_with(slice(d.g, r.a + 1, r.n), slice(d.w, r.a + 1, r.n), (g, w) -> concat(g, w)), '')),
+          concat(transform(d.s, s -> array_join(slice(d.g, s.at + 1, s.len), '')), array('')),
+          (x, y) -> concat(x, y)), ''), array_join(slice(d.g, size(d.w) + 1, size(d.g)), '')))[0]""")
+    return out.withColumn(text_col, F.when(F.col("_dc_spans").isNull(), F.col(text_col)).otherwise(kept)).drop("_dc_id", "_dc_hash", "_dc_spans", "_dc_bad", "_dc")
