@@ -7,10 +7,14 @@ than once are hits; each hit is compared, whole text, with the row its state ent
 that share only the digest are grouped again by their text, so a weak digest costs time, not truth.
 
 The stream can be resumed: with the same work folder, a later call reads only new files, and the
-state goes on from where it was.
+state goes on from where it was. Each micro-batch reads a bounded number of bytes, so a failed one costs that much.
+
+A digest that very many rows have would make one task of a join long. There are at most four such digests a
+partition; they are broadcast, their rows are dealt over salts by their place, and their entry is copied to each salt.
 
 Defined cases: a null text is the empty text; null ids sort below all others; of rows equal in id and
-text one is kept; an empty table gives an empty result; further columns are ignored.
+text (ties) the one with the largest place in the files is kept; very long texts are compared whole; an empty table gives an empty result;
+further columns are ignored, whatever their names are.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, work_path
+from .common import cut, partitions, work_path
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -28,6 +32,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
+#: Bytes of input that a micro-batch reads at most.
+BATCH_BYTES = 256 << 30
 
 
 def sha256_digest(text: Column) -> Column:
@@ -44,7 +50,7 @@ def run_state(spark: SparkSession, path: str, id_col: str, text_col: str, digest
     """Run the stream over everything in path; the state's entries: digest, n, id, at."""
     schema = spark.read.parquet(path).schema
     glob = f"{path[:-1]}[{path[-1]}]"  # the file stream takes a single file only by a pattern
-    rows = _located(spark.readStream.schema(schema).parquet(glob), id_col, text_col, digest)
+    rows = _located(spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(glob), id_col, text_col, digest)
     state = rows.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("id", "at")).alias("top"))
     before = {k: spark.conf.get(k, None) for k in STATE_CONF}
     try:
@@ -76,18 +82,28 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     work = work or work_path(spark, "exact-dedup")
     state = cut(run_state(spark, path, id_col, text_col, digest, work), "exact-state")
     many = state.where("n > 1").select("digest", F.col("n"), F.col("id").alias("top_id"), F.col("at").alias("top_at"))
-    docs = _located(spark.read.parquet(path), id_col, text_col, digest)
-    hits = docs.join(many, "digest")
-    tops = hits.where(F.col("at") == F.col("top_at")).select("digest", F.col("content").alias("top_content"))
-    checked = cut(hits.join(tops, "digest").select("digest", "id", "at", (F.col("content") == F.col("top_content")).alias("same")), "exact-checked")
+    share = max(1, (state.agg(F.sum("n")).first()[0] or 0) // (4 * partitions(spark)))  # a fourth of a task's
+    hot = F.broadcast(many.where(F.col("n") > share).select("digest", F.ceil(F.col("n") / share).cast("int").alias("k")))  # so at most 4 a partition
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.join(hot, "digest", "left").withColumn("salt", F.pmod(F.xxhash64("at"), F.coalesce("k", F.lit(1)))).drop("k")
+
+    def copied(df: DataFrame) -> DataFrame:
+        return df.join(hot, "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("k", F.lit(1)).cast("long") - 1))).drop("k")
+
+    keys = ["digest", "salt"]
+    docs = dealt(_located(spark.read.parquet(path), id_col, text_col, digest))
+    hits = docs.join(copied(many), keys)
+    tops = copied(hits.where(F.col("at") == F.col("top_at")).select("digest", F.col("content").alias("top_content")))
+    checked = cut(hits.join(tops, keys).select(*keys, "id", "at", (F.col("content") == F.col("top_content")).alias("same")), "exact-checked")
     others = checked.where(~F.col("same"))
+    rest = docs.select("id", *keys, "at").join(copied(many), keys, "left")
+    if others.isEmpty():
+        return rest.select("id", F.coalesce("top_id", "id").alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), (F.col("top_at").isNull() | (F.col("at") == F.col("top_at"))).alias("kept"), "digest")
     unlike = others.groupBy("digest").agg(F.count("*").alias("other_n"))
-    rest = docs.select("id", "digest", "at").join(many, "digest", "left").join(unlike, "digest", "left")
-    rest = rest.join(others.select("digest", "at", F.lit(True).alias("is_other")), ["digest", "at"], "left").where("is_other IS NULL")
+    rest = rest.join(unlike, "digest", "left").join(others.select(*keys, "at", F.lit(True).alias("is_other")), [*keys, "at"], "left").where("is_other IS NULL")
     true = rest.select("id", F.coalesce("top_id", "id").alias("keep_id"), (F.coalesce("n", F.lit(1)) - F.coalesce("other_n", F.lit(0))).alias("group_size"), (F.col("top_at").isNull() | (F.col("at") == F.col("top_at"))).alias("kept"), "digest")
-    if others.isEmpty():
-        return true
-    texts = docs.join(others.select("digest", "at"), ["digest", "at"])
+    texts = docs.join(others.select(*keys, "at"), [*keys, "at"])
     best = texts.groupBy("content").agg(F.count("*").alias("group_size"), F.max(F.struct("id", "at")).alias("top"))
     again = texts.join(best, "content").select("id", F.col("top.id").alias("keep_id"), "group_size", (F.col("at") == F.col("top.at")).alias("kept"), "digest")
     return true.unionByName(again)

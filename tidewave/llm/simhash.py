@@ -7,19 +7,21 @@ sorted, by Spark, in Gray rank; in a task each bucket becomes a tree: upper node
 below share (a mask and a value), and their agreement grows towards the leaves. Node pairs are compared
 from the roots down on the bits both share; differences only add up on the way, so a pair of groups above k
 is dropped whole, and so are groups that are known to hang together already. What comes out are links
-that join all that the bucket holds together, fewer than its rows. A bucket of more than block rows is dealt in
-blocks, and each pair of blocks is a bucket of its own. The links then make components with the large-star, small-star
+that join all that the bucket holds together, fewer than its rows. The bits that a bucket of more than block rows doesn't share
+are cut in blocks again, and it is dealt by masks of those, and so on, so no pair within k bits is lost and none is made by the square. The links then make components with the large-star, small-star
 rounds, on tables in the shared folder.
 
 Defined cases: null or wordless text has fingerprint zero and links like any other; a text with fewer
 words than a shingle has one shingle; a null id never names a component that has others; repeated rows
-appear as often as in the input; an empty table gives an empty result; further columns are ignored.
+appear as often as in the input; very long texts are hashed whole, a fixed number of shingles at a time; an empty table gives an empty result; further
+columns are ignored but for those named in keep, which pass through and may have any name but fp and component_id.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, count
 
 import numpy as np
@@ -85,12 +87,13 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str
     return docs.select(id_col, *keep, fp(F.coalesce(F.col(text_col), F.lit(""))).alias("fp"))
 
 
-def masks(max_differing: int, agree: int = 2) -> list[int]:
-    """Masks of which any two fingerprints at most so far apart agree on one: all choices of `agree` among max_differing + agree blocks."""
-    n = max_differing + agree
-    edges = [64 * i // n for i in range(n + 1)]
-    blocks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(c) for c in combinations(blocks, agree)]
+def masks(max_differing: int, agree: int = 2, within: int = (1 << 64) - 1) -> list[int]:
+    """Masks of which any two fingerprints at most so far apart agree on one: all choices of `agree` among max_differing + agree blocks of the bits within."""
+    free = [b for b in range(64) if within >> b & 1]
+    n = min(max_differing + agree, len(free))
+    edges = [len(free) * i // n for i in range(n + 1)]
+    blocks = [sum(1 << b for b in free[x:y]) for x, y in zip(edges, edges[1:], strict=False)]
+    return [sum(c) for c in combinations(blocks, n - max_differing)]
 
 
 def _signed(x: int) -> int:
@@ -210,17 +213,25 @@ def near_links(fps: DataFrame, max_differing: int = 4, block: int = BLOCK, steps
         while n >> (64 * agree // (max_differing + agree)) > block // 10:
             agree += 1
     each = F.array(*[F.lit(_signed(m)) for m in masks(max_differing, agree)])
-    rows = fps.select("fp", F.posexplode(each).alias("m", "mask")).select("fp", "m", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    large = rows.groupBy("m", "key").count().where(F.col("count") > block)
-    large = cut(large.select("m", "key", F.ceil(F.col("count") / block).cast("int").alias("k")), "large-buckets")
-    if large.isEmpty():
-        rows = rows.select("m", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
-    else:  # block x meets every block y: buckets (i, j) with i <= j that have x as i or as j
-        rows = rows.join(large, ["m", "key"], "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("x", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
-        rows = rows.select("m", "key", "x", "fp", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("y"))
-        rows = rows.select("m", "key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "fp")
-    dealt = rows.repartition(partitions(spark), "m", "key", "i", "j").sortWithinPartitions("m", "key", "i", "j", gray_rank(F.col("fp")))
-    names = ["m", "key", "i", "j"]
+    rows, buckets = fps.select("fp", F.posexplode(each).alias("m", "mask")).select("fp", F.col("m").cast("long").alias("m"), "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key")), []
+    while True:
+        large = cut(rows.groupBy("m", "mask", "key").count().where(F.col("count") > block).select("m", "mask", "key"), "large-buckets")
+        finer = []
+        for r in large.select("mask").distinct().collect():  # at most as many as there are masks
+            free = ~r["mask"] & ((1 << 64) - 1)
+            if free.bit_count() > max_differing:  # else all in the bucket are near each other, and no more than 2 ** max_differing
+                finer += [(r["mask"], k, _signed(r["mask"] & ((1 << 64) - 1) | x)) for k, x in enumerate(masks(max_differing, 2, free))]
+        if not finer:
+            buckets.append(rows.select("m", "key", "fp"))
+            break
+        finer = F.broadcast(spark.createDataFrame(finer, "mask long, k long, finer long"))
+        large = large.join(finer.select("mask").distinct(), "mask", "left_semi")
+        buckets.append(rows.join(large, ["m", "mask", "key"], "left_anti").select("m", "key", "fp"))
+        inner = rows.join(large, ["m", "mask", "key"], "left_semi").join(finer, "mask")
+        rows = cut(inner.select("fp", F.xxhash64("m", "key", "k").alias("m"), F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("key")), "finer-buckets")
+    rows = reduce(DataFrame.unionByName, buckets)
+    names = ["m", "key"]
+    dealt = rows.repartition(partitions(spark), *names).sortWithinPartitions(*names, gray_rank(F.col("fp")))
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None

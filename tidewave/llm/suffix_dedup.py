@@ -15,12 +15,15 @@ way induced sorting does, with common-prefix values carried along and cut at `le
    A window repeats if its common prefix with a neighbour is at least `length`.
 
 K-grams that are very frequent (approx_top_k names them) aren't sifted by one task each: their contexts are counted
-with partial sums and joined back. Groups with more than `group` different contexts are dealt out by window digest instead, exactly. All bytes of anything
-larger than a group stay in Spark's spillable sorts.
+with partial sums and joined back. K-grams with more than `group` different contexts (by default, a fourth of a task's share) are dealt out by window
+digest instead, exactly. All bytes of anything larger than a group stay in Spark's spillable sorts.
 
-Defined cases: null text is the empty text; texts shorter than `length` lose nothing; rows equal in id
-and text are documents of their own that repeat each other; null ids are an id like any other; an empty table gives an
-empty result; further columns are ignored.
+Contexts count as equal when both the k-gram's hash and the context's are, 128 bits; among 1e12 contexts (100 TB) two unlike
+ones are taken for equal with a probability under 1e-14. Where contexts differ, bytes decide.
+
+Defined cases: null text is the empty text; texts shorter than `length` lose nothing; very long texts are read in overlapping parts;
+rows equal in id and text (ties) are documents of their own that repeat each other; null ids are an id like any other; an empty table gives an
+empty result; further columns are ignored, whatever their names are.
 """
 
 from __future__ import annotations
@@ -37,9 +40,10 @@ from pyspark.sql import functions as F
 from .common import cut, partitions
 
 GRAM = 32
-GROUP = 50_000
-#: K-grams that approx_top_k names at most, and the number of its counters.
-TOP, COUNTERS = 64, 4096
+#: Contexts of one k-gram that a task takes whatever its share is.
+GROUP = 2_000
+#: K-grams that approx_top_k names at least, and its counters for each of them.
+TOP, COUNTERS = 64, 16
 BUFFER = 2 << 20  # bytes that a task looks at at a time
 PLACE = (1 << 23) - 1
 _pow: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -267,7 +271,7 @@ def _induced(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFr
         yield spans(rest)
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, gram: int = GRAM, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 200, gram: int = GRAM, group: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, th (hash of the text), s, e: spans of bytes to remove, which may overlap."""
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
     if not gram <= length // 2 or length - gram > 255:
@@ -300,6 +304,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = GRAM, group:
     contexts = have.select("id", "th", "b", F.explode("asked").alias("x")).select("id", "th", "x.gram", "x.at", "x.n", F.expr("shiftright(x.at, 16)").alias("lo"), F.expr("shiftright(x.at, 8) & 255L").alias("t"), F.expr("x.at & 255L").alias("m"), "b")
     cutting = contexts.select("gram", "id", "th", "at", "n", F.expr("substring(b, cast(lo + t + 1 as int), cast(m - t as int) + %d)" % length).alias("right"), F.expr("substring(b, cast(lo + 1 as int), cast(t as int))").alias("left"))
     cutting = cut(cutting, "suffix-contexts")
+    group = max(GROUP, cutting.count() // (4 * n)) if group is None else group
     large = cut(cutting.groupBy("gram").count().where(F.col("count") > group).select("gram"), "large-grams")
     few, spans = cutting, []
     if not large.isEmpty():
@@ -314,8 +319,9 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = GRAM, group:
 
 
 def _hot_grams(suffixes: DataFrame, n: int) -> list[int]:
-    """K-grams so frequent that one would be more than a fourth of a task's share, at most TOP; how tuples are dealt depends on it, not the result."""
-    r = suffixes.agg(F.expr(f"approx_top_k(gram, {TOP}, {COUNTERS})").alias("t"), F.count("*").alias("n")).first()
+    """K-grams so frequent that one would be more than a fourth of a task's share, so at most 4 a task; how tuples are dealt depends on it, not the result."""
+    top = min(50_000, max(TOP, 4 * n))
+    r = suffixes.agg(F.expr(f"approx_top_k(gram, {top}, {min(1_000_000, max(4096, COUNTERS * top))})").alias("t"), F.count("*").alias("n")).first()
     return [x["item"] for x in (r["t"] or []) if x["count"] > r["n"] / (4 * n)]
 
 
@@ -326,7 +332,7 @@ def _sift_hot(suffixes: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     again = contexts.where("n > 1").select("gram", "ctx")
     lo = F.expr("shiftright(at, 16)")
     sure = suffixes.join(again, ["gram", "ctx"], "left_semi").select("id", "th", lo.alias("s"), (lo + F.expr("at & 255L") + length).alias("e"))
-    several = contexts.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")  # at most TOP rows
+    several = contexts.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")  # at most 4 n rows
     asking = contexts.join(F.broadcast(several), "gram").select("gram", "first.id", "first.th", "first.at", F.least("n", F.lit(2)).cast("long").alias("n"))
     return sure, asking
 
@@ -334,13 +340,13 @@ def _sift_hot(suffixes: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
 def _by_windows(contexts: DataFrame, length: int) -> DataFrame:
     """The same answer for contexts of very large groups: each window's digest is counted."""
     whole = contexts.select("id", "th", "n", F.expr("shiftright(at, 16)").alias("lo"), F.expr("at & 255L").alias("m"), F.concat("left", "right").alias("b"))
-    windows = whole.select("id", "th", "n", "lo", F.explode(F.expr("transform(sequence(0, cast(m as int)), j -> struct(j, sha2(substring(b, j + 1, %d), 256) AS d))" % length)).alias("w"))
+    windows = whole.select("id", "th", "n", "lo", F.explode(F.expr("transform(sequence(0, cast(m as int)), j -> struct(j, unhex(sha2(substring(b, j + 1, %d), 256)) AS d))" % length)).alias("w"))
     windows = windows.select("id", "th", "n", (F.col("lo") + F.col("w.j")).alias("s"), F.col("w.d").alias("d"))
     counted = windows.groupBy("d").agg(F.sum("n").alias("k")).where("k > 1").select("d")
     return windows.where("n < 2").join(counted, "d").select("id", "th", "s", (F.col("s") + length).alias("e"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, group: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' ids with kept (the remaining bytes), n_bytes, n_removed and spans (maximal removed runs: s, e)."""
     spans = repeated_spans(docs, length, gram, group, id_col, text_col)
     each = spans.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("found"))
