@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewave.llm import decontaminate, html_extract, packing, quality, queries, simhash, token_files, tokens, url_rules
+from tidewave.llm import decontaminate, html_extract, packing, quality, queries, simhash, token_files, tokens, url_rules, wrappers
 
 SF = "/root/testdata/sf0.001"
 PATH = queries.tokenizer_path()
@@ -191,7 +191,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 def test_main_text_leaves_out_what_a_page_is_dressed_with(spark):
     body = '<article><header><h1>A &amp; B {i}</h1></header><div class="share">Share!</div><p>One\n  two<br>three &lt;x&gt; {i}<p><b>Bold <i>it</i>{i}</b></p><ul><li>first<li>second {i}</ul><figure><figcaption>cap</figcaption></figure><footer>by me</footer></article>'
     rows = [(i, "http://h.net/a", (PAGE.replace("{main}", body)).replace("{i}", str(i)), "x") for i in range(5)]
-    got = html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string").withColumn("wrapper", F.lit(1)).withColumn("host", F.lit(2))).collect()
+    got = html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string").withColumns({c: F.lit(1) for c in ("wrapper", "host", "_host", "_wrapper", "_text", "_row", "_html", "_key")})).collect()
     for r in got:
         i = r["page_id"]
         assert r["text"] == f"A & B {i}\n\nOne two three <x> {i}\n\nBold it{i}\n\nfirst\n\nsecond {i}\n\ncap"
@@ -232,13 +232,106 @@ def test_pages_of_the_test_data(spark):
         assert r["text"].replace(" ", "") == "\n\n".join(b for b in blocks if b).replace(" ", "")
 
 
+def tree(s):
+    """key, key(kids...) -> wrapper nodes."""
+    root, at, name = wrappers.W("#", [1], 0), [], ""
+    at = [root]
+    for c in s + ",":
+        if c in "(),":
+            if name:
+                at[-1].kids.append(wrappers.W(name, [1], wrappers.digest(name)))
+                name = ""
+            if c == "(":
+                at.append(at[-1].kids[-1])
+            elif c == ")":
+                at.pop()
+        else:
+            name += c
+    return wrappers.shaped(root)
+
+
+def matches_by_hand(a, b):
+    """Simple tree matching, as it is defined."""
+    if a.key != b.key:
+        return 0
+    m = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+    for i, x in enumerate(a.kids):
+        for j, y in enumerate(b.kids):
+            m[i + 1][j + 1] = max(m[i + 1][j], m[i][j + 1], m[i][j] + matches_by_hand(x, y))
+    return m[-1][-1] + 1
+
+
+def test_tree_matching_is_the_definitions(monkeypatch):
+    r = random.Random(5)
+
+    def some(depth):
+        return ",".join(r.choice("abc") + (f"({some(depth - 1)})" if depth and r.random() < 0.6 else "") for _ in range(r.randrange(1, 6)))
+
+    for cells in (4096, 1):
+        monkeypatch.setattr(wrappers, "CELLS", cells)
+        for _ in range(60):
+            a, b = tree(some(3)), tree(some(3))
+            assert wrappers.sizes(a, b, {}) == matches_by_hand(a, b)
+
+
 def test_merging_wrappers_aligns_what_matches():
-    a = ["div", [1], 1, [["p", [1], 2, []], ["ul", [1], 3, [["li", [1], 4, []]]]]]
-    b = ["div", [2], 1, [["nav", [2], 5, []], ["p", [2], 2, []], ["ul", [2], 9, [["li", [2], 4, []]]]]]
-    m = html_extract.merge(a, b)
-    assert [k[0] for k in m[3]] == ["nav", "p", "ul"]
-    assert m[3][1][2] == 2 and m[3][2][2] is None and m[3][2][3][0][1:3] == [[1, 2], 4]
-    assert html_extract._size(a, b, {}) == 4
+    a, b = tree("div(p,ul(li))").kids[0], tree("div(nav,p,ul(li))").kids[0]
+    b.kids[2].text, b.seen, b.kids[1].seen = 9, [2], [2]
+    m = wrappers.loads(wrappers.dumps(wrappers.absorb(a, b)))
+    assert [k.key for k in m.kids] == ["nav", "p", "ul"] and [k.n for k in m.kids] == [1, 2, 2] and m.n == 2
+    assert m.kids[1].seen == [1, 2] and m.kids[1].text is not None and m.kids[2].text is None and m.kids[2].kids[0].key == "li"
+
+
+def in_turn(k):
+    return "".join(f"<h2>Head {i}</h2><p>Text {i} of {k}</p>" + "<div><p>x</p></div>" * (i % 7 == k % 7) for i in range(3000))
+
+
+def test_long_child_lists_are_aligned_in_time():
+    import time
+
+    began = time.time()
+    w = wrappers.skeleton(html_extract.parse(f"<article>{in_turn(0)}</article>")[0], 0)
+    wrappers.absorb(w, wrappers.skeleton(html_extract.parse(f"<article><h1>More</h1>{in_turn(3)}</article>")[0], 1))
+    assert time.time() - began < 30 and [k.n for k in w.kids[0].kids].count(2) > 5000
+
+
+NEUTRAL = """<body><div><div><a href=/a{i}>Menu {i} one</a></div><div><a href=/b>Menu two {i}</a></div></div><div>Buy {i} now at once</div>
+<div><div>The title {i}</div>{body}</div><div>Made by {i} and others</div><div><div>I disagree {i}</div><div>So do I</div></div></body>"""
+
+
+@pytest.mark.parametrize("rules", [True, False])
+def test_place_and_text_tell_the_content_of_neutral_pages(spark, rules):
+    body = {i: [f"Story {i} part {k} has a few words more than the rest of the page" for k in range(2 + i % 3)] for i in range(9)}
+    rows = [(i, "http://h.net/a", NEUTRAL.replace("{body}", "".join(f"<div>{t}</div>" for t in body[i])).replace("{i}", str(i))) for i in body]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), rules=rules).collect()}
+    assert got == {i: "\n\n".join([f"The title {i}", *t]) for i, t in body.items()}
+    assert all(html_extract.main_text(r[2]) != got[r[0]] for r in rows), "the wrapper says nothing"
+
+
+def test_deep_pages_lose_their_menus_too(spark):
+    deep = "<div>" * 3000
+    rows = [(i, u, f"{deep}<nav>MENU <a href=x>LINK</a></nav><p>story {i} is told here</p>") for i, u in enumerate(["http://one.net/", *["http://h.net/"] * 4])]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"story {i} is told here" for i in range(5)}
+
+
+def test_many_like_siblings(spark):
+    item = lambda i, k: f"<div class=row><p>Row {k} of {i}</p></div>" + f"<section><p>Part {k} of {i}</p></section>" * (k % 2)
+    rows = [(i, "http://h.net/", f"<nav><a href=x>Menu {i}</a></nav><div id=c>" + "".join(item(i, k) for k in range(500 + i)) + f"</div><div id=ad>Buy {i}</div>") for i in range(4)]
+    for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), rules=False).collect():
+        i = r["page_id"]
+        assert r["text"].split("\n\n") == [t for k in range(500 + i) for t in [f"Row {k} of {i}", *[f"Part {k} of {i}"] * (k % 2)]]
+
+
+def test_given_pages_without_any_rule(spark):
+    """The wrappers alone find the text; with none of them no text is right."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(pages).collect()}
+    hosts = Counter(re.sub(r"^.*?://([^/]*).*", r"\1", r["url"]) for r in pages.collect())
+    seen = {r["page_id"]: r for r in pages.collect() if hosts[re.sub(r"^.*?://([^/]*).*", r"\1", r["url"])] >= 3}
+    bare = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(pages, rules=False).collect()}
+    assert len(seen) > 100 and sum(bare[i] == want[i] for i in seen) >= 0.99 * len(seen)
+    assert not any(html_extract.main_text(r["html"]) == want[i] for i, r in seen.items())
 
 
 def judge_by_hand(url, rules, default="allow"):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 TOKEN = re.compile(r"<!--(?:>|->|.*?--!?>)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>", re.S)
@@ -24,10 +25,9 @@ DRESS_ROLES = frozenset("navigation banner contentinfo complementary search form
 DRESS_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored sponsors promo promos promotion banner banners nav navbar navigation menu menus submenu breadcrumb breadcrumbs masthead topbar footer footers footnav copyright sidebar sidebars aside rail widget widgets related recommended recommendations trending popular share sharing sharebar social follow newsletter subscribe subscription signup signin login register cookie cookies cookiebar consent gdpr notice notices notification notifications alert alerts popup popups modal overlay paywall comment comments commentlist disqus respond reply replies pagination pager toolbar search searchbar form forms skip skiplink announcement".split()
 )
+DEAD_TAGS = frozenset("head form script style noscript template iframe svg canvas object button select textarea title map video audio".split())
 HEADER_WORDS = frozenset("header headers siteheader pageheader".split())
 MAIN_WORDS = frozenset("article main".split())
-#: Elements nested deeper than this get no node of their own.
-DEPTH = 120
 
 
 @dataclass
@@ -37,9 +37,11 @@ class Node:
     parent: Node | None = None
     children: list[Node] = field(default_factory=list)
     texts: list[str] = field(default_factory=list)
-    dressed: str = ""  # "tag" or "word": it holds no main text
+    dressed: str = ""  # "tag", "word" or "header": by the rules it holds no main text
+    dead: bool = False  # script, style, form and the like: no text that is read, whatever the rules
     main: bool = False
-    content: bool = False  # main text lies below
+    chars: int = 0  # letters of its own text, and those of them in links
+    links: int = 0
 
 
 def _attributes(s: str) -> dict[str, str]:
@@ -59,6 +61,7 @@ def _node(tag: str, attributes: str, parent: Node) -> Node | None:
     if tag in ("html", "body"):
         words = set()
     n.main = tag in MAIN_WORDS or role in MAIN_WORDS
+    n.dead = tag in DEAD_TAGS or "hidden" in a
     if tag in DRESS_TAGS or role in DRESS_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
         n.dressed = "tag"
     elif words & DRESS_WORDS:
@@ -76,25 +79,40 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The root of a page's block tree, and its text blocks with their nodes, in page order."""
     root = Node("#root", "#root")
     stack: list[tuple[str, Node | None]] = [("#root", root)]  # open elements; inline ones have no node
-    here, buffer, blocks, depth = root, [], [], 0
+    opened: Counter[str] = Counter()
+    here, buffer, blocks, linked = root, [], [], 0
 
     def flush() -> None:
+        nonlocal linked
         if buffer:
-            text = " ".join(html.unescape("".join(buffer)).split())
+            raw = "".join(buffer)
+            text = " ".join(html.unescape(raw).split())
             buffer.clear()
             if text:
                 here.texts.append(text)
+                here.chars += len(text)
+                here.links += min(len(text), round(len(text) * linked / len(raw)))
                 blocks.append((here, text))
+            linked = 0
+
+    def add(text: str) -> None:
+        nonlocal linked
+        buffer.append(text)
+        if opened["a"]:
+            linked += len(text)
 
     def pop_to(k: int) -> None:
-        nonlocal here, depth
+        nonlocal here
         if any(n or t in BLOCK for t, n in stack[k:]):
             flush()
-        depth -= sum(1 for _, n in stack[k:] if n)
+        for t, n in reversed(stack[k:]):
+            opened[t] -= 1
+            here = n.parent if n else here
         del stack[k:]
-        here = next(n for _, n in reversed(stack) if n)
 
     def close(tags: set[str] | frozenset[str], until: frozenset[str]) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in tags:
                 pop_to(k)
@@ -106,22 +124,22 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
-            buffer.append(page[at:])
+            add(page[at:])
             break
         if lt > at:
-            buffer.append(page[at:lt])
+            add(page[at:lt])
         m = TOKEN.match(page, lt)
         if not m:
             if BROKEN.match(page, lt):  # cut off inside a tag or comment
                 break
-            buffer.append("<")
+            add("<")
             at = lt + 1
             continue
         at, tag = m.end(), (m[2] or "").lower()
         if not tag:
             continue
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k][0] == tag:
                     pop_to(k)
                     break
@@ -141,23 +159,18 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                 flush()
             continue
         new = _node(tag, m[3], here)
-        if new and depth >= DEPTH and tag not in RAW:
-            flush()
-            new = None
         if new:
             flush()
             here.children.append(new)
-            if tag in RAW:
-                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-                at = end.end() if end else n
-                continue
-            if m[3].endswith("/") and tag == "svg":
-                continue
-            here, depth = new, depth + 1
-        elif tag in RAW:
+        if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n
             continue
+        if new:
+            if m[3].endswith("/") and tag == "svg":
+                continue
+            here = new
         stack.append((tag, new))
+        opened[tag] += 1
     flush()
     return root, blocks

@@ -1,172 +1,160 @@
 """Main text of web pages by wrapper induction (operator 1).
 
 Pages of one host share a template. Each page's tree of blocks is laid on the host's wrapper by simple
-tree matching (the child lists of matching nodes are aligned for the most matching nodes below); nodes
-that match are merged, the rest is added as optional. A node whose text was the same on all pages that
-have it is constant and belongs to the template, others are slots. Menus, forms, adverts and their like
-are told by element, role and class wherever they stand, since their words may vary from page to page.
-The text of a page is what fills the slots, inside its article or main element if it has one.
+tree matching (wrappers.py). What is the same on all pages is template; what varies is a slot. Menus, adverts and
+notices vary too, but stand at a fixed place and hold few words beside links: the content is the subtree that holds
+most of the slots' letters outside links (Template), and a page's main text is what its own nodes at that place hold,
+less what is constant there or made of links, with the headings that lead to it.
+
+Elements, roles and class names decide two things only, and `rules=False` switches both off: pages of hosts with fewer
+than WITNESSES different pages, or that lack their host's content node, are read by them alone (by_rules), and within the content
+they take out what is named as a comment, advert, share bar or the like. Scripts, styles and forms never count as text.
 
 Wrappers grow in two scans without moving a page: each task merges its pages per host, and partial
-wrappers, small trees, are merged by host in groups of partitions and then whole. Pages meet their host's wrapper in
+wrappers, small trees, are merged by host in groups of 64, of 64 groups and so on. Pages meet their host's wrapper in
 a join that AQE splits for hosts with very many pages.
 
-Within an article constant headings, paragraphs and list items stay (copies of one article are no template); outside, a constant needs
-three different pages as witnesses.
-
-Defined cases: null or empty html gives an empty text; a null URL's pages share the wrapper of the empty host; repeated rows each
-get their text and are one witness; cut-off pages are read as far as they go; an empty table gives an empty result;
-further columns pass through but for the names text and n_chars.
+Defined cases: null or empty html gives an empty text; a null URL's pages share the wrapper of the empty host; repeated rows (and ties: copies
+of one page under several URLs) each get their text and are one witness; cut-off pages are read as far as they go; very long and very deep
+pages are read whole; an empty table gives an empty result; further columns pass through, whatever their names are, but for text and n_chars, which are replaced.
 """
 
 from __future__ import annotations
 
-import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 from .dom import Node, parse
 from .url_rules import host_of
+from .wrappers import RARE, WITNESSES, W, absorb, aligned, digest, dumps, loads, post_order, pruned, skeleton
 
-WITNESSES = 3
-#: Hosts whose wrappers a task holds at a time.
-HOSTS = 2000
-PARTS = 64
+#: Hosts whose wrappers a task holds at a time, and partial wrappers that are merged at a time.
+HOSTS, PARTS = 2000, 64
 PROSE = frozenset("h1 h2 h3 h4 h5 h6 p li blockquote pre td th dd dt figcaption caption article main".split())
-
-# A wrapper node is a list: key, witnesses (hashes of up to three pages), text hash (None: it varies), children.
-KEY, SEEN, TEXT, KIDS = range(4)
-
-
-def skeleton(node: Node, page: int) -> list:
-    """The wrapper of one page; neighbours with one key are one repeated node."""
-    kids: list[list] = []
-    for c in node.children:
-        k = skeleton(c, page)
-        if kids and kids[-1][KEY] == k[KEY]:
-            kids[-1] = [k[KEY], k[SEEN], _hash(f"{kids[-1][TEXT]} {k[TEXT]}"), _align(kids[-1][KIDS], k[KIDS], within=True)]
-        else:
-            kids.append(k)
-    return [node.key, [page], _hash("\n".join(node.texts)), kids]
-
-
-def _hash(s: str) -> int:
-    return xxhash.xxh64_intdigest(s) >> 16
-
-
-def _size(a: list, b: list, memo: dict) -> int:
-    """Nodes that match when tree b is laid on tree a: simple tree matching."""
-    if a[KEY] != b[KEY]:
-        return 0
-    at = (id(a), id(b))
-    if at not in memo:
-        memo[at] = 1 + _table(a[KIDS], b[KIDS], memo)[0][0]
-    return memo[at]
-
-
-def _table(xs: list, ys: list, memo: dict) -> list[list[int]]:
-    best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-    for i in range(len(xs) - 1, -1, -1):
-        for j in range(len(ys) - 1, -1, -1):
-            skip = max(best[i + 1][j], best[i][j + 1])
-            both = best[i + 1][j + 1] + _size(xs[i], ys[j], memo) if xs[i][KEY] == ys[j][KEY] else 0
-            best[i][j] = max(skip, both)
-    return best
-
-
-def matches(xs: list, ys: list, memo: dict | None = None) -> list[tuple[int | None, int | None]]:
-    """The alignment of two child lists, in order: (i, j) match, (i, None) and (None, j) stand alone."""
-    if [x[KEY] for x in xs] == [y[KEY] for y in ys]:
-        return [(i, i) for i in range(len(xs))]
-    memo = {} if memo is None else memo
-    best, i, j, out = _table(xs, ys, memo), 0, 0, []
-    while i < len(xs) and j < len(ys):
-        if xs[i][KEY] == ys[j][KEY] and best[i][j] == best[i + 1][j + 1] + _size(xs[i], ys[j], memo):
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i][j] == best[i + 1][j]:
-            out.append((i, None))
-            i += 1
-        else:
-            out.append((None, j))
-            j += 1
-    return out + [(k, None) for k in range(i, len(xs))] + [(None, k) for k in range(j, len(ys))]
-
-
-def _align(xs: list, ys: list, within: bool = False) -> list:
-    return [merge(xs[i], ys[j], within) if i is not None and j is not None else xs[i] if j is None else ys[j] for i, j in matches(xs, ys)]
-
-
-def merge(a: list, b: list, within: bool = False) -> list:
-    """The wrapper of all pages of both; within: both are parts of one page, whose texts are one."""
-    text = _hash(f"{a[TEXT]} {b[TEXT]}") if within else a[TEXT] if a[TEXT] == b[TEXT] else None
-    return [a[KEY], sorted({*a[SEEN], *b[SEEN]})[:WITNESSES], text, _align(a[KIDS], b[KIDS], within)]
-
-
-def _flags(node: Node, wrapper: list | None, out: dict[int, bool]) -> None:
-    """out[id(node)]: the wrapper says that node's text is constant."""
-    out[id(node)] = bool(wrapper) and wrapper[TEXT] is not None and len(wrapper[SEEN]) >= WITNESSES
-    runs: list[list] = []
-    for c in node.children:
-        if runs and runs[-1][0] == c.key:
-            runs[-1][1].append(c)
-        else:
-            runs.append([c.key, [c]])
-    own = [[key, [], None, _shallow(cs)] for key, cs in runs]
-    kids = wrapper[KIDS] if wrapper else []
-    for i, j in matches(kids, own):
-        if j is not None:
-            for c in runs[j][1]:
-                _flags(c, kids[i] if i is not None else None, out)
-
-
-def _shallow(nodes: list[Node]) -> list:
-    """The keys below nodes, two levels deep: enough to tell neighbours with one key apart."""
-    out: list = []
-    for n in nodes:
-        for c in n.children:
-            if not out or out[-1][KEY] != c.key:
-                out.append([c.key, [], None, [[g.key, [], None, []] for g in c.children[:32]]])
-    return out
-
-
-def main_text(page: str | None, wrapper: list | None = None) -> str:
+HEADING = re.compile(r"h[1-6](\.|$)")
+LEAD = re.compile(r"(h[1-6]|p|blockquote)(\.|$)")
+
+
+class Template:
+    """Where a host's pages have their content."""
+
+    def __init__(self, root: W, rules: bool = True):
+        self.root, self.rules = root, rules
+        self.constant, self.linked, self.lead = set(), set(), set()
+        mass: dict[int, int] = {}
+        chars: dict[int, tuple[int, int]] = {}
+        for w in post_order(root, lambda x: x.kids):
+            if w.text is not None and len(w.seen) >= WITNESSES:
+                self.constant.add(id(w))
+            own = 0 if id(w) in self.constant else w.chars - w.links
+            out = w.dress == 2 or rules and w.dress
+            mass[id(w)] = 0 if out else own + sum(mass[id(k)] for k in w.kids)
+            chars[id(w)] = (w.chars + sum(chars[id(k)][0] for k in w.kids), w.links + sum(chars[id(k)][1] for k in w.kids))
+            if 2 * chars[id(w)][1] > chars[id(w)][0] and not HEADING.match(w.key):
+                self.linked.add(id(w))
+        at = root
+        while at.kids:
+            best = max(at.kids, key=lambda k: mass[id(k)])
+            if 2 * mass[id(best)] <= mass[id(at)] or not best.kids or 10 * best.rows >= best.n:
+                break
+            for k in at.kids[: at.kids.index(best)]:  # headings and lead paragraphs before the content, alone or in a block of their own
+                below = [w for w in post_order(k, lambda x: x.kids) if mass[id(w)] and w.chars]
+                if below and all(LEAD.match(w.key) for w in below) and any(HEADING.match(w.key) for w in below):
+                    self.lead |= {id(w) for w in below}
+            at = best
+        self.content = at
+        self.found = bool(mass[id(root)])
+
+
+def _dropped(node: Node, top: set[int]) -> bool:
+    """A node within the content that is dress by its name."""
+    return node.dead or node.dressed in ("tag", "word") and id(node) not in top
+
+
+def main_text(page: str | None, template: Template | None = None) -> str:
+    """The text at the content's place. Without a template nothing is known of the page, and all its text is main text."""
     if not page:
         return ""
     root, blocks = parse(page)
-    constant: dict[int, bool] = {}
-    _flags(root, wrapper, constant)
-    holds_main = set()
-    for node in _walk(root):
-        if node.main and not node.dressed:
-            up = node.parent
-            while up is not None:
-                holds_main.add(id(up))
-                up = up.parent
+    inside: dict[int, W | None] = {}  # nodes of the content, with the wrapper's node if it has one
+    lead: set[int] = set()
+    if template is None:
+        inside[id(root)] = None
+    else:
+        todo = [(template.root, skeleton(root, 0))]
+        while todo:
+            w, own = todo.pop()
+            if w is template.content:
+                inside |= {id(n): w for n in own.nodes}
+            elif id(w) in template.lead:
+                lead |= {id(n) for n in own.nodes}
+            elif any(id(n.parent) in inside for n in own.nodes):
+                inside |= {id(n): w for n in own.nodes}
+            todo += [(p, q) for p, q in aligned(w.kids, own.kids) if p and q]
+        if not inside:
+            return by_rules(root, blocks) if template.rules else ""
+    rules = template is not None and template.rules
+    top = _ancestors(n for n in _walk(root) if n.main and not n.dressed) if rules else set()
+    verdicts: dict[int, bool] = {}
+    kept = []
+    for node, text in blocks:
+        path, at = [], node
+        while at is not None and id(at) not in verdicts:
+            path.append(at)
+            at = at.parent
+        for n in reversed(path):
+            up = n.parent is not None and verdicts[id(n.parent)]
+            w = inside.get(id(n))
+            if id(n) in lead:
+                good = True
+            elif w is not None and w is template.content:
+                good = not n.dead
+            else:
+                good = up or template is None and n is root
+                if good:
+                    boiler = w is not None and (id(w) in template.linked or id(w) in template.constant and not w.kids and n.tag not in PROSE)
+                    good = not n.dead and not boiler and not (rules and _dropped(n, top))
+            verdicts[id(n)] = good
+        w = inside.get(id(node))
+        constant = w is not None and w is not template.content and id(w) in template.constant and node.tag not in PROSE
+        if verdicts[id(node)] and not constant:
+            kept.append(text)
+    return "\n\n".join(kept)
+
+
+def by_rules(root: Node, blocks: list[tuple[Node, str]]) -> str:
+    """The text by elements, roles and class names: that of the article or main element if there is one, without what is named as dress."""
+    holds_main = _ancestors(n for n in _walk(root) if n.main and not n.dressed)
     verdicts: dict[int, tuple[bool, bool]] = {id(root): (False, False)}  # dress, inside a main element
 
     def verdict(node: Node) -> tuple[bool, bool]:
-        if id(node) not in verdicts:
-            dress, inside = verdict(node.parent)
-            own = node.dressed == "tag" or node.dressed == "word" and id(node) not in holds_main or node.dressed == "header" and not inside and id(node) not in holds_main
-            verdicts[id(node)] = (dress or own, inside or node.main and not own)
-        return verdicts[id(node)]
+        path = []
+        while id(node) not in verdicts:
+            path.append(node)
+            node = node.parent
+        for n in reversed(path):
+            dress, inside = verdicts[id(n.parent)]
+            own = n.dressed == "tag" or n.dressed == "word" and id(n) not in holds_main or n.dressed == "header" and not inside and id(n) not in holds_main
+            verdicts[id(n)] = (dress or own, inside or n.main and not own)
+        return verdicts[id(path[0] if path else node)]
 
     has_main = any(verdict(n) == (False, True) for n, _ in blocks)
-    kept = []
-    for node, text in blocks:
-        dress, inside = verdict(node)
-        if dress or has_main and not inside:
-            continue
-        if constant.get(id(node)) and not (inside and node.tag in PROSE):
-            continue
-        kept.append(text)
-    return "\n\n".join(kept)
+    return "\n\n".join(text for node, text in blocks if not verdict(node)[0] and (verdict(node)[1] or not has_main))
+
+
+def _ancestors(nodes) -> set[int]:
+    out: set[int] = set()
+    for n in nodes:
+        up = n.parent
+        while up is not None and id(up) not in out:
+            out.add(id(up))
+            up = up.parent
+    return out
 
 
 def _walk(node: Node) -> Iterator[Node]:
@@ -178,22 +166,28 @@ def _walk(node: Node) -> Iterator[Node]:
 
 
 def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, wrapper (JSON): one row per host."""
+    """host, wrapper: one row per host."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId() // PARTS
-        held: dict[str, list] = {}
+        part = TaskContext.get().partitionId()
+        held: dict[str, W] = {}
 
         def out() -> pd.DataFrame:
-            return pd.DataFrame([(h, part, json.dumps(w)) for h, w in held.items()], columns=["host", "part", "wrapper"])
+            return pd.DataFrame([(h, part, dumps(w)) for h, w in held.items()], columns=["host", "part", "wrapper"])
 
         for pdf in batches:
             for host, page in zip(pdf["host"], pdf["html"], strict=True):
                 if page:
-                    w = skeleton(parse(page)[0], _hash(page))
-                    held[host] = merge(held[host], w) if host in held else w
+                    w = skeleton(parse(page)[0], digest(page))
+                    if host in held:
+                        w = absorb(held[host], w)
+                        if w.n % RARE == 0:
+                            pruned(w)
+                    for k in post_order(w, lambda x: x.kids):
+                        k.nodes = []
+                    held[host] = w
                 if len(held) >= HOSTS:
                     yield out()
                     held.clear()
@@ -202,32 +196,46 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         w = None
         for s in sorted(pdf["wrapper"]):
-            w = json.loads(s) if w is None else merge(w, json.loads(s))
-        return pd.DataFrame([(pdf["host"].iloc[0], pdf["part"].iloc[0], json.dumps(w))], columns=["host", "part", "wrapper"])
+            w = loads(s) if w is None else absorb(w, loads(s))
+        return pd.DataFrame([(pdf["host"].iloc[0], pdf["part"].iloc[0], dumps(pruned(w)))], columns=["host", "part", "wrapper"])
 
     schema = "host string, part int, wrapper string"
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    parts = rows.mapInPandas(partial, schema).groupBy("host", "part").applyInPandas(whole, schema)
-    return parts.groupBy("host").applyInPandas(whole, schema).select("host", "wrapper")
+    parts, n = rows.mapInPandas(partial, schema), rows.rdd.getNumPartitions()
+    while True:  # wrappers of a host meet in groups of PARTS
+        parts, n = parts.withColumn("part", F.expr(f"part div {PARTS}").cast("int")).groupBy("host", "part").applyInPandas(whole, schema), -(-n // PARTS)
+        if n <= 1:
+            return parts.select("host", "wrapper")
+
+
+def _witnessed(w: W) -> bool:
+    return len(w.seen) >= WITNESSES
 
 
-def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules: bool = True) -> DataFrame:
     """pages with text (the main text) and n_chars (its code points)."""
     wrappers = cut(induce(pages, url_col, html_col), "wrappers").toDF("_host", "_wrapper")
-    joined = pages.join(wrappers, host_of(F.col(url_col)) == F.col("_host"), "left")
+    names = [c for c in pages.columns if c not in ("text", "n_chars")]
+    plain = pages.select(F.struct(*names).alias("_row"), F.col(html_col).alias("_html"), host_of(F.col(url_col)).alias("_key"))  # clear of the names used here
+    joined = plain.join(wrappers, F.col("_key") == F.col("_host"), "left")
 
     @F.pandas_udf("string")
     def text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known: dict[str, list] = {}
+        known: dict[str, Template | None] = {}
         for pages_, ws in batches:
             rows = []
-            for page, w in zip(pages_, ws, strict=True):
-                if w is not None and w not in known:
+            for page, s in zip(pages_, ws, strict=True):
+                if s is not None and s not in known:
                     if len(known) >= HOSTS:
                         known.clear()
-                    known[w] = json.loads(w)
-                rows.append(main_text(page, known[w] if w is not None else None))
+                    w = loads(s)
+                    known[s] = Template(w, rules) if _witnessed(w) else None
+                template = known.get(s)
+                if template is None or not template.found:
+                    rows.append(by_rules(*parse(page)) if page and rules else main_text(page))
+                else:
+                    rows.append(main_text(page, template))
             yield pd.Series(rows, dtype="object")
 
-    names = [c for c in pages.columns if c not in ("text", "n_chars")]
-    return joined.withColumn("_text", text(F.col(html_col), "_wrapper")).select(*names, F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
+    out = joined.select("_row", text("_html", "_wrapper").alias("_text"))
+    return out.select(*[F.col("_row")[c].alias(c) for c in names], F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
