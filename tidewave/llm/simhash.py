@@ -22,7 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations, count
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -40,18 +40,20 @@ SLICE = 200_000  # node pairs expanded at a time
 WINDOW = 100_000  # shingles hashed at a time
 #: MinHash bands: sets of similarity j share one with probability 1 - (1 - j ** ROWS) ** BANDS, 0.9998 at 0.8.
 BANDS, ROWS = 16, 4
+#: In each band's order of sketches, a text is compared with so many that follow it.
+AHEAD = 3
 FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _sketch(text: str, shingle: int, seed: int, bands: int) -> tuple[int, np.ndarray, int]:
-    """The fingerprint, the keys of so many MinHash bands, and the number of distinct shingles (0 without bands)."""
+def _sketch(text: str, shingle: int, seed: int, bands: int) -> tuple[int, np.ndarray, bytes]:
+    """The fingerprint, the keys of so many MinHash bands, and a byte of each of their minima."""
     from xxhash import xxh64_intdigest as h
 
     words = WORD.findall(text.translate(ASCII_LOWER) if text else "")
     if not words:
-        return 0, np.zeros(bands, np.int64), 0
+        return 0, np.zeros(bands, np.int64), bytes(bands * ROWS)
     n = max(1, len(words) - shingle + 1)
-    votes, least, kept = np.zeros(64, np.int64), np.full(bands * ROWS, ~np.uint64(0)), []
+    votes, least = np.zeros(64, np.int64), np.full(bands * ROWS, ~np.uint64(0))
     for a in range(0, n, WINDOW):
         part = words[a : a + WINDOW + shingle - 1]
         if len(part) >= shingle:
@@ -61,14 +63,14 @@ def _sketch(text: str, shingle: int, seed: int, bands: int) -> tuple[int, np.nda
         hashes = np.fromiter((h(x, seed) for x in runs), np.uint64)
         votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         if bands:
-            kept.append(np.unique(hashes))
-            for b in range(0, len(kept[-1]), 1000):
-                np.minimum(least, (kept[-1][b : b + 1000, None] * FACTORS[: bands * ROWS]).min(0), out=least)
+            once = np.unique(hashes)
+            for b in range(0, len(once), 1000):
+                np.minimum(least, (once[b : b + 1000, None] * FACTORS[: bands * ROWS]).min(0), out=least)
     key = np.zeros(bands, np.uint64)
     for column in least.reshape(bands, ROWS).T:
         key = (key ^ column) * FACTORS[0]
         key ^= key >> np.uint64(32)
-    return int(np.packbits(2 * votes > n, bitorder="little").view(np.int64)[0]), key.view(np.int64), len(np.unique(np.concatenate(kept))) if bands else 0
+    return int(np.packbits(2 * votes > n, bitorder="little").view(np.int64)[0]), key.view(np.int64), least.astype(np.uint8).tobytes()
 
 
 def fingerprint(text: str, shingle: int, seed: int = 42) -> int:
@@ -310,39 +312,72 @@ def shingles(text: str | None, k: int) -> set[str]:
 
 
 def sketches(docs: DataFrame, shingle: int, seed: int, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """id_col, the columns named in keep, fp, bands (a key each) and size, the number of distinct shingles."""
+    """id_col, the columns named in keep, fp, bands (a key each) and least, a byte of each minimum."""
 
-    @F.pandas_udf("fp long, bands array<long>, size long")
+    @F.pandas_udf("fp long, bands array<long>, least binary")
     def sketch(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_sketch(t, shingle, seed, BANDS) for t in texts], columns=["fp", "bands", "size"])
+        return pd.DataFrame([_sketch(t, shingle, seed, BANDS) for t in texts], columns=["fp", "bands", "least"])
 
     return docs.select(id_col, *keep, sketch(F.coalesce(F.col(text_col), F.lit(""))).alias("s")).select(id_col, *keep, "s.*")
 
 
+def _followers(members: DataFrame, similarity: float, ahead: int) -> DataFrame:
+    """members (node, th, bands, least, group) -> pairs a, a_th, b, b_th of different groups, at most BANDS * ahead a member.
+
+    For each band, members are sorted by its key and then by the keys of the bands after it, so those that agree on more
+    bands stand closer; each meets the next ones of its key, if their minima agree about as often as similar texts' do.
+    """
+    least_equal = (similarity - 0.2) * BANDS * ROWS  # four deviations below what is expected
+    turned = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.concat(F.slice("bands", b + 1, F.lit(BANDS)), F.slice("bands", F.lit(1), b)).alias("keys")))
+    each = members.select("node", "th", "least", "group", F.explode(turned).alias("x")).select("x.band", F.slice("x.keys", 1, 6).alias("keys"), "node", "th", "least", "group")
+    ordered = each.repartitionByRange(partitions(members.sparkSession), "band", "keys", "node", "th").sortWithinPartitions("band", "keys", "node", "th")
+    kind = members.schema["node"].dataType.simpleString()
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in batches:
+            pdf = pdf.assign(key=[k[0] for k in pdf["keys"]]).drop(columns="keys")
+            new = 0 if rest is None else len(rest)
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            minima = np.frombuffer(b"".join(pdf["least"]), np.uint8).reshape(len(pdf), -1)
+            band, key, group = (pdf[c].to_numpy() for c in ("band", "key", "group"))
+            for step in range(1, ahead + 1):
+                i = np.arange(max(0, new - step), len(pdf) - step)
+                i = i[(band[i] == band[i + step]) & (key[i] == key[i + step]) & (group[i] != group[i + step])]
+                i = i[(minima[i] == minima[i + step]).sum(1) >= least_equal]
+                a, b = pdf.iloc[i], pdf.iloc[i + step]
+                yield pd.DataFrame({"a": a["node"].to_numpy(), "a_th": a["th"].to_numpy(), "b": b["node"].to_numpy(), "b_th": b["th"].to_numpy()})
+            rest = pdf.iloc[-ahead:]
+
+    return ordered.mapInPandas(follow, f"a {kind}, a_th long, b {kind}, b_th long").distinct()
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_differing: int = 10, steps: tuple[int, ...] = (2, 4, 6, 8), seed: int = 42, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Groups by similarity of shingle sets (Jaccard), with fingerprints and MinHash bands as the indexes: id_col, component_id.
 
     Equal texts are one node. Nodes of one fingerprint are linked to its smallest; fingerprints at most max_differing bits apart
     by the shortest links that connect them; nodes that share a band to the smallest that has it. Bands see sets, so they also
     find pairs whose fingerprints lie far apart. Each link's similarity is then computed from whole texts, and those below the
-    threshold are cut. Bands that still hold several groups link their members to other heads as long as that joins many, and then
-    all pairs of members from different groups are tested, so no pair of a band is given up for links that were cut. Rows of one
-    id are one document.
+    threshold are cut. Nodes whose bands still hold several groups are then sorted band by band, and each is tested with those
+    that follow it in that order (_followers). All steps make a bounded number of pairs a node, however large a family of
+    texts is; how many similar pairs end in one group is measured in the tests and the README. Rows of one id are one document.
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
     marked = cut(sketches(plain, shingle, seed, "id", "t", ("th",)), "fingerprints")
-    nodes = cut(marked.groupBy("fp", "th").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("size").alias("size")), "nodes")
+    nodes = cut(marked.groupBy("fp", "th").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("least").alias("least")), "nodes")
     lows = nodes.groupBy("fp").agg(F.min(F.struct("node", "th")).alias("low"))
-    within = nodes.join(lows, "fp").where(F.col("node") != F.col("low.node")).select(F.col("node").alias("a"), F.col("th").alias("a_th"), F.col("low.node").alias("b"), F.col("low.th").alias("b_th"))
+    low_end = [F.col("low.node").alias("b"), F.col("low.th").alias("b_th")]
+    own_end = [F.col("node").alias("a"), F.col("th").alias("a_th")]
+    within = nodes.select("fp", "node", "th").join(lows, "fp").where(F.col("node") != F.col("low.node")).select(*own_end, *low_end)
     links = cut(near_links(lows.select("fp"), max_differing, block, steps), "near-links").distinct()
     end = lambda x: lows.select(F.col("fp").alias(x), F.col("low.node").alias(f"n_{x}"), F.col("low.th").alias(f"th_{x}"))
     between = links.join(end("a"), "a").join(end("b"), "b").select(F.col("n_a").alias("a"), F.col("th_a").alias("a_th"), F.col("n_b").alias("b"), F.col("th_b").alias("b_th"))
-    banded = nodes.select("node", "th", "size", F.posexplode("bands").alias("band", "key"))
+    banded = nodes.select("node", "th", F.posexplode("bands").alias("band", "key"))
     heads = banded.groupBy("band", "key").agg(F.min(F.struct("node", "th")).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    shared = banded.join(heads, ["band", "key"]).where(F.col("node") != F.col("low.node")).select(F.col("node").alias("a"), F.col("th").alias("a_th"), F.col("low.node").alias("b"), F.col("low.th").alias("b_th"))
-    texts = plain.select("id", "th", "t").dropDuplicates(["id", "th"])
-    side = lambda x: texts.select(F.col("id").alias(x), F.col("th").alias(f"{x}_th"), F.col("t").alias(f"{x}_t"))
+    shared = banded.join(heads, ["band", "key"]).where(F.col("node") != F.col("low.node")).select(*own_end, *low_end)
 
     @F.pandas_udf("double")
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -352,38 +387,23 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
             out.append(len(p & q) / len(p | q) if p or q else 1.0)
         return pd.Series(out, dtype="float64")
 
-    def judge(pairs: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """The pairs that were not tested before, the larger end first, and those of them that are similar."""
+    def similar(pairs: DataFrame) -> DataFrame:
+        """The pairs, the larger end first, that are similar. Only texts of their ends are moved."""
         x, y = F.struct(F.col("a").alias("n"), F.col("a_th").alias("th")), F.struct(F.col("b").alias("n"), F.col("b_th").alias("th"))
-        both = pairs.select(F.greatest(x, y).alias("x"), F.least(x, y).alias("y")).select(F.col("x.n").alias("a"), F.col("x.th").alias("a_th"), F.col("y.n").alias("b"), F.col("y.th").alias("b_th")).distinct()
-        new = cut(both if tested is None else both.join(tested, ["a", "a_th", "b", "b_th"], "left_anti"), "pairs")
+        new = cut(pairs.select(F.greatest(x, y).alias("x"), F.least(x, y).alias("y")).select(F.col("x.n").alias("a"), F.col("x.th").alias("a_th"), F.col("y.n").alias("b"), F.col("y.th").alias("b_th")).distinct(), "pairs")
+        ends = new.select(F.col("a").alias("id"), F.col("a_th").alias("th")).unionByName(new.select(F.col("b").alias("id"), F.col("b_th").alias("th"))).distinct()
+        texts = cut(plain.join(ends, ["id", "th"], "left_semi").select("id", "th", "t").dropDuplicates(["id", "th"]), "pair-texts")
+        side = lambda x: texts.select(F.col("id").alias(x), F.col("th").alias(f"{x}_th"), F.col("t").alias(f"{x}_t"))
         judged = new.join(side("a"), ["a", "a_th"]).join(side("b"), ["b", "b_th"]).withColumn("j", jaccard("a_t", "b_t"))
-        return new, cut(judged.where(F.col("j") >= similarity).select("a", "b"), "similar")
-
-    def open_bands(roots: DataFrame) -> DataFrame:
-        """The members of bands that hold more than one group, with their group."""
-        at = banded.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
-        mixed = at.groupBy("band", "key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("band", "key")
-        return cut(at.join(mixed, ["band", "key"]), "open-bands")
-
-    tested, good = judge(within.unionByName(between).unionByName(shared), None)
-    for turn in count(1):
-        roots = cut(components(spark, good), "roots")
-        members = open_bands(roots)
-        n = members.select("node").distinct().count()
-        if not n:
-            break
-        heads = members.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "th", "group", "size")).alias("head"))
-        sized = lambda x, y: F.least(x, y) >= F.greatest(x, y) * similarity - 1e-9  # noqa: E731  (or they can't be similar)
-        stars = members.join(heads, ["band", "key"]).where((F.col("group") != F.col("head.group")) & sized(F.col("size"), F.col("head.size")))
-        new, found = judge(stars.select(F.col("node").alias("a"), F.col("th").alias("a_th"), F.col("head.node").alias("b"), F.col("head.th").alias("b_th")), tested)
-        tested, good = tested.unionByName(new), good.unionByName(found)
-        if found.count() * 10 < n:  # other heads join little more: all that is left meets
-            members = open_bands(cut(components(spark, good), "roots"))
-            other = members.select("band", "key", F.col("node").alias("b"), F.col("th").alias("b_th"), F.col("group").alias("b_group"), F.col("size").alias("b_size"))
-            met = members.join(other, ["band", "key"]).where((F.col("group") < F.col("b_group")) & sized(F.col("size"), F.col("b_size")))
-            good = good.unionByName(judge(met.select(F.col("node").alias("a"), F.col("th").alias("a_th"), "b", "b_th"), tested)[1])
-            roots = cut(components(spark, good), "roots")
-            break
+        return cut(judged.where(F.col("j") >= similarity).select("a", "b"), "similar")
+
+    good = similar(within.unionByName(between).unionByName(shared))
+    roots = cut(components(spark, good), "roots")
+    named = nodes.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
+    mixed = named.select("node", "th", "group", F.posexplode("bands").alias("band", "key")).groupBy("band", "key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("band", "key")
+    open_ = banded.join(mixed, ["band", "key"], "left_semi").select("node", "th").distinct()
+    members = cut(named.join(open_, ["node", "th"], "left_semi").select("node", "th", "bands", "least", "group"), "open-members")
+    more = similar(_followers(members, similarity, AHEAD))
+    roots = cut(components(spark, good.unionByName(more)), "roots")
     named = nodes.join(roots, "node", "left").select("fp", "th", F.coalesce("root", "node").alias("component_id"))
-    return marked.join(named, ["fp", "th"]).select(F.col("id").alias(id_col), "component_id")
+    return marked.select("id", "fp", "th").join(named, ["fp", "th"]).select(F.col("id").alias(id_col), "component_id")
