@@ -30,6 +30,8 @@ def test_splits_are_whole_disjoint_and_repeatable():
     a = retrieval.split(list(range(1, 18)), 42, 7, 1)
     assert a == retrieval.split(list(range(1, 18))[::-1], 42, 7, 1) and a != retrieval.split(list(range(1, 18)), 42, 8, 1)
     assert [sum(v == r for v in a.values()) for r in ("train", "validation", "test")] == [13, 2, 2] and set(a) == set(range(1, 18))
+    with pytest.raises(ValueError, match="none to train"):
+        retrieval.split([1, 2, 3, 4], 42, 7, 1)
 
 
 def test_ridge_recovers_weights():
@@ -40,6 +42,30 @@ def test_ridge_recovers_weights():
     assert alpha == 1e-8 and np.allclose(got, w, atol=1e-6) and np.allclose(b, 1, atol=1e-6)
 
 
+def as_sums(x, y):
+    return {"n": float(len(x)), "sx": x.sum(0), "xx": x.T @ x, "sy": y.sum(0), "xy": x.T @ y, "yy": (y * y).sum(0)}
+
+
+def test_a_doubled_column_shares_its_weight():
+    x = np.random.default_rng(1).normal(size=(200, 1)).repeat(2, 1)
+    _, w, b, _ = linear.ridge_path(as_sums(x, 2 * x[:, :1]), as_sums(x[:50], 2 * x[:50, :1]), [0.0])
+    assert np.allclose(w.ravel(), [1, 1], atol=1e-6) and abs(b[0]) < 1e-6
+
+
+def test_the_correlation_metric_is_one_cosine_around_training_means():
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(300, 3)) + 1, rng.normal(size=(300, 2))
+    y += x[:, :2]
+    a, v = slice(0, 200), slice(200, 300)
+    _, _, _, scores = linear.ridge_path(as_sums(x[a], y[a]), as_sums(x[v], y[v]), [0.1, 10.0], "correlation")
+    mx, my = x[a].mean(0), y[a].mean(0)
+    for alpha, s in zip([0.1, 10.0], scores, strict=True):
+        c = (x[a] - mx).T
+        w = np.linalg.solve(c @ c.T / 200 + alpha * np.eye(3), c @ (y[a] - my) / 200)
+        p, q = ((x[v] - mx) @ w).ravel(), (y[v] - my).ravel()
+        assert s == pytest.approx(p @ q / math.sqrt((p @ p) * (q @ q)))
+
+
 def test_sums_do_not_depend_on_partitions(spark):
     rng = np.random.default_rng(3)
     x, y = rng.normal(size=(101, 4)), rng.normal(size=(101, 2))
@@ -56,15 +82,52 @@ def test_sums_do_not_depend_on_partitions(spark):
 
 def test_response_model_recovers_correlation():
     rng = np.random.default_rng(20260907)
-    s, w = rng.normal(size=5000), rng.normal(size=(10, 4))
+    s, w = rng.normal(size=5000), rng.normal(scale=0.2, size=(10, 4))
     x = windows.padded_design(s, -3, 6)
-    y = x @ w + 0.15 * rng.normal(size=(5000, 4)) * np.abs(w).sum(0)
+    y = x @ w + rng.normal(scale=0.15, size=(5000, 4))
     stories = {}
     for k in range(10):
-        a, b = x[k * 500 : k * 500 + 500], y[k * 500 : k * 500 + 500]
-        stories[k] = {"n": 500.0, "sx": a.sum(0), "xx": a.T @ a, "sy": b.sum(0), "xy": a.T @ b, "yy": (b * b).sum(0)}
+        stories[k] = as_sums(x[k * 500 : k * 500 + 500], y[k * 500 : k * 500 + 500])
     got = linear.nested_cv(stories, [1.0, 100.0, 1e6])
-    assert len(got) == 5 and min(min(r["r"]) for r in got) > 0.85 and all(r["alpha"] < 1e6 for r in got)
+    assert len(got) == 5 and min(linear.pooled_r(got)) >= 0.95 and all(r["alpha"] < 1e6 and r["score"] > 0.9 for r in got)
+    # from the definition: r of held-out stories on series, z weighted by samples, r over all folds together
+    part = {k: (slice(k * 500, k * 500 + 500)) for k in stories}
+    z = lambda v: v - v.mean(0)
+    fit = lambda ids, alpha: np.linalg.solve(sum(z(x[part[i]]).T @ z(x[part[i]]) for i in ids) + alpha * np.eye(10), sum(z(x[part[i]]).T @ z(y[part[i]]) for i in ids))
+    folds = linear.balanced_folds(list(stories), [500.0] * 10, 5)
+    cross = own = actual = 0.0
+    for row in got:
+        train = [i for i in stories if folds[i] != row["fold"]]
+        inner, best = linear.balanced_folds(train, [500.0] * len(train), 5), {}
+        for alpha in (1.0, 100.0, 1e6):
+            rs = []
+            for j in set(inner.values()):
+                w = fit([i for i in train if inner[i] != j], alpha)
+                rs += [np.arctanh(np.corrcoef((x[part[i]] @ w)[:, c], y[part[i]][:, c])[0, 1]) for i in train if inner[i] == j for c in range(4)]
+            best[alpha] = np.mean(rs)
+        assert row["alpha"] == max(best, key=lambda v: (best[v], -v)) and row["score"] == pytest.approx(np.tanh(best[row["alpha"]]))
+        w = fit(train, row["alpha"])
+        for i in row["stories"]:
+            p, q = z(x[part[i]]) @ w, z(y[part[i]])
+            cross, own, actual = cross + (p * q).sum(0), own + (p * p).sum(0), actual + (q * q).sum(0)
+    assert np.allclose(linear.pooled_r(got), cross / np.sqrt(own * actual))
+
+
+def test_the_response_waveform_is_the_kernels_shape(spark):
+    rng = np.random.default_rng(2)
+    kernel = np.exp(-((np.arange(12) - 4) ** 2) / 4)
+    rows = []
+    for story in range(6):
+        x = windows.padded_design(rng.normal(size=400), -2, 9)
+        y = (x @ kernel)[:, None] * [1.0, 2.0] + rng.normal(size=(400, 2)) / 2
+        s = as_sums(x, y)
+        rows.append(("m", story, s["n"], *[s[c].ravel().tolist() for c in ("sx", "xx", "sy", "xy", "yy")]))
+    sums = spark.createDataFrame(rows, "model string, story int, " + linear.SUMS)
+    got = linear.response_waveform(sums, ["model"], "story", [1.0, 100.0]).orderBy("lag").collect()
+    z = (kernel - kernel.mean()) / kernel.std()
+    assert [r["lag"] for r in got] == list(range(12)) and np.corrcoef([r["z"] for r in got], z)[0, 1] > 0.99
+    cv = linear.grouped_cv(sums, ["model"], "story", [1.0, 100.0]).collect()
+    assert len(cv) == 5 and all(len(r["pooled_r"]) == 2 and min(r["pooled_r"]) > 0.9 for r in cv)
 
 
 def test_folds_are_balanced():
@@ -94,7 +157,7 @@ def test_retrieval_by_brute_force(spark):
         own = sorted((x for x in data if x[0] == g), key=lambda x: x[1])
         k = len(own) // 4
         p, y = (np.array([x[c] for x in own[: k * 4]]).reshape(k, -1) for c in (2, 3))
-        for i, c in enumerate(retrieval.draw_candidates(k, [j * 4 for j in range(k)], 4, 5, 9)):
+        for i, c in enumerate(retrieval.draw_candidates(k, [j * 4 for j in range(k)], 4, 5, [9, retrieval._number(g), 4])):
             if c is None:
                 continue
             want += 1
@@ -103,10 +166,27 @@ def test_retrieval_by_brute_force(spark):
             assert x["candidates"] == c and x["start"] == i * 4 and np.allclose(x["scores"], s)
             at = c.index(i)
             assert (x["positive_label"], x["predicted_label"]) == (at, int(np.argmax(s))) and x["positive_rank"] == 1 + sum(v > s[at] for v in s)
-            assert abs(x["margin"] - (s[at] - np.delete(s, at).mean())) < 1e-9 and x["correct"] == (np.argmax(s) == at)
+            assert abs(x["margin"] - (s[at] - np.delete(s, at).max())) < 1e-9 and abs(x["mean_negative"] - np.delete(s, at).mean()) < 1e-9 and x["correct"] == (np.argmax(s) == at)
     assert len(got) == want > 20
 
 
+def test_retrieval_with_strides_and_seeds_by_trial(spark):
+    r = np.random.default_rng(6)
+    data = [(s, k, t, r.normal(size=2).tolist(), r.normal(size=2).tolist()) for s in (1, 2) for k in (3, 4) for t in range(61)]
+    df = spark.createDataFrame(data, "subject int, trial int, t long, p array<double>, y array<double>")
+    got = {(x["subject"], x["trial"], x["segment"]): x for x in retrieval.retrieval_windows(df, ["subject", "trial"], "t", "p", "y", 6, 4, 9, stride=2, width_ms=1500).collect()}
+    drawn = {}
+    for s in (1, 2):
+        for k in (3, 4):
+            starts = list(range(0, 61 - 6 + 1, 2))
+            drawn[s, k] = retrieval.draw_candidates(len(starts), starts, 6, 4, [9, s, k, 1500])
+            for i, c in enumerate(drawn[s, k]):
+                assert got[s, k, i]["candidates"] == c and got[s, k, i]["start"] == starts[i]
+    assert len({json.dumps(c) for c in drawn.values()}) == 4 and len(got) == sum(map(len, drawn.values()))
+    short = retrieval.summary(retrieval.retrieval_windows(df, ["subject", "trial"], "t", "p", "y", 6, 4, 9, stride=2), ["subject", "trial"], 4).collect()
+    assert all(x["binomial_p"] == pytest.approx(sum(math.comb(x["windows"], j) * 0.25**j * 0.75 ** (x["windows"] - j) for j in range(x["correct"], x["windows"] + 1)), rel=1e-9) for x in short)
+
+
 def test_permutations_are_as_many_as_in_the_reference(spark):
     import __spark_entry__
 
@@ -117,7 +197,7 @@ def test_permutations_are_as_many_as_in_the_reference(spark):
 def test_ranks_and_ties(spark):
     df = spark.createDataFrame([(1, 0, 0.5, False), (1, 1, 0.5, True), (1, 2, 0.1, False)], "q int, p int, s double, pos boolean")
     r = retrieval.ranked(df, ["q"], "p", "s", "pos").first()
-    assert (r["positive_rank"], r["predicted_label"], r["correct"]) == (1, 0, 0) and r["margin"] == pytest.approx(0.2)
+    assert (r["positive_rank"], r["predicted_label"], r["correct"]) == (1, 0, 0) and r["margin"] == pytest.approx(0.0) and r["mean_negative"] == pytest.approx(0.3)
 
 
 def test_rasters(spark):
@@ -127,6 +207,17 @@ def test_rasters(spark):
         intervals.rasterize(df, "start", "stop", 100.0, "k", ["k"], ["story"], "error").collect()
 
 
+def test_frames_outside_intervals_and_single_overlaps(spark):
+    frames = spark.createDataFrame([(1, i) for i in range(6)], "story int, frame long")
+    out = spark.createDataFrame([(1, 0.01, 0.03), (1, 0.025, 0.04)], "story int, start double, stop double")
+    assert rows(intervals.without(frames, out, "start", "stop", 100.0, ["story"]).select("frame"), "frame") == [(0,), (4,), (5,)]
+    a = spark.createDataFrame([(1, 0.0, 1.0), (1, 5.0, 6.0)], "s int, a double, b double")
+    b = spark.createDataFrame([(1, "x", 0.5, 2.0), (1, "y", 5.5, 9.0)], "s int, n string, c double, d double")
+    assert rows(intervals.only_overlap(a, b, ["s", "a"], "a", "b", "c", "d", 3.0, ["s"]).select("a", "n"), "a") == [(0.0, "x"), (5.0, "y")]
+    with pytest.raises(Exception, match="no or several"):
+        intervals.only_overlap(a, b.limit(1), ["s", "a"], "a", "b", "c", "d", 3.0, ["s"]).collect()
+
+
 def test_points_meet_half_open_intervals_once(spark):
     rng = np.random.default_rng(1)
     p = [(int(i), float(x)) for i, x in enumerate(rng.integers(-20, 60, 200) / 2)]
@@ -177,6 +268,16 @@ def test_checked_joins(spark):
     assert relational.one_to_one(a, b.limit(1), ["k"]).count() == 1
     with pytest.raises(Exception, match="repeats"):
         relational.one_to_one(a, b, ["k"]).collect()
+    assert rows(relational.lookup(a.where("k = 1"), b.limit(1), "k")) == [(1, "x", "p")]
+    with pytest.raises(Exception, match="not in the lexicon: 2"):
+        relational.lookup(a, b.limit(1), "k").collect()
+    assert rows(relational.intersection([a, b, a], ["k"])) == [(1,)]
+    with pytest.raises(Exception, match="unknown id: 2"):
+        relational.checked_ids(a, [1], "k").collect()
+    wide = spark.createDataFrame([(1, 1.0, 2.0), (2, 3.0, None)], "k int, u double, v double")
+    long = relational.melted(wide, ["k"], ["u", "v"], "m", "x")
+    assert relational.same_values(wide, long, ["k"], ["u", "v"], "m", "x").count() == 0
+    assert rows(relational.same_values(wide, long.withColumn("x", F.col("x") + F.when(F.col("k") == 2, 1).otherwise(0)), ["k"], ["u", "v"], "m", "x")) == [(2, "u", 3.0, 4.0)]
     assert rows(relational.difference(a, b.withColumn("k", F.col("k") + 1), ["k"])) == [(1, "missing")]
     assert relational.same_set(a, a, ["k"]) and relational.set_difference(a, a).isEmpty()
     x = spark.createDataFrame([([1.0, 2.0, 3.0],)], "x array<double>")
@@ -190,6 +291,7 @@ def test_names(spark):
     assert one(names.letters_upper(F.lit(" f-p1 "))) == "FP1" and one(names.trailing_number(F.lit("sub-07"))) == 7
     assert [one(names.story_day(F.lit(k))) for k in (1, 17, 18, 33, 34, 50, 51)] == [1, 1, 2, 2, 3, 3, None]
     assert one(names.story_device(F.lit(34))) == "late" and one(names.is_auxiliary(F.lit("heog"))) is True and one(names.is_auxiliary(F.lit("x-eog"))) is False and one(names.has_auxiliary_word(F.lit("x-eog"))) is True
+    assert [one(names.has_auxiliary_word(F.lit(w))) for w in ("STIM 1", "ECG", "EMG", "Fp1")] == [True, True, False, False] and one(names.folded(F.lit("Cz"))) == "cz"
     assert one(names.cjk_count(F.lit("a中文b"))) == 2 and one(names.without_ansi(F.lit("\x1b[31mred\x1b[0m"))) == "red"
     assert one(names.joined_reasons(F.lit("b;nan;a;"), names.reasons(c=F.lit(True), a=F.lit(True), d=F.lit(False)))) == "a;b;c"
 
@@ -215,6 +317,15 @@ def test_p_values():
     assert st.permutation_p(np.arange(8.0), np.arange(8.0), 1, 2000) < 0.01 and math.isnan(st.permutation_p(np.ones(4), np.arange(4), 1, 10))
 
 
+def test_p_values_of_means_and_correlations(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(st.t_two_sided(F.lit(-2.0), F.lit(10.0))) == pytest.approx(2 * 0.036694017385, rel=1e-9)
+    assert one(st.pearson_p(F.lit(0.5), F.lit(12.0))) == pytest.approx(2 * st.t_survival(0.5 * math.sqrt(10 / 0.75), 10), rel=1e-9) and one(st.pearson_p(F.lit(0.5), F.lit(2.0))) is None
+    assert one(st.paired_t_p(F.lit(1.0), F.lit(2.0), F.lit(16))) == pytest.approx(2 * st.t_survival(2.0, 15), rel=1e-9)
+    t, df = st.welch_t(F.lit(5.0), F.lit(4.0), F.lit(8.0), F.lit(3.0), F.lit(9.0), F.lit(9.0))
+    assert one(t) == pytest.approx(2 / math.sqrt(1.5)) and one(df) == pytest.approx(1.5**2 / (0.25 / 7 + 1 / 8))
+
+
 def test_false_discovery(spark):
     p = [0.01, 0.04, 0.03, 0.5]
     df = spark.createDataFrame([("a", x) for x in p] + [("b", 0.1), ("b", None)], "k string, p double")
@@ -230,6 +341,20 @@ def test_robust_z_on_constant_groups(spark):
     assert max(r["z"] for r in st.with_robust_z(df, "x", ["k"], "z", "clamp").collect()) > 1e9
 
 
+def test_both_names_of_outlying_channels(spark):
+    df = spark.createDataFrame([("s", c, v) for c, v in zip("abcde", (1.0, 1.1, 0.9, 1.05, 900.0), strict=True)], "s string, c string, std double")
+    got = lambda **k: {r["c"]: r["bad_reasons"] for r in quality.channel_flags(df, ["s"], "std", 3.0, {}, **k).collect()}["e"]
+    assert got() == "high_std" and got(outlier="variance_outlier") == "variance_outlier"
+
+
+def test_array_correlation_is_pearsons(spark):
+    r = np.random.default_rng(1)
+    x, y = r.normal(size=(2, 9))
+    df = spark.createDataFrame([(x.tolist(), y.tolist(), [1.0] * 9)], "x array<double>, y array<double>, k array<double>")
+    got = df.select(retrieval.array_correlation(F.col("x"), F.col("y")), retrieval.array_correlation(F.col("x"), F.col("k"))).first()
+    assert got[0] == pytest.approx(np.corrcoef(x, y)[0, 1]) and got[1] == 0.0
+
+
 def test_leave_one_out_is_the_direct_correlation(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(4, 30)) + rng.normal(size=30)
@@ -269,6 +394,25 @@ def test_spectra_and_filters():
     assert signal.peaks(np.array([0, 3.0, 3, 0, 5, 0, 1, 0]), 2.0, 4).tolist() == [4] and signal.peaks(np.array([0, 3.0, 3, 0, 5, 0]), 2.0, 1).tolist() == [1, 4]
 
 
+def test_measures_of_spectra(spark):
+    r = np.random.default_rng(3)
+    f = np.arange(0, 60.5, 0.5)
+    psd = {c: r.uniform(0.1, 2, len(f)) for c in "ab"}
+    psd["b"][20:40] = 0.0
+    df = spark.createDataFrame([(c, float(x), float(p)) for c, ps in psd.items() for x, p in zip(f, ps, strict=True)], "c string, frequency double, power double")
+    for low, high in ((1.0, 40.0), (13.0, 30.0), (59.9, 60.4)):
+        got = {x["c"]: x["p"] for x in signal.band_power(df, ["c"], low, high, "p").collect()}
+        m = (f >= low) & (f < high)
+        assert got == {c: pytest.approx(np.trapezoid(p[m], f[m])) if m.sum() > 1 else None for c, p in psd.items()}
+    got = {x["c"]: x for x in df.groupBy("c").agg(signal.spectral_slope().alias("s"), signal.line_noise_db().alias("l")).collect()}
+    tiny = np.finfo(float).tiny
+    for c, p in psd.items():
+        m = (f >= 2) & (f <= 40)
+        assert got[c]["s"] == pytest.approx(np.polyfit(np.log10(f[m]), np.log10(np.maximum(p[m], tiny)), 1)[0])
+        mean = lambda lo, hi: p[(f >= lo) & (f < hi)].mean()  # noqa: B023, E731
+        assert got[c]["l"] == pytest.approx(10 * np.log10(mean(49, 51) / ((mean(45, 48) + mean(52, 55)) / 2)))
+
+
 def test_mel():
     assert signal.log_mel(np.zeros(16_000), 100).shape == (100, 80) and (signal.log_mel(np.zeros(16_000), 100) == -9).all()
     assert [signal.frame_count(n, 48_000) for n in (48_000, 48_001, 47_999)] == [100, 101, 100]
@@ -284,6 +428,8 @@ def test_audits(spark):
     assert got[1] == (True, True, False, 0.0) and got[2] == (True, False, False, 0.5) and got[3][0] is False
     assert rows(audit.checks(df, {"small": F.col("k") < 3, "all": F.col("k") > 0}), "check") == [("all", 3, 0, True), ("small", 3, 1, False)]
     a, b = spark.createDataFrame([("x", "1"), ("y", "2"), ("z", "3")], "p string, c string"), spark.createDataFrame([("x", "1"), ("y", "9")], "p string, c string")
+    wild = audit.array_profile(spark.createDataFrame([(1, [0.0, 1.0, 5.0]), (2, [math.nan, 1.0])], "k int, x array<double>"), ["k"], "x").orderBy("k").collect()
+    assert (wild[0]["n"], wild[0]["low"], wild[0]["high"], wild[0]["finite"], round(wild[0]["robust_sd"], 4)) == (3, 0.0, 5.0, True, 1.4826) and wild[1]["finite"] is False
     assert rows(audit.same_content(a, b, "p", "c"), "p") == [("x", "EXACT"), ("y", "DIFFERENT"), ("z", "NOT_COMPARABLE")]
 
 
@@ -313,6 +459,8 @@ def test_sources(spark, tmp_path):
     with pytest.raises(Exception, match="layout"):
         readers.validator_report(spark, str(tmp_path / "bad.json")).collect()
     assert readers.checksums(spark, str(tmp_path / "h.vhdr")).count() == 1
+    (tmp_path / "side.json").write_text(json.dumps({"SamplingFrequency": 500, "TaskName": "x"}))
+    assert rows(readers.sidecars(spark, str(tmp_path / "side.json"), "SamplingFrequency double, TaskName string")) == [(500.0, "x")]
 
 
 def test_sinks(spark, tmp_path):
@@ -350,14 +498,53 @@ def test_a_stream_carries_the_last_sample(spark, tmp_path):
     assert out == [("k", 3, 0), ("k", 3, 3)]
 
 
+#: Queries without SQL, and the tests that hold what they apply against numpy, brute force or the definition.
+HELD = {
+    "ridge_path": ["test_ridge_recovers_weights", "test_sums_do_not_depend_on_partitions", "test_a_doubled_column_shares_its_weight"],
+    "ridge_predictions": ["test_ridge_recovers_weights"],
+    "nested_cv": ["test_response_model_recovers_correlation"],
+    "trf_correlation": ["test_response_model_recovers_correlation", "test_lagged_designs"],
+    "response_waveform": ["test_the_response_waveform_is_the_kernels_shape"],
+    "candidate_retrieval": ["test_retrieval_by_brute_force", "test_retrieval_with_strides_and_seeds_by_trial"],
+    "retrieval_summary": ["test_retrieval_with_strides_and_seeds_by_trial"],
+    "fft_resample": ["test_resampling_keeps_a_slow_wave"],
+    "poly_resample": ["test_resampling_keeps_a_slow_wave"],
+    "lowpass": ["test_spectra_and_filters"],
+    "log_mel_frames": ["test_mel"],
+    "welch_psd": ["test_spectra_and_filters"],
+    "spectral_measures": ["test_measures_of_spectra"],
+    "artifact_rate": ["test_spectra_and_filters"],
+    "trial_splits": ["test_splits_are_whole_disjoint_and_repeatable"],
+    "condition_statistics": ["test_p_values", "test_condition_statistics_from_the_rows"],
+    "permutation_correlation": ["test_permutations_are_as_many_as_in_the_reference", "test_p_values"],
+}
+
+
 def test_every_query_has_its_sql_or_a_test(spark):
     import __spark_entry__ as e
+    from tidewave.plans import registry
 
     q, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(q) and "window_quality_rollup" in q
+    assert set(registry.queries()) - set(sql) == set(HELD) and all(n in globals() for held in HELD.values() for n in held)
     assert e.entry(spark).count() > 0
 
 
+def test_condition_statistics_from_the_rows(spark):
+    import __spark_entry__ as e
+
+    sf = "/root/testdata/sf0.001"
+    l = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_returnflag", "l_discount").toPandas()
+    l["c"] = (l["l_discount"] > 0.05).astype(int)
+    for r in e.queries()["condition_statistics"](spark, sf).collect():
+        own = l[l["l_returnflag"] == r["l_returnflag"]]
+        acc = own.groupby("l_suppkey")["c"].mean()
+        sem = acc.std() / math.sqrt(len(acc))
+        half = st.t_quantile(0.975, len(acc) - 1) * sem
+        assert r["mean"] == pytest.approx(acc.mean()) and (r["low"], r["high"]) == pytest.approx((acc.mean() - half, acc.mean() + half))
+        assert r["p_greater"] == pytest.approx(st.t_survival((acc.mean() - 0.5) / sem, len(acc) - 1)) and r["p_binomial"] == pytest.approx(st.binomial_greater(int(own["c"].sum()), len(own), 0.5))
+
+
 def test_model_hooks(spark):
     from tidewave.sources import models
 
@@ -378,6 +565,10 @@ def test_recordings(spark):
         recordings.trials_of_groups(groups, trials.unionByName(spark.createDataFrame([(9,)], "trial int"))).collect()
     s = spark.createDataFrame([("a", t, float(t)) for t in range(6)], "k string, t long, x double")
     e = spark.createDataFrame([("a", 0.2, 0.2)], "k string, start double, duration double")
+    arrays = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0])], "k int, x array<double>")
+    assert rows(recordings.rescaled(arrays, "x", F.col("k") == 2, 10.0), "k") == [(1, [1.0, 2.0]), (2, [10.0, 20.0])]
+    texts = spark.createDataFrame([("a", "TBD later"), ("b", "done")], "p string, text string")
+    assert rows(recordings.placeholders(texts).select("p")) == [("a",)] and rows(recordings.redacted(texts, {"text": None}), "p") == [("a", None), ("b", None)]
     assert [r["t"] for r in recordings.segments(s, e, ["k"], "t", 10.0).orderBy("t").collect()] == [2, 3, 4]
     r = s.withColumn("rate", F.lit(100))
     assert rows(recordings.to_rate(r, ["k"], "t", "rate", 50).select("t", "x"), "t") == [(0, 0.0), (1, 2.0), (2, 4.0)]

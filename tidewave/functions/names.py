@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Prefixes of auxiliary channels; words in names of eye, heart and muscle channels.
+# Prefixes of auxiliary channels; words in names of channels that quality control leaves out.
 AUXILIARY = ("EOG", "ECG", "EKG", "EMG", "HEO", "VEO")
+AUXILIARY_WORDS = ("veo", "heo", "eog", "ecg", "stim")
 
 
 def folded(c: Column) -> Column:
@@ -27,11 +28,8 @@ def is_auxiliary(c: Column) -> Column:
 
 
 def has_auxiliary_word(c: Column) -> Column:
-    up = F.upper(c)
-    out = F.lit(False)
-    for w in AUXILIARY:
-        out = out | up.contains(w)
-    return out
+    """One of the words stands anywhere in the name, in any case."""
+    return F.lower(c).rlike("|".join(AUXILIARY_WORDS))
 
 
 def trailing_number(c: Column) -> Column:

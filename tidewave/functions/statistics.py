@@ -137,6 +137,17 @@ def t_ppf(q: pd.Series, df: pd.Series) -> pd.Series:
     return _vector(t_quantile)(q, df)
 
 
+def paired_t_p(mean: Column, sd: Column, n: Column) -> Column:
+    """Two-sided p-value of a mean of differences."""
+    return t_two_sided(mean / (sd / F.sqrt(n.cast("double"))), n.cast("double") - 1)
+
+
+def welch_t(m1: Column, v1: Column, n1: Column, m2: Column, v2: Column, n2: Column) -> tuple[Column, Column]:
+    """t and the degrees of freedom of two means with sample variances of their own."""
+    a, b = v1 / n1, v2 / n2
+    return (m1 - m2) / F.sqrt(a + b), F.pow(a + b, 2) / (a * a / (n1 - 1) + b * b / (n2 - 1))
+
+
 @F.pandas_udf(DoubleType())
 def binomial_p(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return _vector(binomial_greater)(k, n, p)

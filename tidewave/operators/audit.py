@@ -20,7 +20,7 @@ def compare_arrays(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def array_profile(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     """Per key: length, extremes, whether all values are finite, and the robust deviation."""
-    v = df.select(*keys, F.explode(x).cast("double").alias("v"))
+    v = df.select(*keys, F.explode(F.transform(x, lambda e: e.cast("double"))).alias("v"))
     mid = v.groupBy(*keys).agg(F.median("v").alias("m"))
     joined = v.join(mid, keys)
     return joined.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.min(~F.isnan("v") & (F.abs("v") < float("inf"))).alias("finite"), (1.4826 * F.median(F.abs(F.col("v") - F.col("m")))).alias("robust_sd"))

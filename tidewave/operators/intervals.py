@@ -57,6 +57,21 @@ def rasterize(intervals: DataFrame, start: str, end: str, rate: float, order: st
     return top.select(*by, "frame", *[F.col(f"_m.{v}").alias(v) for v in values])
 
 
+def only_overlap(left: DataFrame, right: DataFrame, key: list[str], ls: str, le: str, rs: str, re: str, width: float, by: list[str]) -> DataFrame:
+    """Every left interval with the one right interval it overlaps; none or several are an error."""
+    names = [c for c in right.columns if c not in by]
+    hits = overlapping(left, right, ls, le, rs, re, width, by).groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*names)).alias("_m"))
+    ok = F.when(F.col("_n") == 1, F.lit(True)).otherwise(F.raise_error(F.lit("an interval overlaps no or several others")).cast("boolean"))
+    return left.join(hits, key, "left").where(ok).select(*left.columns, *[F.col(f"_m.{c}").alias(c) for c in names])
+
+
+def without(frames: DataFrame, excluded: DataFrame, start: str, end: str, rate: float, by: list[str]) -> DataFrame:
+    """Frames outside all excluded intervals."""
+    lo, hi = frames_of(F.col(start), F.col(end), rate)
+    out = excluded.select(*by, lo.alias("_lo"), hi.alias("_hi")).where("_hi > _lo").select(*by, F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1)).alias("frame")).distinct()
+    return frames.join(out, [*by, "frame"], "left_anti")
+
+
 def latest_before(points: DataFrame, marks: DataFrame, by: list[str], at: str, mark_at: str, values: list[str]) -> DataFrame:
     """As-of join: each point with the values of the last mark at or before it. One sort of the union, no pairs."""
     a = points.select("*", *[F.lit(None).cast(marks.schema[v].dataType).alias(f"_v_{v}") for v in values], F.lit(1).alias("_side"), F.col(at).alias("_at"), F.lit(False).alias("_is"))

@@ -52,15 +52,14 @@ def partial_sums(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 
 def merged_sums(partials: DataFrame, by: list[str]) -> DataFrame:
-    """One row of SUMS per key; arrays are added by zip_with in a SQL aggregate, element by element."""
-    add = {}
-    for c in ("sx", "xx", "sy", "xy", "yy"):
-        cells = partials.select(*by, F.posexplode(c).alias("_k", "_v")).groupBy(*by, "_k").agg(F.sum("_v").alias("_v"))
-        add[c] = cells.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_v"))), lambda s: s["_v"]).alias(c))
-    out = partials.groupBy(*by).agg(F.sum("n").alias("n"))
-    for c in add.values():
-        out = out.join(c, by)
-    return out
+    """One row of SUMS per key: the arrays of a partial are one list of cells, added cell by cell, so partials are made once."""
+    names = ("sx", "xx", "sy", "xy", "yy")
+    listed = lambda c, i: F.transform(c, lambda v, k: F.struct(F.lit(i).alias("_c"), k.alias("_k"), v.alias("_v")))
+    picked = lambda c, i: F.transform(F.filter("all", lambda s: s["_c"] == i), lambda s: s["_v"]).alias(c)
+    cells = F.concat(F.array(F.struct(F.lit(-1).alias("_c"), F.lit(0).alias("_k"), F.col("n").alias("_v"))), *[listed(c, i) for i, c in enumerate(names)])
+    summed = partials.select(*by, F.explode(cells).alias("_x")).groupBy(*by, F.col("_x._c").alias("_c"), F.col("_x._k").alias("_k")).agg(F.sum("_x._v").alias("_v"))
+    whole = summed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_c", "_k", "_v"))).alias("all"))
+    return whole.select(*by, F.col("all")[0]["_v"].alias("n"), *[picked(c, i) for i, c in enumerate(names)])
 
 
 def sums_of(row) -> dict[str, np.ndarray]:
@@ -87,10 +86,10 @@ def centred(s: dict, mean_x: np.ndarray | None = None, mean_y: np.ndarray | None
 
 
 def ridge_solutions(xx: np.ndarray, xy: np.ndarray, alphas: list[float]) -> list[np.ndarray]:
-    """(xx + alpha I)^-1 xy for each alpha from one eigendecomposition."""
+    """(xx + alpha I)^-1 xy for each alpha from one eigendecomposition. Directions without any variance or penalty get no coefficient."""
     values, vectors = np.linalg.eigh((xx + xx.T) / 2)
-    turned = vectors.T @ xy
-    return [vectors @ (turned / np.maximum(values + a, 1e-300)[:, None]) for a in alphas]
+    turned, values = vectors.T @ xy, np.maximum(values, 0.0)
+    return [vectors @ (turned / np.where(values + a > 1e-12, values + a, np.inf)[:, None]) for a in alphas]
 
 
 def correlations(s: dict, w: np.ndarray) -> np.ndarray:
@@ -106,13 +105,23 @@ def errors(s: dict, w: np.ndarray) -> float:
     return float(np.maximum(sse, 0).sum() / (s["n"] * len(s["yy"])))
 
 
+def pooled_cosine(s: dict, w: np.ndarray) -> float:
+    """The cosine of all targets and predictions as one vector, around the means of s; 0 where one of them is zero."""
+    own = float(np.einsum("ij,ik,kj->", w, s["xx"], w))
+    den = np.sqrt(max(own, 0.0) * max(float(s["yy"].sum()), 0.0))
+    return float(np.clip((w * s["xy"]).sum() / den, -1, 1)) if den > 0 else 0.0
+
+
 def ridge_path(train: dict, validation: dict, alphas: list[float], metric: str = "mse") -> tuple[float, np.ndarray, np.ndarray, list[float]]:
-    """The mean covariance is regularised; the first strictly better alpha stays. Returns alpha, weights, intercept, the scores."""
+    """The mean covariance is regularised; the first strictly better alpha stays. Validation sums are taken around the training means.
+
+    metric: "mse", or "correlation" for the pooled cosine. Returns alpha, weights, intercept, the scores.
+    """
     t = centred(train)
     v = centred(validation, t["mx"], t["my"])
     best, scores = None, []
     for a, w in zip(alphas, ridge_solutions(t["xx"] / t["n"], t["xy"] / t["n"], alphas), strict=True):
-        score = -errors(v, w) if metric == "mse" else float(np.nanmean(correlations(centred(validation), w)))
+        score = -errors(v, w) if metric == "mse" else pooled_cosine(v, w)
         scores.append(score)
         if best is None or score > best[0]:
             best = (score, a, w)
@@ -129,42 +138,83 @@ def balanced_folds(ids: list, weights: list[float], n: int) -> dict:
     return out
 
 
+def cv_scores(stories: dict, ids: list, folds: int, alphas: list[float]) -> list[float]:
+    """Per alpha, the mean of Fisher's z of r over held-out stories and targets, stories weighted by their samples; stories are centred sums."""
+    parts = balanced_folds(ids, [stories[i]["n"] for i in ids], min(folds, len(ids)))
+    z, weight = np.zeros(len(alphas)), np.zeros(len(alphas))
+    for k in sorted(set(parts.values())):
+        fit = [stories[i] for i in ids if parts[i] != k]
+        if not fit:
+            continue
+        f = total(fit)
+        for a, w in enumerate(ridge_solutions(f["xx"], f["xy"], alphas)):
+            for i in (i for i in ids if parts[i] == k):
+                r = correlations(stories[i], w)
+                r = np.clip(r[np.isfinite(r)], -0.999999, 0.999999)
+                z[a] += stories[i]["n"] * np.arctanh(r).sum()
+                weight[a] += stories[i]["n"] * len(r)
+    return [float(x / y) if y else -np.inf for x, y in zip(z, weight, strict=True)]
+
+
 def nested_cv(stories: dict, alphas: list[float], folds: int = 5) -> list[dict]:
-    """Story-grouped nested cross-validation over sums per story: {id: sums}.
+    """Story-grouped nested cross-validation over sums per story: {id: sums}, each centred on its own means.
 
-    The summed X'X is regularised; inner folds choose alpha by mean pooled r (ties to the smaller alpha), and
-    the outer fold's r comes from its own sums.
+    The summed X'X is regularised; inner folds choose alpha by cv_scores (ties to the smaller alpha). A row per outer fold: alpha, its
+    score as a correlation, r of each held-out story, and the sums that pooled_r needs.
     """
     ids = sorted(stories)
-    size = lambda group: [stories[i]["n"] for i in group]
-    outer = balanced_folds(ids, size(ids), min(folds, len(ids)))
+    own = {i: centred(stories[i]) for i in ids}
+    outer = balanced_folds(ids, [own[i]["n"] for i in ids], min(folds, len(ids)))
     rows = []
     for k in sorted(set(outer.values())):
         train, test = [i for i in ids if outer[i] != k], [i for i in ids if outer[i] == k]
         if not train:
             continue
-        inner = balanced_folds(train, size(train), min(folds, len(train)))
-        scores = np.zeros(len(alphas))
-        for j in sorted(set(inner.values())):
-            fit, held = [i for i in train if inner[i] != j], [i for i in train if inner[i] == j]
-            if not fit:
-                continue
-            f, h = centred(total([stories[i] for i in fit])), centred(total([stories[i] for i in held]))
-            scores += [float(np.nanmean(correlations(h, w))) for w in ridge_solutions(f["xx"], f["xy"], alphas)]
-        alpha = min(zip(-np.nan_to_num(scores, nan=-np.inf), alphas, strict=True))[1]
-        f, h = centred(total([stories[i] for i in train])), centred(total([stories[i] for i in test]))
-        r = correlations(h, ridge_solutions(f["xx"], f["xy"], [alpha])[0])
-        rows.append({"fold": k, "alpha": float(alpha), "n_test": float(h["n"]), "r": [float(x) for x in r]})
+        scores = cv_scores(own, train, folds, alphas)
+        score, alpha = max(zip(scores, alphas, strict=True), key=lambda x: (x[0], -x[1]))
+        f, h = total([own[i] for i in train]), total([own[i] for i in test])
+        w = ridge_solutions(f["xx"], f["xy"], [alpha])[0]
+        rows.append({
+            "fold": k, "alpha": float(alpha), "score": float(np.tanh(score)), "n_test": float(h["n"]), "stories": test,
+            "r": [[float(x) for x in correlations(own[i], w)] for i in test], "cross": (w * h["xy"]).sum(0), "predicted": np.einsum("ij,ik,kj->j", w, h["xx"], w), "actual": h["yy"],
+        })
     return rows
 
 
+def pooled_r(rows: list[dict]) -> np.ndarray:
+    """Out-of-sample r of each target over all outer folds together."""
+    cross, own, yy = (sum(r[k] for r in rows) for k in ("cross", "predicted", "actual"))
+    den = np.sqrt(np.maximum(own * yy, 0))
+    return np.clip(np.where(den > 0, cross / np.where(den > 0, den, 1), np.nan), -1, 1)
+
+
 def grouped_cv(sums: DataFrame, by: list[str], story: str, alphas: list[float], folds: int = 5) -> DataFrame:
-    """nested_cv for each key over rows of SUMS per story. A key's stories are a design's (tens), each of fixed size."""
-    schema = ", ".join(f"{b} {sums.schema[b].dataType.simpleString()}" for b in by) + ", fold int, alpha double, n_test double, r array<double>"
+    """nested_cv for each key over rows of SUMS per story: by, fold, alpha, score, n_test, r (mean over the fold's stories by target), and pooled_r, one number a target, on every row.
+
+    A key's stories are a design's (tens), each of fixed size.
+    """
+    schema = ", ".join(f"{b} {sums.schema[b].dataType.simpleString()}" for b in by) + ", fold int, alpha double, score double, n_test double, r array<double>, pooled_r array<double>"
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = nested_cv({r[story]: sums_of(r) for _, r in pdf.iterrows()}, alphas, folds)
-        return pd.DataFrame([(*key, r["fold"], r["alpha"], r["n_test"], r["r"]) for r in rows], columns=[*by, "fold", "alpha", "n_test", "r"])
+        whole = pooled_r(rows).tolist() if rows else []
+        return pd.DataFrame([(*key, r["fold"], r["alpha"], r["score"], r["n_test"], np.mean(r["r"], axis=0).tolist(), whole) for r in rows], columns=[*by, "fold", "alpha", "score", "n_test", "r", "pooled_r"])
+
+    return sums.groupBy(*by).applyInPandas(run, schema)
+
+
+def response_waveform(sums: DataFrame, by: list[str], story: str, alphas: list[float], folds: int = 5) -> DataFrame:
+    """by, alpha, lag, z: alpha by cross-validation over all stories, weights refitted on all of them, z-scored over lags per target and averaged over targets."""
+    schema = ", ".join(f"{b} {sums.schema[b].dataType.simpleString()}" for b in by) + ", alpha double, lag int, z double"
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = {r[story]: centred(sums_of(r)) for _, r in pdf.iterrows()}
+        _, alpha = max(zip(cv_scores(own, sorted(own), folds, alphas), alphas, strict=True), key=lambda x: (x[0], -x[1]))
+        f = total(list(own.values()))
+        w = ridge_solutions(f["xx"], f["xy"], [alpha])[0]
+        s = w.std(0)
+        z = ((w - w.mean(0)) / np.where(s > 0, s, np.nan)).mean(1)
+        return pd.DataFrame([(*key, float(alpha), k, float(v)) for k, v in enumerate(z)], columns=[*by, "alpha", "lag", "z"])
 
     return sums.groupBy(*by).applyInPandas(run, schema)
 

@@ -79,10 +79,14 @@ def shape(x: Column) -> tuple[Column, Column]:
     return F.skewness(x), F.kurtosis(x)
 
 
-def channel_flags(channels: DataFrame, by: list[str], std: str, z_limit: float, rules: dict[str, Column], had: Column | None = None) -> DataFrame:
-    """bad_channel and bad_reasons: rules, and log10 deviation far from the session's others (low: flat, high: noisy); joined to earlier reasons."""
+def channel_flags(channels: DataFrame, by: list[str], std: str, z_limit: float, rules: dict[str, Column], had: Column | None = None, outlier: str | None = None) -> DataFrame:
+    """bad_channel and bad_reasons: rules, and log10 deviation far from the session's others; joined to earlier reasons.
+
+    The deviation's reasons are high_std and low_std, as for whole sessions, or the one name given as outlier, as for raw recordings ("variance_outlier").
+    """
     df = with_robust_z(channels.withColumn("_log", log_floor(F.col(std))), "_log", by, "log_std_z").drop("_log")
-    new = reasons(**rules, high_std=F.col("log_std_z") > z_limit, low_std=F.col("log_std_z") < -z_limit)
+    z = F.col("log_std_z")
+    new = reasons(**rules, **({outlier: F.abs(z) > z_limit} if outlier else {"high_std": z > z_limit, "low_std": z < -z_limit}))
     df = df.withColumn("bad_reasons", joined_reasons(had if had is not None else F.lit(""), new))
     return df.withColumn("bad_channel", (F.col("bad_reasons") != "").cast("int"))
 

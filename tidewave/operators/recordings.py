@@ -59,7 +59,8 @@ def task_against_rest(task: DataFrame, rest: DataFrame, trial: str, subject: str
     Rest is correlated once for each distinct length, not for each trial.
     """
     length = task.groupBy(trial).agg((F.max(t) + 1).alias("length"))
-    cut = rest.join(length.select("length").distinct(), F.col(t) < F.col("length"))
+    places = length.select("length").distinct().withColumn(t, F.explode(F.sequence(F.lit(0).cast("long"), F.col("length").cast("long") - 1)))  # a length holds these
+    cut = rest.withColumn(t, F.col(t).cast("long")).join(places, t)
     r_rest = leave_one_out(cut, ["length", channel], subject, t, x).select("length", channel, subject, F.col("r").alias("r_rest"))
     r_task = leave_one_out(task, [trial, channel], subject, t, x).select(trial, channel, subject, F.col("r").alias("r_task"))
     return r_task.join(length, trial).join(r_rest, ["length", channel, subject], "left").drop("length")

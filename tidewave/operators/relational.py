@@ -89,6 +89,34 @@ def picked(array: str, names: list[str], wanted: list[str]) -> Column:
     return F.array(*[F.col(array)[at[w]] for w in wanted])
 
 
+def lookup(df: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    """df with the columns of a lexicon; a key that the lexicon lacks is an error."""
+    found = df.join(words.withColumn("_found", F.lit(True)), key, "left")
+    ok = F.when(F.col("_found"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not in the lexicon: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean"))
+    return found.where(ok).drop("_found")
+
+
+def intersection(frames: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The keys that all frames have."""
+    if not frames:
+        raise ValueError("nothing to intersect")
+    return reduce(lambda a, b: a.join(b, keys, "left_semi"), [f.select(*keys).distinct() for f in frames])
+
+
+def same_values(wide: DataFrame, long: DataFrame, ids: list[str], values: list[str], name: str, value: str, tolerance: float = 0.0) -> DataFrame:
+    """Cells in which a wide table and its long form differ, or that one of them lacks: ids, name, wide, long."""
+    a = melted(wide.select(*ids, *values), ids, values, name, "wide")
+    both = a.join(long.select(*ids, name, F.col(value).alias("long")), [*ids, name], "full")
+    same = (F.col("wide").isNull() & F.col("long").isNull()) | (F.abs(F.col("wide") - F.col("long")) <= tolerance)
+    return both.where(~F.coalesce(same, F.lit(False)))
+
+
+def checked_ids(found: DataFrame, expected: list, key: str) -> DataFrame:
+    """found, failing when it is run if an id is not expected or repeats."""
+    ok = F.when(F.col(key).isin(expected), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("unknown id: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean"))
+    return unique(found.where(ok), [key], "ids")
+
+
 def set_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.exceptAll(right)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Iterator
 from itertools import islice
 
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.missing import ratio_or_zero
+from ..functions.statistics import binomial_p
 
 #: Samples are numbered within spans of so many values of t.
 SPAN = 4096
@@ -22,10 +25,12 @@ def split(trials: list[int], seed: int, subject: int, group: int, validation: in
     order = np.array(sorted(trials))
     np.random.default_rng(np.random.SeedSequence([seed, subject, group])).shuffle(order)
     roles = ["test"] * test + ["validation"] * validation
+    if len(order) <= len(roles):
+        raise ValueError(f"subject {subject}, group {group}: {len(order)} trials leave none to train on")
     return {int(t): roles[i] if i < len(roles) else "train" for i, t in enumerate(order)}
 
 
-def draw_candidates(n_windows: int, starts: list[int], width: int, n: int, seed: int) -> list[list[int] | None]:
+def draw_candidates(n_windows: int, starts: list[int], width: int, n: int, seed: int | list[int]) -> list[list[int] | None]:
     """For each window the order of itself and n - 1 windows that don't overlap it; None, without a draw, where there are too few."""
     rng, out = np.random.default_rng(seed), []
     for i in range(n_windows):
@@ -52,7 +57,7 @@ def array_correlation(a: Column, b: Column) -> Column:
 
 
 def ranked(scored: DataFrame, query: list[str], position: str, score: str, positive: str) -> DataFrame:
-    """Per query: rank of the positive (1 + candidates strictly above it), the first best position, correct, margin."""
+    """Per query: rank of the positive (1 + candidates strictly above it), the first best position, correct, mean of the negatives, and the margin over the largest of them."""
     g = scored.groupBy(*query).agg(
         F.max(F.when(F.col(positive), F.col(score))).alias("positive_score"),
         F.max(F.when(F.col(positive), F.col(position))).alias("positive_label"),
@@ -60,24 +65,35 @@ def ranked(scored: DataFrame, query: list[str], position: str, score: str, posit
         F.collect_list(F.when(~F.col(positive), F.col(score))).alias("_neg"),  # n - 1 candidates
     )
     neg = F.aggregate(F.array_sort("_neg"), F.lit(0.0), lambda s, v: s + v) / F.size("_neg")
-    return g.select(*query, "positive_score", "positive_label", F.col("_best.p").alias("predicted_label"), (1 + F.size(F.expr("filter(_neg, x -> x > positive_score)"))).alias("positive_rank"), (F.col("_best.p") == F.col("positive_label")).cast("int").alias("correct"), neg.alias("mean_negative"), (F.col("positive_score") - neg).alias("margin"))
+    return g.select(*query, "positive_score", "positive_label", F.col("_best.p").alias("predicted_label"), (1 + F.size(F.expr("filter(_neg, x -> x > positive_score)"))).alias("positive_rank"), (F.col("_best.p") == F.col("positive_label")).cast("int").alias("correct"), neg.alias("mean_negative"), (F.col("positive_score") - F.array_max("_neg")).alias("margin"))
 
 
-def drawn(k: int, n: int, seed: int) -> Iterator[list[int]]:
-    """draw_candidates for k windows side by side, where a window overlaps itself only: by index arithmetic, without a pool."""
-    rng = np.random.default_rng(seed)
-    for i in range(k if k >= n else 0):
-        j = rng.choice(k - 1, n - 1, replace=False)
-        chosen = [i, *(j + (j >= i)).tolist()]
-        yield [int(chosen[m]) for m in rng.permutation(n)]
+def drawn(k: int, n: int, seed: int | list[int], apart: int = 1) -> Iterator[tuple[int, list[int]]]:
+    """draw_candidates for k windows at equal distances of which those less than `apart` numbers away overlap: by index arithmetic, without a pool."""
+    rng = np.random.default_rng(np.random.SeedSequence(seed))
+    for i in range(k):
+        left = max(0, i - apart + 1)
+        pool = left + max(0, k - i - apart)
+        if pool < n - 1:
+            continue
+        j = rng.choice(pool, n - 1, replace=False)
+        chosen = [i, *np.where(j < left, j, j - left + i + apart).tolist()]
+        yield i, [int(chosen[m]) for m in rng.permutation(n)]
+
+
+def _number(v) -> int:
+    """A part of a key as a number for a seed: integers as they are, all else by the CRC of its text."""
+    return int(v) % (1 << 64) if isinstance(v, int) else zlib.crc32(str(v).encode())
 
 
-def retrieval_windows(prediction: DataFrame, by: list[str], t: str, predicted: str, target: str, width: int, n: int, seed: int) -> DataFrame:
+def retrieval_windows(prediction: DataFrame, by: list[str], t: str, predicted: str, target: str, width: int, n: int, seed: int, stride: int | None = None, width_ms: int | None = None) -> DataFrame:
     """N-way retrieval over the full windows of each trial: one row per window with its candidates, scores, rank and margin.
 
-    t is a number. The draws of a trial are one sequence, as in the reference, of numbers of windows alone; samples are numbered
-    within spans of t, windows are put together by key and number, and meet their candidates in a join, so no trial is gathered.
+    t is a number. Windows begin every `stride` samples (by default `width`). A trial's draws are one sequence, seeded by [seed,
+    the parts of its key, the width in milliseconds (by default in samples)], so they depend on nothing else; windows without n - 1 others that don't overlap
+    them are left out. Samples are numbered within spans of t, windows are put together by key and number, and meet their candidates in a join, so no trial is gathered.
     """
+    stride = stride or width
     g = F.struct(*by)
     x = prediction.select(g.alias("g"), F.floor(F.col(t) / SPAN).alias("span"), F.col(t).alias("t"), F.col(predicted).alias("p"), F.col(target).alias("y"))
     spans = x.groupBy("g", "span").agg(F.count(F.lit(1)).alias("rows"))
@@ -85,20 +101,24 @@ def retrieval_windows(prediction: DataFrame, by: list[str], t: str, predicted: s
     spans = spans.select("g", F.coalesce("span", F.lit(-1)).alias("span"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
     x = x.withColumn("span", F.coalesce("span", F.lit(-1))).withColumn("i", F.row_number().over(Window.partitionBy("g", "span").orderBy("t")) - 1)
     x = x.join(spans, ["g", "span"]).withColumn("i", F.col("i") + F.col("before"))
-    parts = x.groupBy("g", F.floor(F.col("i") / width).cast("int").alias("w")).agg(F.array_sort(F.collect_list(F.struct("i", "p", "y"))).alias("v"))  # width rows
+    first = F.greatest(F.lit(0), F.ceil((F.col("i") - width + 1) / stride)).cast("int")
+    x = x.withColumn("lo", first).withColumn("hi", F.floor(F.col("i") / stride).cast("int")).where("hi >= lo").withColumn("w", F.explode(F.sequence("lo", "hi")))
+    parts = x.groupBy("g", "w").agg(F.array_sort(F.collect_list(F.struct("i", "p", "y"))).alias("v"))  # width rows
     flat = lambda c: F.flatten(F.transform("v", lambda r: F.transform(r[c], lambda v: v.cast("double"))))
     centred = lambda c: F.transform(c, lambda v: v - F.aggregate(c, F.lit(0.0), lambda s, u: s + u) / F.size(c))
     full = parts.where(F.size("v") == width)
     side = lambda c, name: full.select("g", F.col("w").alias(f"w_{name}"), flat(c).alias("v")).select("g", f"w_{name}", F.explode(F.array(centred(F.col("v")))).alias(name))
+    apart = -(-width // stride)
 
     def draws(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for key, k in zip(pdf["key"], pdf["k"], strict=True):
-                numbers = enumerate(drawn(int(k), n, seed))
+                own = json.loads(key)
+                numbers = drawn(int(k), n, [seed, *[_number(own.get(b)) for b in by], width if width_ms is None else width_ms], apart)
                 while rows := list(islice(numbers, 10_000)):
                     yield pd.DataFrame([(key, i, c) for i, c in rows], columns=["key", "w_a", "candidates"])
 
-    trials = _trials(prediction, g, width)
+    trials = _trials(prediction, g, width, stride)
     dealt = trials.select("key", "k").repartition("key").mapInPandas(draws, "key string, w_a int, candidates array<int>")
     asked = dealt.join(trials.select("key", "g"), "key").select("g", "w_a", F.posexplode("candidates").alias("at", "w_b"))
     j = asked.join(side("p", "a"), ["g", "w_a"]).join(side("y", "b"), ["g", "w_b"])
@@ -110,17 +130,20 @@ def retrieval_windows(prediction: DataFrame, by: list[str], t: str, predicted: s
     own = F.element_at("scores", F.col("positive_label") + 1)
     others = F.filter("scores", lambda v, i: i != F.col("positive_label"))
     rank = (1 + F.size(F.filter(others, lambda v: v > own))).cast("int")
-    margin = own - F.aggregate(others, F.lit(0.0), lambda s, v: s + v) / F.size(others)
-    return q.select(*by, "segment", (F.col("segment").cast("long") * width).alias("start"), "candidates", "scores", "positive_label", "predicted_label", rank.alias("positive_rank"), (F.col("predicted_label") == F.col("positive_label")).cast("int").alias("correct"), margin.alias("margin"))
+    mean = F.aggregate(others, F.lit(0.0), lambda s, v: s + v) / F.size(others)
+    return q.select(*by, "segment", (F.col("segment").cast("long") * stride).alias("start"), "candidates", "scores", "positive_label", "predicted_label", rank.alias("positive_rank"), (F.col("predicted_label") == F.col("positive_label")).cast("int").alias("correct"), own.alias("positive_score"), mean.alias("mean_negative"), (own - F.array_max(others)).alias("margin"))
 
 
-def _trials(prediction: DataFrame, g: Column, width: int) -> DataFrame:
+def _trials(prediction: DataFrame, g: Column, width: int, stride: int) -> DataFrame:
     """Per trial: its key as a struct and as text, and the number of its full windows."""
-    return prediction.groupBy(g.alias("g")).agg(F.count(F.lit(1)).alias("n")).select("g", F.to_json("g").alias("key"), F.floor(F.col("n") / width).alias("k"))
+    k = F.greatest(F.lit(0), F.floor((F.col("n") - width) / stride) + 1)
+    return prediction.groupBy(g.alias("g")).agg(F.count(F.lit(1)).alias("n")).select("g", F.to_json("g").alias("key"), k.alias("k"))
 
 
 def summary(rows: DataFrame, by: list[str], n: int) -> DataFrame:
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("windows"), F.sum("correct").alias("correct"), F.avg("correct").alias("accuracy"), F.avg(1 / F.col("positive_rank")).alias("mrr"), F.avg("margin").alias("mean_margin"), F.lit(1.0 / n).alias("chance"))
+    """Accuracy, mean reciprocal rank and mean scores per key, with the one-sided binomial p-value against chance."""
+    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("windows"), F.sum("correct").alias("correct"), F.avg("correct").alias("accuracy"), F.avg(1 / F.col("positive_rank")).alias("mrr"), F.avg("positive_score").alias("mean_positive"), F.avg("mean_negative").alias("mean_negative"), F.avg("margin").alias("mean_margin"), F.lit(1.0 / n).alias("chance"))
+    return out.withColumn("binomial_p", binomial_p(F.col("correct").cast("double"), F.col("windows").cast("double"), F.col("chance")))
 
 
 def leave_one_out(series: DataFrame, unit: list[str], subject: str, t: str, x: str) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.statistics import log_floor
+
 # Frequency bands in Hz.
 BANDS = {
     "slow": (0.5, 1.0),
@@ -191,11 +193,12 @@ def spectra(df: DataFrame, by: list[str], t: str, x: str, rate: float, width: in
 
 
 def band_power(psd: DataFrame, by: list[str], low: float, high: float, out: str) -> DataFrame:
-    """The trapezoid integral of power over [low, high]."""
+    """The trapezoid integral of power over [low, high); missing with fewer than two points."""
     w = Window.partitionBy(*by).orderBy("frequency")
-    inside = psd.where(F.col("frequency").between(low, high))
+    inside = psd.where((F.col("frequency") >= low) & (F.col("frequency") < high))
     step = (F.col("power") + F.lag("power").over(w)) / 2 * (F.col("frequency") - F.lag("frequency").over(w))
-    return inside.withColumn("_a", step).groupBy(*by).agg(F.coalesce(F.sum("_a"), F.lit(0.0)).alias(out))
+    found = inside.withColumn("_a", step).groupBy(*by).agg(F.sum("_a").alias(out))
+    return psd.select(*by).distinct().join(found, by, "left")
 
 
 def band_means(psd: DataFrame, by: list[str], bands: dict[str, tuple[float, float]] = BANDS) -> DataFrame:
@@ -203,16 +206,19 @@ def band_means(psd: DataFrame, by: list[str], bands: dict[str, tuple[float, floa
 
 
 def spectral_slope(low: float = 2.0, high: float = 40.0, least: int = 5) -> Column:
-    """Slope of log10 power over log10 frequency; missing with fewer than `least` points."""
-    ok = F.col("frequency").between(low, high) & (F.col("power") > 0)
-    x, y = F.when(ok, F.log10("frequency")), F.when(ok, F.log10("power"))
+    """Slope of log10 power (floored) over log10 frequency; missing with fewer than `least` points."""
+    ok = F.col("frequency").between(low, high) & F.col("power").isNotNull() & ~F.isnan("power")
+    x, y = F.when(ok, F.log10("frequency")), F.when(ok, log_floor(F.col("power")))
     return F.when(F.count(x) >= least, F.regr_slope(y, x))
 
 
-def line_noise_db(at: float = 50.0, half: float = 1.0, side: float = 4.0) -> Column:
-    """Power at the mains frequency over that of its neighbourhood, in dB."""
-    d = F.abs(F.col("frequency") - at)
-    return 10 * F.log10(F.avg(F.when(d <= half, F.col("power"))) / F.avg(F.when((d > half) & (d <= side), F.col("power"))))
+def line_noise_db(line: tuple[float, float] = (49.0, 51.0), sides: tuple[tuple[float, float], ...] = ((45.0, 48.0), (52.0, 55.0))) -> Column:
+    """Mean power at the mains frequency over the mean of the means beside it, both floored, in dB."""
+    mean = lambda b: F.avg(F.when((F.col("frequency") >= b[0]) & (F.col("frequency") < b[1]), F.col("power")))
+    beside = [mean(b) for b in sides]
+    have = sum((F.when(m.isNotNull(), 1).otherwise(0) for m in beside), F.lit(0))
+    side = sum((F.coalesce(m, F.lit(0.0)) for m in beside), F.lit(0.0)) / F.when(have > 0, have)
+    return 10 * (log_floor(mean(line)) - log_floor(side))
 
 
 def event_rate(df: DataFrame, by: list[str], t: str, x: str, z: float, distance: int) -> DataFrame:

@@ -23,7 +23,7 @@ def _vectors(spark, sf_dir):
     x = F.transform("embedding", lambda v: v.cast("double"))
     y = F.array(e["embedding"][0].cast("double") * 2 - e["embedding"][5].cast("double") + F.sin(F.col("vec_id")) / 10, e["embedding"][1].cast("double") + F.cos(F.col("vec_id")) / 10)
     role = F.when(F.col("vec_id") % 5 == 0, "validation").when(F.col("vec_id") % 5 == 1, "test").otherwise("train")
-    return e.select("vec_id", F.lit("all").alias("model"), (F.col("vec_id") % 17).cast("int").alias("story"), role.alias("role"), F.slice(x, 1, 16).alias("x"), y.alias("y"))
+    return e.select("vec_id", F.lit("all").alias("model"), (F.col("vec_id") % 17).cast("int").alias("story"), role.alias("role"), x.alias("x"), y.alias("y"))
 
 
 @query()
@@ -38,10 +38,11 @@ def ridge_predictions(spark, sf_dir):
     """The model applied to all test rows by dot products; error and correlation by target."""
     v = _vectors(spark, sf_dir)
     model = ridge_path(spark, sf_dir)
-    first = F.transform(F.filter("weights", lambda w, i: i % 2 == 0), lambda w: w)
-    j = v.where("role = 'test'").join(F.broadcast(model.select("model", first.alias("w"), F.col("intercept")[0].alias("b"))), "model")
-    p = j.select("vec_id", F.col("y")[0].alias("y"), linear.predicted(F.col("x"), F.col("w"), F.col("b")).alias("p"))
-    return p.agg(F.count(F.lit(1)).alias("n"), F.avg(F.pow(F.col("y") - F.col("p"), 2)).alias("mse"), F.corr("y", "p").alias("r"))
+    own = F.filter("weights", lambda w, i: i % 2 == F.col("target"))
+    model = model.withColumn("target", F.explode(F.array(F.lit(0), F.lit(1)))).select("model", "target", own.alias("w"), F.element_at("intercept", F.col("target") + 1).alias("b"))
+    j = v.where("role = 'test'").join(F.broadcast(model), "model")  # two rows
+    p = j.select("target", F.element_at("y", F.col("target") + 1).alias("y"), linear.predicted(F.col("x"), F.col("w"), F.col("b")).alias("p"))
+    return p.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.avg(F.pow(F.col("y") - F.col("p"), 2)).alias("mse"), F.corr("y", "p").alias("r"))
 
 
 @query()
@@ -55,7 +56,7 @@ def nested_cv(spark, sf_dir):
 def candidate_retrieval(spark, sf_dir):
     """Five-way retrieval of windows: a noisy copy of each trial's vectors against the vectors."""
     e = table(spark, sf_dir, "embeddings")
-    y = F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double"))
+    y = F.transform("embedding", lambda v: v.cast("double"))
     p = F.transform(y, lambda v, i: v + F.sin(F.col("vec_id") * 3 + i) / 8)
     return retrieval.retrieval_windows(e.select("label", "vec_id", p.alias("p"), y.alias("y")), ["label"], "vec_id", "p", "y", 4, 5, 123)
 
@@ -119,7 +120,7 @@ def spectral_measures(spark, sf_dir):
     """Band means, band power, spectral slope and line noise per channel, in SQL over the spectra."""
     psd = _psd(spark, sf_dir).groupBy("channel", "frequency").agg(F.avg("power").alias("power"))
     out = signal.band_means(psd, ["channel"]).join(signal.band_power(psd, ["channel"], 1.0, 40.0, "broadband"), "channel")
-    return out.join(psd.groupBy("channel").agg(signal.spectral_slope().alias("slope"), signal.line_noise_db(30.0, 2.0, 8.0).alias("line_db")), "channel")
+    return out.join(psd.groupBy("channel").agg(signal.spectral_slope().alias("slope"), signal.line_noise_db((28.0, 32.0), ((22.0, 26.0), (34.0, 38.0))).alias("line_db")), "channel")
 
 
 @query()
@@ -134,41 +135,58 @@ def trial_splits(spark, sf_dir):
     import pandas as pd
 
     t = samples(spark, sf_dir).select("subject", F.dayofmonth("ts").alias("trial")).distinct()
+    enough = t.groupBy("subject").count().where("count > 4").select("subject")  # others have no trial left to train on
+    t = t.join(enough, "subject", "left_semi")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         roles = retrieval.split(pdf["trial"].tolist(), 42, int(key[0]), 1)
         return pd.DataFrame([(key[0], k, r) for k, r in roles.items()], columns=["subject", "trial", "role"])
 
     return t.groupBy("subject").applyInPandas(run, "subject long, trial int, role string")
 
 
-@query()
+_FOLD = "".join(
+    f", f{k} AS (SELECT l_suppkey, l_linenumber, weight, r, a, b, c, CASE WHEN r <> {k} THEN fold WHEN a <= b AND a <= c THEN 0 WHEN b <= c THEN 1 ELSE 2 END AS fold FROM (SELECT *, sum(CASE WHEN fold = 0 THEN weight ELSE 0 END) OVER (PARTITION BY l_suppkey) AS a, sum(CASE WHEN fold = 1 THEN weight ELSE 0 END) OVER (PARTITION BY l_suppkey) AS b, sum(CASE WHEN fold = 2 THEN weight ELSE 0 END) OVER (PARTITION BY l_suppkey) AS c FROM (SELECT l_suppkey, l_linenumber, weight, r, fold FROM f{k - 1})))"
+    for k in range(1, 8)
+)  # one step for each of the seven line numbers
+
+
+@query(f"""WITH w AS (SELECT l_suppkey, l_linenumber, sum(l_quantity) AS weight FROM lineitem GROUP BY ALL), f0 AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY weight DESC, l_linenumber) AS r, CAST(NULL AS INT) AS fold FROM w){_FOLD}
+    SELECT l_suppkey, l_linenumber, fold FROM f7""")
 def balanced_folds(spark, sf_dir):
-    """Suppliers' parts dealt to five folds of near equal weight, longest first."""
+    """Suppliers' parts dealt to three folds of near equal weight, longest first."""
     import pandas as pd
 
     w = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.sum("l_quantity").alias("weight"))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         folds = linear.balanced_folds(pdf["l_linenumber"].tolist(), pdf["weight"].tolist(), 3)
         return pd.DataFrame([(key[0], i, f) for i, f in folds.items()], columns=["l_suppkey", "l_linenumber", "fold"])
 
     return w.groupBy("l_suppkey").applyInPandas(run, "l_suppkey long, l_linenumber int, fold int")
 
 
-@query()
-def trf_correlation(spark, sf_dir):
-    """A lagged response model per channel, judged from sums alone: designs of lags -1..2 of hourly means of one channel for another."""
+def _responses(spark, sf_dir):
+    """Sums per session of a lagged design, lags -1..2 of hourly means of one channel, for two others. A session has 24 hours."""
     import pandas as pd
 
     h = samples(spark, sf_dir).groupBy("session", "hour").pivot("channel", ["click", "view", "error"]).agg(F.avg("value")).fillna(0.0)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("hour")
         x, y = windows.padded_design(pdf["click"].to_numpy(), -1, 2), pdf[["view", "error"]].to_numpy()
         return pd.DataFrame([(key[0], "m", float(len(x)), x.sum(0).tolist(), (x.T @ x).ravel().tolist(), y.sum(0).tolist(), (x.T @ y).ravel().tolist(), (y * y).sum(0).tolist())], columns=["session", "model", "n", "sx", "xx", "sy", "xy", "yy"])
 
-    sums = h.groupBy("session").applyInPandas(run, "session string, model string, " + linear.SUMS)
-    return linear.grouped_cv(sums, ["model"], "session", ALPHAS)
+    return h.groupBy("session").applyInPandas(run, "session string, model string, " + linear.SUMS)
 
 
+@query()
+def trf_correlation(spark, sf_dir):
+    """A lagged response model, judged by nested cross-validation over sessions from sums alone."""
+    return linear.grouped_cv(_responses(spark, sf_dir), ["model"], "session", ALPHAS)
+
+
+@query()
+def response_waveform(spark, sf_dir):
+    """The response function over lags: alpha by cross-validation, refitted on all sessions, z over lags, mean over targets."""
+    return linear.response_waveform(_responses(spark, sf_dir), ["model"], "session", ALPHAS)

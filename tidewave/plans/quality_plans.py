@@ -221,12 +221,15 @@ def reference_correlation(spark, sf_dir):
     return rounded(quality.reference_correlation(h, ["session"], "channel", "hour", "v"))
 
 
-@query(_ACC + """, f AS (SELECT subject, channel, nonfinite > 0 AS a, flat / greatest(1, differences) > 0.01 AS b, above_150 / n_samples > 0.05 AS c, jumps / greatest(1, differences) > 0.25 AS d FROM acc)
-    SELECT subject, channel, array_to_string(list_filter([CASE WHEN a THEN 'nonfinite' END, CASE WHEN b THEN 'flat' END, CASE WHEN c THEN 'high_amplitude' END, CASE WHEN d THEN 'jumps' END], lambda x: x IS NOT NULL), ';') AS reasons FROM f""")
+@query(_ACC + """, h AS (SELECT subject, session, channel, avg(value) AS v FROM s GROUP BY ALL), m AS (SELECT *, median(v) OVER (PARTITION BY subject, session) AS m FROM h), rc AS (SELECT subject, channel, corr(v, m) AS r FROM m GROUP BY ALL),
+    f AS (SELECT subject, channel, rc.r < 0.3 AS e, nonfinite > 0 AS a, flat / greatest(1, differences) > 0.01 AS b, above_150 / n_samples > 0.05 AS c, jumps / greatest(1, differences) > 0.25 AS d FROM acc JOIN rc USING (subject, channel))
+    SELECT subject, channel, array_to_string(list_filter([CASE WHEN a THEN 'nonfinite' END, CASE WHEN b THEN 'flat' END, CASE WHEN c THEN 'high_amplitude' END, CASE WHEN d THEN 'jumps' END, CASE WHEN e THEN 'low_correlation' END], lambda x: x IS NOT NULL), ';') AS reasons FROM f""")
 def channel_rules(spark, sf_dir):
-    """Named rules over accumulated fractions."""
+    """Named rules over accumulated fractions and the correlation of daily courses with the median over channels."""
     from ..functions.names import reasons
 
     d = F.greatest(F.lit(1), F.col("differences"))
-    rules = quality.channel_rules(F.col("nonfinite"), F.col("flat") / d, F.col("above_150") / F.col("n_samples"), F.col("jumps") / d, F.lit(1.0), {"flat": 0.01, "high": 0.05, "jumps": 0.25, "r": 0.0})
-    return _accumulated(spark, sf_dir).select("subject", "channel", F.array_join(reasons(**rules), ";").alias("reasons"))
+    rules = quality.channel_rules(F.col("nonfinite"), F.col("flat") / d, F.col("above_150") / F.col("n_samples"), F.col("jumps") / d, F.col("r"), {"flat": 0.01, "high": 0.05, "jumps": 0.25, "r": 0.3})
+    h = samples(spark, sf_dir).groupBy("subject", "session", "channel").agg(F.avg("value").alias("v"))
+    r = quality.reference_correlation(h, ["subject"], "channel", "session", "v")
+    return _accumulated(spark, sf_dir).join(r, ["subject", "channel"]).select("subject", "channel", F.array_join(reasons(**rules), ";").alias("reasons"))

@@ -25,7 +25,7 @@ def event_segments(spark, sf_dir):
 
 
 @query(f"""WITH {SAMPLES}, h AS (SELECT channel, subject, session, dayofyear(session::DATE) - 1 AS t, avg(value) AS v FROM s GROUP BY ALL),
-    task AS (SELECT CAST(floor(t / 8) AS INT) AS trial, channel, subject, t % 8 AS t, v FROM h WHERE t < 24 AND channel <> 'error'), rest AS (SELECT channel, subject, t, v FROM h WHERE channel <> 'error'),
+    task AS (SELECT CAST(floor(t / 8) AS INT) AS trial, channel, subject, t % 8 AS t, v FROM h), rest AS (SELECT channel, subject, t, v FROM h),
     len AS (SELECT trial, max(t) + 1 AS length FROM task GROUP BY 1), cut AS (SELECT length, r.* FROM rest r JOIN (SELECT DISTINCT length FROM len) ON t < length),
     k1 AS (SELECT *, (v - avg(v) OVER o) / stddev_pop(v) OVER o AS z, stddev_pop(v) OVER o AS sd FROM task WINDOW o AS (PARTITION BY trial, channel, subject)), k2 AS (SELECT *, (v - avg(v) OVER o) / stddev_pop(v) OVER o AS z, stddev_pop(v) OVER o AS sd FROM cut WINDOW o AS (PARTITION BY length, channel, subject)),
     z1 AS (SELECT * FROM k1 WHERE sd > 0), z2 AS (SELECT * FROM k2 WHERE sd > 0),
@@ -33,9 +33,9 @@ def event_segments(spark, sf_dir):
     r1 AS (SELECT trial, channel, subject, corr(z, others / (c - 1)) AS r_task FROM o1 WHERE c > 1 GROUP BY ALL), r2 AS (SELECT length, channel, subject, corr(z, others / (c - 1)) AS r_rest FROM o2 WHERE c > 1 GROUP BY ALL)
     SELECT trial, channel, subject, round(r_task, 6) AS r_task, round(r_rest, 6) AS r_rest FROM r1 JOIN len USING (trial) LEFT JOIN r2 USING (length, channel, subject)""")
 def task_rest_isc(spark, sf_dir):
-    """Inter-subject correlation of trials and of the rest recording at the same length."""
-    h = samples(spark, sf_dir).groupBy("channel", "subject", "session", (F.dayofyear(F.col("session").cast("date")) - 1).alias("t")).agg(F.avg("value").alias("v")).where("channel <> 'error'").drop("session")
-    task = h.where("t < 24").select(F.floor(F.col("t") / 8).cast("int").alias("trial"), "channel", "subject", (F.col("t") % 8).alias("t"), "v")
+    """Inter-subject correlation of trials of eight days (the last one may be shorter) and of the rest recording at the same length."""
+    h = samples(spark, sf_dir).groupBy("channel", "subject", "session", (F.dayofyear(F.col("session").cast("date")) - 1).alias("t")).agg(F.avg("value").alias("v")).drop("session")
+    task = h.select(F.floor(F.col("t") / 8).cast("int").alias("trial"), "channel", "subject", (F.col("t") % 8).alias("t"), "v")
     return rounded(recordings.task_against_rest(task, h, "trial", "subject", "channel", "t", "v"))
 
 

@@ -83,12 +83,12 @@ def interval_rasterize(spark, sf_dir):
     return g.groupBy("doc_id").agg(F.count(F.lit(1)).alias("frames"), F.sum("k").alias("checksum"), F.max("frame").alias("last"))
 
 
-@query(f"""WITH {_WORDS}, t AS (SELECT doc_id, k AS tk, e - length(word) AS at FROM z WHERE k % 3 = 0), s AS (SELECT doc_id, k, e - length(word) AS start FROM z WHERE length(word) > 3)
+@query(f"""WITH {_WORDS}, t AS (SELECT doc_id, k AS tk, e - length(word) AS at FROM z), s AS (SELECT doc_id, k, e - length(word) AS start FROM z WHERE length(word) > 3)
     SELECT t.doc_id, count(*) AS tokens, count(s.k) AS matched, CAST(coalesce(sum(s.k), 0) AS BIGINT) AS checksum FROM t ASOF LEFT JOIN (SELECT doc_id, start, max(k) AS k FROM s GROUP BY ALL) s ON t.doc_id = s.doc_id AND t.at >= s.start GROUP BY t.doc_id""")
 def asof_token_word(spark, sf_dir):
-    """Each third word's start looked up among the longer words: the last one at or before it."""
+    """Each word's start looked up among the longer words: the last one at or before it."""
     w = _words(spark, sf_dir)
-    t = w.where("k % 3 = 0").select("doc_id", F.col("k").alias("tk"), F.col("start").alias("at"))
+    t = w.select("doc_id", F.col("k").alias("tk"), F.col("start").alias("at"))
     s = w.where("length(word) > 3").groupBy("doc_id", "start").agg(F.max("k").alias("k"))
     out = intervals.latest_before(t, s, ["doc_id"], "at", "start", ["k"])
     return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.count("k").alias("matched"), F.coalesce(F.sum("k"), F.lit(0)).cast("long").alias("checksum"))

@@ -52,6 +52,8 @@ def work_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors and driver share no folder")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="spark-tidewave-"))
         base = f"file://{_own[0]}"
