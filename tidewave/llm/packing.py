@@ -1,6 +1,7 @@
 """Best-fit packing with certified bounds (operator 2).
 
-Documents become pieces of at most `capacity` tokens. Pieces are dealt into partitions, and each
+Documents become pieces of at most `capacity` tokens. Pieces of just that length are sequences by themselves and go nowhere; the
+others are dealt into partitions, and each
 partition packs its own by best-fit decreasing. Lower bounds from dual feasible functions, over the
 partition's own lengths, say how few sequences it could need: a partition that needs no more is
 certified and closed. The others exchange all their pieces: these are dealt again in another mixture and packed anew,
@@ -149,9 +150,8 @@ def _round(pieces: DataFrame, number: int, parts: int, capacity: int) -> DataFra
     return dealt.mapInPandas(pack, same + ", sequence_id long, offset long, _pk_gap long")
 
 
-def _settled(capacity: int):
-    """Packed by a certified partition, or as long as a sequence."""
-    return (F.col("_pk_gap") <= 0) | (F.col("length") == capacity)
+#: Packed by a certified partition.
+SETTLED = "_pk_gap <= 0"
 
 
 def pack(spark: SparkSession, pieces: DataFrame, capacity: int = 1024, task_pieces: int = TASK_PIECES) -> DataFrame:
@@ -161,12 +161,13 @@ def pack(spark: SparkSession, pieces: DataFrame, capacity: int = 1024, task_piec
     counts = np.zeros(capacity + 1, np.int64)
     for r in pieces.groupBy("length").count().collect():  # at most capacity rows
         counts[r["length"]] = r["count"]
-    bound, closed, used = lower_bound(counts, capacity), [], 0
-    open_, n, best, idle = pieces, int(counts.sum()), None, 0
-    for number in itertools.count():
+    full = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    bound, closed, used = lower_bound(counts, capacity), [full.select(*names, "sequence_id", "offset")], int(counts[capacity])
+    open_, n, best, idle = pieces.where(F.col("length") < capacity), int(counts[:capacity].sum()), None, 0
+    for number in itertools.count() if n else ():
         parts = max(1, math.ceil(n / task_pieces))
         packed = cut(_round(open_, number, parts, capacity), "packed")
-        total = packed.where("offset = 0").agg(F.count("*").alias("bins"), F.count(F.when(_settled(capacity), 1)).alias("settled")).first()
+        total = packed.where("offset = 0").agg(F.count("*").alias("bins"), F.count(F.when(F.expr(SETTLED), 1)).alias("settled")).first()
         idle = 0 if best is None or total["bins"] < best[0] else idle + 1
         if not idle:
             best = (total["bins"], packed)
@@ -174,10 +175,10 @@ def pack(spark: SparkSession, pieces: DataFrame, capacity: int = 1024, task_piec
             closed.append(best[1].select(*names, "sequence_id", "offset"))
             break
         if total["settled"]:  # what is certified leaves the exchange
-            closed.append(packed.where(_settled(capacity)).select(*names, "sequence_id", "offset"))
-            open_ = packed.where(~_settled(capacity)).select(*names)
+            closed.append(packed.where(SETTLED).select(*names, "sequence_id", "offset"))
+            open_ = packed.where(f"NOT ({SETTLED})").select(*names)
             used, n = used + total["settled"], open_.count()
-            best = (total["bins"] - total["settled"], packed.where(~_settled(capacity)))
+            best = (total["bins"] - total["settled"], packed.where(f"NOT ({SETTLED})"))
     out = closed[0]
     for c in closed[1:]:
         out = out.unionByName(c)
