@@ -84,7 +84,8 @@ class Encoder:
 
         self.lib = Tokenizer.from_file(path)
         self.code = {"<u2": "H", "<u4": "I"}[kind]
-        self.heads, self.rest = (_Parts(self.lib, self.code, lead, remember // 2) for lead in ("", " "))
+        # a text has one head, and most parts behind it
+        self.heads, self.rest = _Parts(self.lib, self.code, "", remember // 16), _Parts(self.lib, self.code, " ", remember - remember // 16)
         added = [t.content for t in self.lib.get_added_tokens_decoder().values() if t.content]
         self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))).search if added else lambda t: None
 
