@@ -19,20 +19,17 @@ columns are ignored but for those named in keep, which pass through and may have
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, partitions
+from .common import cut, partitions
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
 FANOUT = 8
 #: Rows of one bucket that a task holds in memory.
 BLOCK = 20_000
@@ -45,11 +42,16 @@ AHEAD = 3
 FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """Words in UTF-8, A-Z lower-cased. Methods of bytes know ASCII only: split's white space is \\x20 and \\x09-\\x0D."""
+    return text.encode().lower().split() if text else []
+
+
 def _sketch(text: str, shingle: int, seed: int, bands: int) -> tuple[int, np.ndarray, bytes]:
     """The fingerprint, the keys of so many MinHash bands, and a byte of each of their minima."""
     from xxhash import xxh64_intdigest as h
 
-    words = WORD.findall(text.translate(ASCII_LOWER) if text else "")
+    words = words_of(text)
     if not words:
         return 0, np.zeros(bands, np.int64), bytes(bands * ROWS)
     n = max(1, len(words) - shingle + 1)
@@ -57,10 +59,10 @@ def _sketch(text: str, shingle: int, seed: int, bands: int) -> tuple[int, np.nda
     for a in range(0, n, WINDOW):
         part = words[a : a + WINDOW + shingle - 1]
         if len(part) >= shingle:
-            runs = map(" ".join, zip(*(part[j:] for j in range(shingle)), strict=False))
+            runs = map(b" ".join, zip(*(part[j:] for j in range(shingle)), strict=False))
         else:
-            runs = [" ".join(part)]
-        hashes = np.fromiter((h(x, seed) for x in runs), np.uint64)
+            runs = [b" ".join(part)]
+        hashes = np.fromiter(map(h, runs, repeat(seed)), np.uint64)
         votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         if bands:
             once = np.unique(hashes)
@@ -306,9 +308,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_differing: int = 4, s
     return marked.join(classes, "fp").select(id_col, *keep, "fp", "component_id")
 
 
-def shingles(text: str | None, k: int) -> set[str]:
-    words = WORD.findall(text.translate(ASCII_LOWER)) if text else []
-    return {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+def shingles(text: str | None, k: int) -> set[bytes]:
+    words = words_of(text)
+    return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
 
 
 def sketches(docs: DataFrame, shingle: int, seed: int, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
