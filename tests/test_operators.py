@@ -444,7 +444,14 @@ def test_sources(spark, tmp_path):
     (tmp_path / "h.vhdr").write_text("[Common Infos]\nNumberOfChannels=3\nSamplingInterval=1000\nDataFile=x.eeg\n[Binary Infos]\nBinaryFormat=IEEE_FLOAT_32\n")
     assert tuple(readers.recording_headers(spark, str(tmp_path / "h.vhdr")).first())[1:] == (3, 1000.0, "IEEE_FLOAT_32", "x.eeg")
     np.arange(12, dtype="<f4").tofile(tmp_path / "x.eeg")
-    assert rows(readers.recording_chunks(spark, str(tmp_path / "x.eeg"), 3, 2, picks=[2, 0]), "t") == [(0, [2.0, 0.0], 0), (1, [5.0, 3.0], 0), (2, [8.0, 6.0], 1), (3, [11.0, 9.0], 1)]
+    assert rows(readers.recording_chunks(spark, str(tmp_path / "x.eeg"), 3, 2, picks=[2, 0]).select("t", "x", "chunk"), "t") == [(0, [2.0, 0.0], 0), (1, [5.0, 3.0], 0), (2, [8.0, 6.0], 1), (3, [11.0, 9.0], 1)]
+    np.arange(100, 109, dtype="<f4").tofile(tmp_path / "y.eeg")
+    cut = readers.recording_chunks(spark, str(tmp_path), 3, 2, picks=[1], first=1, last=3, pattern="*.eeg")
+    assert rows(cut.select(F.substring_index("path", "/", -1).alias("file"), "chunk", "start_sample", "t", "x"), "file", "t") == [("x.eeg", 0, 0, 1, [4.0]), ("x.eeg", 1, 2, 2, [7.0]), ("y.eeg", 0, 0, 1, [104.0]), ("y.eeg", 1, 2, 2, [107.0])]
+    assert readers.recording_chunks(spark, str(tmp_path), 3, 2, first=4, pattern="*.eeg").count() == 0
+    with pytest.raises(Exception, match="whole number of samples"):
+        readers.recording_chunks(spark, str(tmp_path), 5, 2, pattern="*.eeg").collect()
+    assert rows(readers.archive_headers(spark, str(tmp_path)).select("member", "shape", "dtype"), "member") == [("ch_names", [3], "<U1"), ("eeg_data", [3, 2], "<f8")]
     (tmp_path / "b.tsv").write_text("﻿participant_id\tsession_id\tbad_channels\nsub-01\tses-1\tF1  C3\nsub-02\tses-1\tn/a\n", encoding="utf-8")
     assert rows(readers.bad_channels(spark, str(tmp_path / "b.tsv"))) == [("sub-01", "ses-1", ["F1", "C3"]), ("sub-02", "ses-1", [])]
     for s in (3, 12):
@@ -463,6 +470,13 @@ def test_sources(spark, tmp_path):
     assert rows(readers.sidecars(spark, str(tmp_path / "side.json"), "SamplingFrequency double, TaskName string")) == [(500.0, "x")]
 
 
+def test_robust_statistics(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", -9.0), ("a", 2.0), ("a", float("nan")), ("a", None), (None, 3.0)], "k string, x double")
+    got = quality.robust_statistics(df, ["k"], "x").select("k", "median", "mad", "max_abs")
+    assert rows(got, "k") == [(None, 3.0, 0.0, 3.0), ("a", 1.0, 1.4826, 9.0)]
+    assert quality.robust_statistics(df.limit(0), ["k"], "x").count() == 0
+
+
 def test_sinks(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for bad in ("in", "in/x", "."):

@@ -74,6 +74,16 @@ def finished(acc: DataFrame) -> DataFrame:
     return acc.select("*", (F.col("total") / F.col("n_samples")).alias("mean"), F.sqrt(var).alias("std"), F.sqrt(F.col("squares") / F.col("n_samples")).alias("rms"), (F.col("maximum") - F.col("minimum")).alias("ptp"), (F.col("flat") / F.greatest(F.col("differences"), F.lit(1))).alias("flat_fraction"), (F.col("jumps") / F.greatest(F.col("differences"), F.lit(1))).alias("jump_fraction"))
 
 
+def robust_statistics(samples: DataFrame, by: list[str], x: str) -> DataFrame:
+    """Per group: median, mad (the median distance from it, times 1.4826) and max_abs. Null and NaN are left out; null keys are groups."""
+    real = samples.where(F.col(x).isNotNull() & ~F.isnan(x))
+    mid = real.groupBy(*by).agg(F.median(x).alias("median"), F.max(F.abs(x)).alias("max_abs"))
+    keyed = mid.select(*[F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)], "median", "max_abs")
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{i}")) for i, c in enumerate(by)]
+    far = real.select(*by, x).join(keyed, same).groupBy(*by, "median", "max_abs")
+    return far.agg((F.median(F.abs(F.col(x) - F.col("median"))) * 1.4826).alias("mad"))
+
+
 def shape(x: Column) -> tuple[Column, Column]:
     """Population skewness and excess kurtosis."""
     return F.skewness(x), F.kurtosis(x)

@@ -133,6 +133,13 @@ def channel_statistics(spark, sf_dir):
     return rounded(quality.finished(_accumulated(spark, sf_dir)).select("subject", "channel", "mean", "std", "rms", "ptp", "flat_fraction", "jump_fraction"))
 
 
+@query(f"""WITH {SAMPLES} SELECT subject, channel, round(median(value), 6) AS median, round(max(abs(value)), 6) AS max_abs, round(1.4826 * mad(value), 6) AS mad
+    FROM s WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY ALL""")
+def channel_robust_statistics(spark, sf_dir):
+    """Median, scaled median distance from it and largest amplitude per channel."""
+    return rounded(quality.robust_statistics(samples(spark, sf_dir), ["subject", "channel"], "value"))
+
+
 @query(f"""WITH {SAMPLES}, d AS (SELECT *, value - lag(value) OVER (PARTITION BY subject, channel ORDER BY ts, event_id) AS d FROM s)
     SELECT event_id, round(d, 6) AS difference, d IS NOT NULL AND abs(d) > 80 AS jump FROM d""")
 def first_difference_jumps(spark, sf_dir):

@@ -1,8 +1,13 @@
-"""Readers of recordings, features and tables. Files come in through Spark's own readers, so any store that Spark reads will do."""
+"""Readers of recordings, features and tables.
+
+Files come in through Spark's own readers, so any store that Spark reads will do; blocks of long recordings and headers within
+archives are read in place by pyarrow's file systems at the URIs that Spark lists.
+"""
 
 from __future__ import annotations
 
 import io
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,27 +105,61 @@ def array_headers(spark: SparkSession, path: str) -> DataFrame:
     return files(spark, path, "*.npy").select("path", F.expr("substring(content, 1, 65536)").alias("content")).mapInPandas(read, "path string, shape array<int>, dtype string")
 
 
+def _opened(uri: str):
+    """The file at a URI as Spark lists it, for reads at any place."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    return system.open_input_file(path)
+
+
+def archive_headers(spark: SparkSession, path: str) -> DataFrame:
+    """path, member, shape and dtype of the arrays in .npz files; only directories and headers are read."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for p in pdf["path"]:
+                with _opened(p) as f, zipfile.ZipFile(f) as z:
+                    for name in z.namelist():
+                        with z.open(name) as m:
+                            version = np.lib.format.read_magic(m)
+                            shape, _, dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(m)
+                        rows.append((p, name.removesuffix(".npy"), list(shape), dtype.str))
+            yield pd.DataFrame(rows, columns=["path", "member", "shape", "dtype"])
+
+    return files(spark, path, "*.npz").select("path").mapInPandas(read, "path string, member string, shape array<int>, dtype string")
+
+
 def recording_headers(spark: SparkSession, path: str) -> DataFrame:
     """Channels, sampling interval (microseconds), format and data file of text headers (.vhdr)."""
     get = lambda key: F.regexp_extract("text", rf"(?mi)^{key}\s*=\s*(.+?)\s*$", 1)
     return texts(spark, path).select("path", get("NumberOfChannels").try_cast("int").alias("n_channels"), get("SamplingInterval").try_cast("double").alias("interval_us"), get("BinaryFormat").alias("format"), get("DataFile").alias("data_file"))
 
 
-def recording_chunks(spark: SparkSession, path: str, n_channels: int, samples: int, kind: str = "<f4", picks: list[int] | None = None) -> DataFrame:
-    """Blocks of multiplexed binary recordings: path, start_sample, x (one array a sample), picked channels only.
+def recording_chunks(spark: SparkSession, path: str, n_channels: int, samples: int, kind: str = "<f4", picks: list[int] | None = None, first: int = 0, last: int | None = None, pattern: str = "*") -> DataFrame:
+    """Multiplexed binary recordings in blocks of so many samples: path, chunk, start_sample, t, x (picked channels of one sample).
 
-    Files are cut by Spark's fixed-length record reader, so a long recording is read by many tasks.
+    first, last: the samples [first, last) of each recording, all by default; blocks outside it aren't read. chunk, start_sample and
+    t count from the recording's own start. Blocks are dealt to tasks one by one, so a long recording is read by many. A recording
+    that doesn't end with a whole sample fails the job.
     """
     width = n_channels * np.dtype(kind).itemsize
     picked = picks if picks is not None else list(range(n_channels))
+    whole = F.when(F.col("length") % width == 0, F.col("length").cast("long") / width).otherwise(F.raise_error(F.concat("path", F.lit(": not a whole number of samples"))).cast("double")).cast("long")
+    n = whole if last is None else F.least(whole, F.lit(last))
+    lengths = files(spark, path, pattern).select("path", n.alias("n")).where(F.col("n") > first)
+    blocks = lengths.select("path", "n", F.explode(F.sequence(F.lit(first // samples).cast("long"), F.floor((F.col("n") - 1) / samples))).alias("chunk"))
 
-    def rows(part) -> Iterator[tuple]:
-        for i, record in part:
-            yield i, np.frombuffer(record, kind)[picked].astype(np.float32).tolist()
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for p, n, chunk in pdf[["path", "n", "chunk"]].itertuples(index=False):
+                a, b = max(first, chunk * samples), min(n, (chunk + 1) * samples)
+                with _opened(p) as f:
+                    x = np.frombuffer(f.read_at((b - a) * width, a * width), kind).reshape(b - a, n_channels)[:, picked]
+                yield pd.DataFrame({"path": p, "chunk": chunk, "start_sample": chunk * samples, "t": np.arange(a, b), "x": list(x.astype(np.float32))})
 
-    records = spark.sparkContext.binaryRecords(path, width).zipWithIndex().map(lambda r: (r[1], bytes(r[0])))
-    df = spark.createDataFrame(records.mapPartitions(rows), "t long, x array<float>")
-    return df.withColumn("chunk", F.floor(F.col("t") / samples).cast("long"))
+    return blocks.repartition("path", "chunk").mapInPandas(read, "path string, chunk long, start_sample long, t long, x array<float>")
 
 
 def validator_report(spark: SparkSession, path: str) -> DataFrame:
