@@ -1,4 +1,4 @@
-"""The queries that apply the ten operators to their whole tables."""
+"""The queries that apply the corpus operators to their whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_extract, line_dedup, packing, quality, simhash, suffix_dedup, token_files, url_rules
+from . import decontaminate, exact_dedup, filter_audit, html_extract, line_dedup, packing, quality, simhash, suffix_dedup, token_files, url_rules
 from .common import cut, table
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -69,6 +69,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_html_extraction, op2_best_fit_packing, op3_quality_classifier, op4_token_files, op5_exact_dedup, op6_suffix_dedup, op7_line_dedup, op8_url_filter, op9_decontamination, op10_simhash_near_dedup, pipeline)
+    ops = (op1_html_extraction, op2_best_fit_packing, op3_quality_classifier, op4_token_files, op5_exact_dedup, op6_suffix_dedup, op7_line_dedup, op8_url_filter, op9_decontamination, op10_simhash_near_dedup, op13_filter_audit, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -119,6 +123,23 @@ SQL = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op13_filter_audit": """
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+        w AS (SELECT doc_id, part, t, first, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
+        l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+        m AS (SELECT part, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b, 100 * len(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t) AS c,
+              regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > first, false) AS e, coalesce(good, false) AS good, coalesce(bad, false) AS bad FROM w LEFT JOIN l USING (doc_id)),
+        cells AS (SELECT part, MAP {'A': a, 'B': b, 'C': c, 'D': d, 'E': e} AS fails, CAST(a AS INT) + CAST(b AS INT) + CAST(c AS INT) + CAST(d AS INT) + CAST(e AS INT) AS failed,
+              count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM m GROUP BY ALL),
+        x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+        orders AS (SELECT p.f || q.f || r.f || s.f || t.f AS o FROM x p, x q, x r, x s, x t WHERE p.f NOT IN (q.f, r.f, s.f, t.f) AND q.f NOT IN (r.f, s.f, t.f) AND r.f NOT IN (s.f, t.f) AND s.f <> t.f),
+        gones AS (SELECT part, o, n, good, bad, fails, failed, coalesce(list_min([k for k in range(1, 6) if fails[o[k]]]), 6) AS gone FROM cells, orders),
+        steps AS (SELECT part, o, CAST(step AS INT) AS step, o[step] AS f, sum(n) FILTER (gone > step) AS kept, sum(n) FILTER (gone = step) AS removed, sum(n) FILTER (gone < step AND fails[o[step]]) AS redundant,
+              sum(n) FILTER (fails[o[step]] AND failed = 1) AS unique_fails, sum(good) FILTER (gone = step) AS good_lost, sum(bad) FILTER (gone = step) AS toxic_lost
+              FROM gones, (SELECT unnest(range(1, 6)) AS step) GROUP BY ALL)
+        SELECT part, o AS filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+               CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+               CAST(coalesce(sum(removed) OVER (PARTITION BY part, f), 0) AS BIGINT) AS shapley FROM steps""",
 }
 
 
