@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, filter_audit, html_extract, line_dedup, packing, quality, simhash, suffix_dedup, token_files, url_rules
+from . import decontaminate, exact_dedup, filter_audit, html_extract, line_dedup, packing, quality, simhash, spelling, suffix_dedup, token_files, url_rules
 from .common import cut, table
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -69,6 +69,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), spoil=199))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -80,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_html_extraction, op2_best_fit_packing, op3_quality_classifier, op4_token_files, op5_exact_dedup, op6_suffix_dedup, op7_line_dedup, op8_url_filter, op9_decontamination, op10_simhash_near_dedup, op13_filter_audit, pipeline)
+    ops = (op1_html_extraction, op2_best_fit_packing, op3_quality_classifier, op4_token_files, op5_exact_dedup, op6_suffix_dedup, op7_line_dedup, op8_url_filter, op9_decontamination, op10_simhash_near_dedup, op11_spelling_variants, op13_filter_audit, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -123,6 +127,21 @@ SQL = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op11_spelling_variants": f"""
+        WITH crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS tab FROM range(256) r(i)),
+        runs AS (SELECT doc_id, {_LOWER.format("run")} AS w, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 6 GROUP BY ALL),
+        bytes AS (SELECT w, k, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c)::BIGINT >> 6), 128 + (unicode(c)::BIGINT & 63)] END)) AS bs FROM runs),
+        hashed AS (SELECT w, k, xor(list_reduce(bs, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM bytes, crc),
+        spoiled AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, k FROM hashed),
+        words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM spoiled WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+        dels AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+        near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM dels a JOIN dels b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+            UNION SELECT a.word, b.word, b.n FROM dels a JOIN words b ON a.d = b.word UNION SELECT b.word, a.word, a.n FROM dels a JOIN words b ON a.d = b.word),
+        best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+        forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n FROM words LEFT JOIN best USING (word)),
+        ends AS (WITH RECURSIVE f(word, root) AS (SELECT word, word FROM forms UNION ALL SELECT f.word, forms.form FROM f JOIN forms ON f.root = forms.word WHERE forms.form IS NOT NULL)
+            SELECT f.word, f.root FROM f JOIN forms e ON f.root = e.word WHERE e.form IS NULL)
+        SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, root FROM ends) USING (word)""",
     "op13_filter_audit": """
         WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
         w AS (SELECT doc_id, part, t, first, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
