@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, filter_audit, html_extract, line_dedup, packing, quality, simhash, spelling, suffix_dedup, token_files, url_rules
+from . import ann, decontaminate, exact_dedup, filter_audit, html_extract, line_dedup, packing, quality, simhash, spelling, suffix_dedup, token_files, url_rules
 from .common import cut, table
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -73,6 +73,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), spoil=199))
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -84,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_html_extraction, op2_best_fit_packing, op3_quality_classifier, op4_token_files, op5_exact_dedup, op6_suffix_dedup, op7_line_dedup, op8_url_filter, op9_decontamination, op10_simhash_near_dedup, op11_spelling_variants, op13_filter_audit, pipeline)
+    ops = (op1_html_extraction, op2_best_fit_packing, op3_quality_classifier, op4_token_files, op5_exact_dedup, op6_suffix_dedup, op7_line_dedup, op8_url_filter, op9_decontamination, op10_simhash_near_dedup, op11_spelling_variants, op12_nearest_neighbours, op13_filter_audit, pipeline)
     return {f.__name__: f for f in ops}
 
 
