@@ -135,8 +135,10 @@ def audit_filters(docs: DataFrame, labels: DataFrame, part: str = "source", id_c
     read = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     slim = read.withColumn("counts", counts_of(F.col("text"))).select("id", "part", F.unhex(F.sha2("text", 256)).alias("digest"), mask.alias("mask"))
     slim = cut(slim, "filter-masks")
-    firsts = slim.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "first")
+    # both are written, so that each is one sorted side of a join; behind an aggregate AQE splits no hot key of the other side
+    firsts = cut(slim.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "first"), "copies")
     held = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("bad"))
+    held = cut(held, "labels-by-id")
     rows = slim.join(firsts, "digest", "left").join(held, "id", "left")
     full = F.col("mask") + F.when(F.col("id") > F.col("first"), 1 << len(filters)).otherwise(0)
     one = lambda c: F.sum(F.when(F.col(c), 1).otherwise(0)).alias
