@@ -148,7 +148,7 @@ def test_vectors_that_take_no_part(spark, kind):
     rows = [(0, [1.0, 0.0], ""), (1, [0.5, 0.5], ""), (2, None, ""), (3, [], ""), (4, [0.0, 0.0], ""), (5, [nan, 1.0], ""), (20, [inf, 1.0], ""), (40, [None, 1.0], ""), (60, [1.0, 2.0, 3.0], ""), (None, [1.0, 1.0], ""), (80, [-1.0, 0.0], ""), (80, [-1.0, 0.0], ""), (100, [0.25, 0.0], ""), (100, [2.0, 0.0], ""), (7, [0.5, 0.5], "")]
     got = found(ann.nearest(vectors(spark, rows, kind), F.col("vec_id") % 20 == 0))
     assert got[0] == [(1, 0.5), (7, 0.5), (100, 0.25), (80, -1.0)]  # all candidates there are; of the rows of one id the smallest vector
-    assert got.keys() == {0, 80, 100} and got[80] == [(1, -0.5), (7, -0.5), (100, -0.25), (0, -1.0)]
+    assert got.keys() == {0, 80, 100} and got[80] == [(100, -0.25), (1, -0.5), (7, -0.5), (0, -1.0)]
     assert ann.nearest(vectors(spark, [], kind), F.col("vec_id") % 20 == 0).collect() == []
     assert ann.nearest(vectors(spark, [(20, [1.0], "")], kind), F.col("vec_id") % 20 == 0).collect() == []
 
