@@ -51,15 +51,34 @@ def partial_sums(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return df.select(*by, x, y).mapInPandas(reduce_, schema)
 
 
+def added(partials: DataFrame, by: list[str], fan: int = 32) -> DataFrame:
+    """One row a key: all other columns (numbers, and arrays of numbers of one length a key) added up over the partials of tasks.
+
+    Partials of neighbouring tasks are added first, `fan` at a time, then their sums, so no task holds more than fan partials of ten thousand tasks, or
+    handles a key alone; arrays travel whole.
+    """
+    columns = [c for c in partials.columns if c not in by]
+    is_array = {c: t.startswith("array") for c, t in partials.dtypes}
+
+    def total_of(pdf: pd.DataFrame) -> list:
+        return [np.sum(np.stack(pdf[c].to_numpy()), axis=0).tolist() if is_array[c] else pdf[c].sum() for c in columns]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key[: len(by)], *total_of(pdf), key[-1] // fan)], columns=[*by, *columns, "_g"])
+
+    def last(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *total_of(pdf))], columns=[*by, *columns])
+
+    parts = partials.withColumn("_g", F.expr(f"spark_partition_id() div {fan}")).select(*by, *columns, "_g")
+    level = ", ".join(f"{c} {t}" for c, t in parts.dtypes)
+    for _ in range(2):
+        parts = parts.groupBy(*by, "_g").applyInPandas(run, level)
+    return parts.drop("_g").groupBy(*by).applyInPandas(last, ", ".join(f"{c} {parts.schema[c].dataType.simpleString()}" for c in [*by, *columns])).select(*partials.columns)
+
+
 def merged_sums(partials: DataFrame, by: list[str]) -> DataFrame:
-    """One row of SUMS per key: the arrays of a partial are one list of cells, added cell by cell, so partials are made once."""
-    names = ("sx", "xx", "sy", "xy", "yy")
-    listed = lambda c, i: F.transform(c, lambda v, k: F.struct(F.lit(i).alias("_c"), k.alias("_k"), v.alias("_v")))
-    picked = lambda c, i: F.transform(F.filter("all", lambda s: s["_c"] == i), lambda s: s["_v"]).alias(c)
-    cells = F.concat(F.array(F.struct(F.lit(-1).alias("_c"), F.lit(0).alias("_k"), F.col("n").alias("_v"))), *[listed(c, i) for i, c in enumerate(names)])
-    summed = partials.select(*by, F.explode(cells).alias("_x")).groupBy(*by, F.col("_x._c").alias("_c"), F.col("_x._k").alias("_k")).agg(F.sum("_x._v").alias("_v"))
-    whole = summed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_c", "_k", "_v"))).alias("all"))
-    return whole.select(*by, F.col("all")[0]["_v"].alias("n"), *[picked(c, i) for i, c in enumerate(names)])
+    """One row of SUMS per key."""
+    return added(partials, by)
 
 
 def sums_of(row) -> dict[str, np.ndarray]:
@@ -204,17 +223,22 @@ def grouped_cv(sums: DataFrame, by: list[str], story: str, alphas: list[float],
 
 
 def response_waveform(sums: DataFrame, by: list[str], story: str, alphas: list[float], folds: int = 5) -> DataFrame:
-    """by, alpha, lag, z: alpha by cross-validation over all stories, weights refitted on all of them, z-scored over lags per target and averaged over targets."""
-    schema = ", ".join(f"{b} {sums.schema[b].dataType.simpleString()}" for b in by) + ", alpha double, lag int, z double"
+    """by, alpha, cv_r, lag, z: alpha by cross-validation over all stories (cv_r is its score as a correlation), weights refitted on all of them, z-scored over lags per target and averaged over targets.
+
+    Weights that are the same at all lags have no waveform: an error.
+    """
+    schema = ", ".join(f"{b} {sums.schema[b].dataType.simpleString()}" for b in by) + ", alpha double, cv_r double, lag int, z double"
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         own = {r[story]: centred(sums_of(r)) for _, r in pdf.iterrows()}
-        _, alpha = max(zip(cv_scores(own, sorted(own), folds, alphas), alphas, strict=True), key=lambda x: (x[0], -x[1]))
+        score, alpha = max(zip(cv_scores(own, sorted(own), folds, alphas), alphas, strict=True), key=lambda x: (x[0], -x[1]))
         f = total(list(own.values()))
         w = ridge_solutions(f["xx"], f["xy"], [alpha])[0]
         s = w.std(0)
-        z = ((w - w.mean(0)) / np.where(s > 0, s, np.nan)).mean(1)
-        return pd.DataFrame([(*key, float(alpha), k, float(v)) for k, v in enumerate(z)], columns=[*by, "alpha", "lag", "z"])
+        if not (s > np.finfo(float).eps).all():
+            raise ValueError(f"constant weights over lags: {key}")
+        z = ((w - w.mean(0)) / s).mean(1)
+        return pd.DataFrame([(*key, float(alpha), float(np.tanh(score)), k, float(v)) for k, v in enumerate(z)], columns=[*by, "alpha", "cv_r", "lag", "z"])
 
     return sums.groupBy(*by).applyInPandas(run, schema)
 

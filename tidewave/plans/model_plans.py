@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import linear, retrieval, signal, windows
+from ..operators import linear, response, retrieval, signal, windows
 from .base import SAMPLES, query, rounded, samples, table
 
 ALPHAS = [1e-6, 1e-4, 1e-2, 1.0, 100.0]
@@ -166,27 +166,57 @@ def balanced_folds(spark, sf_dir):
     return w.groupBy("l_suppkey").applyInPandas(run, "l_suppkey long, l_linenumber int, fold int")
 
 
-def _responses(spark, sf_dir):
-    """Sums per session of a lagged design, lags -1..2 of hourly means of one channel, for two others. A session has 24 hours."""
-    import pandas as pd
+_FIRST, _LAGS, _SIZE = -1, 4, 4096
 
-    h = samples(spark, sf_dir).groupBy("session", "hour").pivot("channel", ["click", "view", "error"]).agg(F.avg("value")).fillna(0.0)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("hour")
-        x, y = windows.padded_design(pdf["click"].to_numpy(), -1, 2), pdf[["view", "error"]].to_numpy()
-        return pd.DataFrame([(key[0], "m", float(len(x)), x.sum(0).tolist(), (x.T @ x).ravel().tolist(), y.sum(0).tolist(), (x.T @ y).ravel().tolist(), (y * y).sum(0).tolist())], columns=["session", "model", "n", "sx", "xx", "sy", "xy", "yy"])
+def _response_chunks(spark, sf_dir):
+    """A day's events in order are a stimulus; two subjects answer each of them in two channels."""
+    s = windows.numbered(samples(spark, sf_dir), ["session"], ["ts", "event_id"])
+    x = s.select(F.substring("session", 1, 7).alias("month"), "session", F.col("t").cast("long").alias("t"), "value")
+    who = F.explode(F.array(F.lit(1), F.lit(2))).alias("subject")
+    y = s.select(F.substring("session", 1, 7).alias("month"), "session", F.col("t").cast("long").alias("t"), F.col("subject").alias("user_id"), "hour", "value", who)
+    y = y.select("subject", "month", "session", "t", F.array(F.col("user_id") + F.col("subject") * F.col("value"), F.col("value") * F.col("value") / 100 - F.col("subject") * F.col("hour")).alias("y"))
+    return response.stimulus_chunks(x, ["month", "session"], "t", "value", _LAGS, _SIZE), y
+
+
+def _response_sums(spark, sf_dir):
+    story = ["month", "session"]
+    chunks, y = _response_chunks(spark, sf_dir)
+    designs = response.lag_products(chunks, story, _LAGS, _SIZE)
+    return designs, response.standardised(response.cross_products(y, chunks, ["subject"], story, "t", "y", _FIRST, _LAGS, _SIZE), designs, story, _LAGS)
+
+
+_LAGGED = f"""WITH {SAMPLES}, n AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, event_id) AS k FROM s),
+    l AS (SELECT session, subject AS u, hour, value, lead(value, 1) OVER w AS x0, value AS x1, lag(value, 1) OVER w AS x2, lag(value, 2) OVER w AS x3 FROM n WINDOW w AS (PARTITION BY session ORDER BY k)),
+    v AS (SELECT * FROM l WHERE x0 IS NOT NULL AND x3 IS NOT NULL)"""
+
+
+@query(_LAGGED + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT session, {i} AS i, {j} AS j, count(*) AS n, round(count(*) * corr(x{i}, x{j}), 4) AS product FROM v GROUP BY session" for i in range(4) for j in range(4)) + ")")
+def response_design(spark, sf_dir):
+    """X'X of a standardised lagged design per day, from lag sums and edges."""
+    designs, _ = _response_sums(spark, sf_dir)
+    cells = designs.select("session", "n", F.posexplode("xx").alias("at", "product"))
+    return cells.select("session", F.expr(f"at div {_LAGS}").cast("int").alias("i"), (F.col("at") % _LAGS).cast("int").alias("j"), "n", F.round("product", 4).alias("product"))
+
 
-    return h.groupBy("session").applyInPandas(run, "session string, model string, " + linear.SUMS)
+@query(_LAGGED + ", r AS (SELECT *, unnest([1, 2]) AS subject FROM v) SELECT * FROM (" + " UNION ALL ".join(f"SELECT CAST(subject AS INT) AS subject, session, {j} AS lag, {c} AS channel, round(count(*) * corr(x{j}, {y}), 4) AS product FROM r GROUP BY subject, session" for j in range(4) for c, y in enumerate(["u + subject * value", "value * value / 100 - subject * hour"])) + ")")
+def response_products(spark, sf_dir):
+    """X'Y of standardised responses: each subject's, against the design that all of them share."""
+    _, sums = _response_sums(spark, sf_dir)
+    cells = sums.select("subject", "session", F.posexplode("xy").alias("at", "product"))
+    return cells.select("subject", "session", F.expr("at div 2").cast("int").alias("lag"), (F.col("at") % 2).cast("int").alias("channel"), F.round("product", 4).alias("product"))
 
 
 @query()
 def trf_correlation(spark, sf_dir):
-    """A lagged response model, judged by nested cross-validation over sessions from sums alone."""
-    return linear.grouped_cv(_responses(spark, sf_dir), ["model"], "session", ALPHAS)
+    """A lagged response model per subject and month, judged by nested cross-validation over days; operators are made once a month for all subjects."""
+    designs, sums = _response_sums(spark, sf_dir)
+    plans = response.fold_plans(designs, ["month"], "session", 5, ALPHAS)
+    return response.pooled(response.cross_validated(sums, plans, ["subject"], ["month"], "session", ALPHAS), ["subject", "month"])
 
 
 @query()
 def response_waveform(spark, sf_dir):
-    """The response function over lags: alpha by cross-validation, refitted on all sessions, z over lags, mean over targets."""
-    return linear.response_waveform(_responses(spark, sf_dir), ["model"], "session", ALPHAS)
+    """The response function over lags: alpha by cross-validation, refitted on all days, z over lags, mean over channels."""
+    designs, sums = _response_sums(spark, sf_dir)
+    return linear.response_waveform(response.as_sums(sums, designs, ["month", "session"]), ["subject", "month"], "session", ALPHAS)
