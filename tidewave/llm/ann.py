@@ -5,7 +5,8 @@ halved again and again at the median between two means, so all posting lists are
 The lists' centroids with a graph of their neighbours (pruned to those that no other neighbour is nearer to) go to the tasks, where each vector walks the graph: it is
 filed under the nearest list and, if it lies near a boundary, under further ones, leaving out lists whose centroid is nearer to one
 taken already than to the vector. A query takes the lists whose distance is at most `ratio` times the nearest one's; as long as the last list of its walk is still within, it
-walks again with a beam twice as wide, so the walk's width is no cap. Then the queries of a cell meet the cell's vectors in blocks.
+walks again with a beam twice as wide, so the walk's width is no cap. Then the queries of a cell meet the cell's vectors in blocks: first in each query's FIRST nearest lists,
+whose k + 1 best bound the others, then in the rest, which return only what reaches the bound. So a query gets few rows back, however many lists it takes.
 
 Sizes: the fit takes at most SAMPLE rows with the smallest id hashes (their vectors, at most SAMPLE_BYTES, reach the driver), and makes at most LISTS lists, so the broadcast
 is at most LISTS * (d + 1 + 2 * DEGREE) numbers. Every row is indexed. More rows than lists can hold evenly are dealt to segments, more queries to blocks, so no task holds more
@@ -39,6 +40,8 @@ LIST, LISTS, CELL, DEGREE = 256, 8192, 16, 24
 REPLICAS, CLOSURE = 4, 1.25
 #: How much farther than the nearest centroid a list may be to be searched.
 RATIO = 1.22
+#: Lists that are searched first.
+FIRST = 4
 SEGMENT, BLOCK = 8192, 4096
 
 
@@ -259,17 +262,22 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
             for a in range(0, len(pdf), 1024):
                 some = pdf.iloc[a : a + 1024]
                 at, lists = index.value.searched(_matrix(some["v"]), held, least, ratio)
-                found = pd.DataFrame({"at": at, "cell": (lists // CELL).astype(np.int32), "list": lists.astype(np.int32)}).groupby(["at", "cell"])["list"].agg(list).reset_index()
-                yield pd.DataFrame({"rep": some["id"].to_numpy()[found["at"]], "cell": found["cell"], "lists": found["list"], "v": some["v"].to_numpy()[found["at"]]})
+                found = pd.DataFrame({"at": at, "cell": (lists // CELL).astype(np.int32), "list": lists.astype(np.int32)})
+                found["early"] = found.groupby("at").cumcount() < FIRST  # a row's lists come nearest first
+                found = found.groupby(["at", "cell", "early"])["list"].agg(list).reset_index()
+                yield pd.DataFrame({"rep": some["id"].to_numpy()[found["at"]], "cell": found["cell"], "early": found["early"], "lists": found["list"], "v": some["v"].to_numpy()[found["at"]]})
 
     asked = rows.withColumnRenamed("id", id_col).where(queries).withColumnRenamed(id_col, "id")
     groups = cut(asked.groupBy("v").agg(F.min("id").alias("rep")), "queries")
-    plans = cut(groups.select(F.col("rep").alias("id"), "v").mapInPandas(search, f"rep {id_type}, cell int, lists array<int>, v {v_type}"), "searches")
-    return _ranked(_met(filed, plans, held, k, segment, block, id_type), asked, groups, k, id_col)
+    plans = cut(groups.select(F.col("rep").alias("id"), "v").mapInPandas(search, f"rep {id_type}, cell int, early boolean, lists array<int>, v {v_type}"), "searches")
+    early = cut(_best(_met(filed, plans.where("early").withColumn("bound", F.lit(float("-inf"))), held, k, segment, block, id_type), k), "nearest-lists")
+    bounds = early.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).select("rep", F.when(F.col("n") > k, F.col("least")).otherwise(float("-inf")).alias("bound"))
+    late = _met(filed, plans.where("NOT early").join(bounds, "rep", "left").fillna(float("-inf"), ["bound"]), held, k, segment, block, id_type)
+    return _ranked(_best(early.select("rep", "id", "score").unionByName(late), k), asked, groups, k, id_col)
 
 
 def _met(filed: DataFrame, plans: DataFrame, held: np.ndarray, k: int, segment: int, block: int, id_type: str) -> DataFrame:
-    """rep, id, score: the k + 1 nearest of each (cell, segment) to each query group that searches it."""
+    """rep, id, score: of each (cell, segment) the k + 1 nearest to each query group that searches it, as far as they reach its bound."""
     spark: SparkSession = filed.sparkSession
     asks = {r["cell"]: r["n"] for r in plans.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # LISTS / CELL at most
     cells = [int(held[c : c + CELL].sum()) for c in range(0, len(held), CELL)]
@@ -300,17 +308,20 @@ def _met(filed: DataFrame, plans: DataFrame, held: np.ndarray, k: int, segment:
         new = np.ones(len(r), bool)
         new[1:] = (r[1:] != r[:-1]) | (i[1:] != i[:-1])  # a vector that is in several lists has one score
         r, i, s = r[new], i[new], s[new]
-        keep = np.arange(len(r)) - np.searchsorted(r, np.arange(len(q)))[r] < k + 1
+        keep = (np.arange(len(r)) - np.searchsorted(r, np.arange(len(q)))[r] < k + 1) & (s >= q["bound"].to_numpy()[r])
         return pd.DataFrame({"rep": q["rep"].to_numpy()[r[keep]], "id": i[keep], "score": s[keep]})
 
-    return left.select(*keys, "list", "id", "v").groupBy(*keys).cogroup(right.select(*keys, "rep", "lists", "v").groupBy(*keys)).applyInPandas(meet, f"rep {id_type}, id {id_type}, score double")
+    return left.select(*keys, "list", "id", "v").groupBy(*keys).cogroup(right.select(*keys, "rep", "lists", "v", "bound").groupBy(*keys)).applyInPandas(meet, f"rep {id_type}, id {id_type}, score double")
 
 
-def _ranked(met: DataFrame, asked: DataFrame, groups: DataFrame, k: int, id_col: str) -> DataFrame:
+def _best(met: DataFrame, k: int) -> DataFrame:
+    """rep, id, score, place (from 1): the k + 1 best of each rep; a vector that is in several lists counts once."""
+    best = met.repartition(partitions(met.sparkSession), "rep").groupBy("rep", "id").agg(F.max("score").alias("score"))
+    return best.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("score"), "id"))).where(F.col("place") <= k + 1)
+
+
+def _ranked(best: DataFrame, asked: DataFrame, groups: DataFrame, k: int, id_col: str) -> DataFrame:
     """The k nearest of each query: of the k + 1 of its group those that aren't itself."""
-    n = partitions(met.sparkSession)
-    best = met.repartition(n, "rep").groupBy("rep", "id").agg(F.max("score").alias("score"))
-    best = best.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("score"), "id"))).where(F.col("place") <= k + 1)
     whole = best.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("place", "id", "score"))).alias("found"))  # k + 1 at most
     members = asked.join(groups, "v").select("id", "rep")
     own = members.join(cut(whole, "neighbours"), "rep").select(F.col("id").alias("query_id"), F.slice(F.filter("found", lambda x: x["id"] != F.col("id")), 1, k).alias("found"))
