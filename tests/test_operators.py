@@ -344,7 +344,7 @@ def test_robust_z_on_constant_groups(spark):
 def test_both_names_of_outlying_channels(spark):
     df = spark.createDataFrame([("s", c, v) for c, v in zip("abcde", (1.0, 1.1, 0.9, 1.05, 900.0), strict=True)], "s string, c string, std double")
     got = lambda **k: {r["c"]: r["bad_reasons"] for r in quality.channel_flags(df, ["s"], "std", 3.0, {}, **k).collect()}["e"]
-    assert got() == "high_std" and got(outlier="variance_outlier") == "variance_outlier"
+    assert got() == "variance_outlier" and got(had=F.lit("flat")) == "flat;variance_outlier"
 
 
 def test_array_correlation_is_pearsons(spark):

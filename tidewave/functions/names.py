@@ -24,7 +24,8 @@ def letters_upper(c: Column) -> Column:
 
 
 def is_auxiliary(c: Column) -> Column:
-    return F.upper(c).rlike("^(" + "|".join(AUXILIARY) + ")")
+    """One of the prefixes begins the name's letters and digits."""
+    return letters_upper(c).rlike("^(" + "|".join(AUXILIARY) + ")")
 
 
 def has_auxiliary_word(c: Column) -> Column:

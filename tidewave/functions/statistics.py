@@ -13,20 +13,28 @@ from pyspark.sql.window import Window
 
 MAD_SCALE = 1.4826
 TINY = 2.2250738585072014e-308
+#: The step of doubles at 1: scales up to it count as zero.
+STEP = 2.220446049250313e-16
 CLIP = 0.999999
 
 
-def with_robust_z(df: DataFrame, x: str, by: list[str], out: str, zero_scale: str = "zero", eps: float = 1e-12) -> DataFrame:
-    """df with (x - median) / (1.4826 MAD) within groups in column out. Where MAD is 0: all 0 ("zero"), or divided by eps ("clamp")."""
+def with_robust_z(df: DataFrame, x: str, by: list[str], out: str, zero_scale: str = "zero", eps: float = STEP) -> DataFrame:
+    """df with (x - median) / (1.4826 MAD) within groups in column out; null and NaN are left out of both medians.
+
+    Where the scale is eps at most: all 0, missing values too ("zero", as for whole sessions), or divided by eps ("clamp", as for raw recordings).
+    """
     w = Window.partitionBy(*by)
-    df = df.withColumn("_mid", F.median(x).over(w)).withColumn("_dev", F.abs(F.col(x) - F.col("_mid")))
+    real = F.when(~F.isnan(x), F.col(x)) if dict(df.dtypes)[x] in ("float", "double") else F.col(x)
+    df = df.withColumn("_x", real).withColumn("_mid", F.median("_x").over(w)).withColumn("_dev", F.abs(F.col("_x") - F.col("_mid")))
     df = df.withColumn("_scale", MAD_SCALE * F.median("_dev").over(w))
-    z = (F.col(x) - F.col("_mid")) / F.greatest(F.col("_scale"), F.lit(eps)) if zero_scale == "clamp" else F.when(F.col("_scale") > 0, (F.col(x) - F.col("_mid")) / F.col("_scale")).otherwise(F.when(F.col(x).isNotNull(), F.lit(0.0)))
-    return df.withColumn(out, z).drop("_mid", "_dev", "_scale")
+    far = F.col("_x") - F.col("_mid")
+    z = far / F.greatest(F.col("_scale"), F.lit(eps)) if zero_scale == "clamp" else F.when(F.col("_scale") > eps, far / F.col("_scale")).otherwise(F.lit(0.0))
+    return df.withColumn(out, z).drop("_x", "_mid", "_dev", "_scale")
 
 
 def log_floor(x: Column) -> Column:
-    return F.log10(F.greatest(x, F.lit(TINY)))
+    """log10, of the smallest normal number below it; missing stays missing."""
+    return F.when(x.isNotNull(), F.log10(F.greatest(x, F.lit(TINY))))
 
 
 def clipped(r: Column) -> Column:

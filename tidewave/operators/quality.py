@@ -38,23 +38,85 @@ def window_quality(samples: DataFrame, window: list[str], channel: str, x: str,
     return out.withColumn("absolute_bad", ((F.col("max_abs") > peak) | (F.col("high_fraction") > fraction)).cast("int"))
 
 
-def channel_accumulators(samples: DataFrame, by: list[str], chunk: str, order: list[str], x: str, jump: float, flat: float = 1e-9, limits: tuple[float, ...] = (100.0, 150.0, 200.0)) -> DataFrame:
-    """Per channel: counts, sums, extremes, amplitudes above limits (from the chunk's median) and flat and jumping differences, which go on across chunks."""
-    diff = F.abs(F.col(x) - F.lag(x).over(Window.partitionBy(*by).orderBy(*order)))
-    rows = samples.withColumn("_d", diff).withColumn("_c", F.abs(F.col(x) - F.median(x).over(Window.partitionBy(*by, chunk))))
-    return rows.groupBy(*by).agg(
+#: What states add up, beside the counts above limits.
+ADDED = ("n_samples", "finite", "nonfinite", "zeros", "total", "squares", "flat", "jumps", "differences", "r_sum", "r_weight")
+
+
+def chunk_states(samples: DataFrame, by: list[str], channel: str, chunk: str, order: list[str], x: str, jump: float, flat: float = 1e-9, limits: tuple[float, ...] = (100.0, 150.0, 200.0), every: int | None = 1) -> DataFrame:
+    """A state per recording (by), channel and chunk: by, channel, start, stop, first, last, minimum, maximum, ADDED and above_<limit>.
+
+    Null and NaN are missing, infinite values are not finite: both count in nonfinite, neither in the sums. Amplitudes are taken from the chunk's median. A difference to the sample before counts if
+    it is finite. r_sum and r_weight are the correlation with the median over channels at every `every`-th place of the chunk, times the places (with None 0). No window
+    is larger than a chunk; merged() joins the states of neighbouring chunks. Recordings and channels need keys: rows without one have no correlation.
+    """
+    keys = [*by, channel]
+    w = Window.partitionBy(*keys, chunk)
+    rows = samples.select(*keys, chunk, F.struct(*order).alias("_o"), F.col(x).cast("double").alias("_raw")).withColumn("_v", F.when(~F.isnan("_raw"), F.col("_raw")))
+    rows = rows.withColumn("_c", F.abs(F.col("_v") - F.median("_v").over(w))).withColumn("_d", F.abs(F.col("_v") - F.lag("_v").over(w.orderBy("_o")))).withColumn("_k", F.row_number().over(w.orderBy("_o")) - 1)
+    number = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    real = F.coalesce(F.abs("_v") < float("inf"), F.lit(False))
+    state = rows.groupBy(*keys, chunk).agg(
+        F.min("_o").alias("start"),
+        F.max("_o").alias("stop"),
+        F.min_by("_v", "_o").alias("first"),
+        F.max_by("_v", "_o").alias("last"),
+        F.min("_v").alias("minimum"),
+        F.max("_v").alias("maximum"),
         F.count(F.lit(1)).alias("n_samples"),
-        F.sum(F.when(F.col(x).isNull() | F.isnan(x), 1).otherwise(0)).alias("nonfinite"),
-        F.sum((F.col(x) == 0).cast("long")).alias("zeros"),
-        F.sum(x).alias("total"),
-        F.sum(F.col(x) * F.col(x)).alias("squares"),
-        F.min(x).alias("minimum"),
-        F.max(x).alias("maximum"),
-        *[F.sum((F.col("_c") > k).cast("long")).alias(f"above_{k:g}") for k in limits],
-        F.sum((F.col("_d") <= flat).cast("long")).alias("flat"),
-        F.sum((F.col("_d") > jump).cast("long")).alias("jumps"),
-        F.count("_d").alias("differences"),
+        number(real).alias("finite"),
+        number(~real).alias("nonfinite"),
+        number(F.col("_v") == 0).alias("zeros"),
+        F.coalesce(F.sum(F.when(real, F.col("_v"))), F.lit(0.0)).alias("total"),
+        F.coalesce(F.sum(F.when(real, F.col("_v") * F.col("_v"))), F.lit(0.0)).alias("squares"),
+        *[number((F.col("_c") > k) & ~F.isnan("_c")).alias(f"above_{k:g}") for k in limits],
+        number(_counts("_d") & (F.col("_d") <= flat)).alias("flat"),
+        number(_counts("_d") & (F.col("_d") >= jump)).alias("jumps"),
+        number(_counts("_d")).alias("differences"),
     )
+    if every is None:
+        return state.withColumn("r_sum", F.lit(0.0)).withColumn("r_weight", F.lit(0).cast("long")).drop(chunk)
+    r = chunk_correlation(rows.where(F.col("_k") % every == 0), by, channel, chunk, "_k", "_v")
+    state = state.join(r, [*keys, chunk], "left")
+    weight = F.when(F.col("_r").isNotNull(), F.col("_places")).otherwise(F.lit(0).cast("long"))
+    return state.withColumn("r_sum", F.coalesce(F.col("_r") * F.col("_places"), F.lit(0.0))).withColumn("r_weight", weight).drop("_r", "_places", chunk)
+
+
+def _counts(d: str) -> Column:
+    """A difference that is finite."""
+    return F.coalesce((F.col(d) < float("inf")) & ~F.isnan(d), F.lit(False))
+
+
+def chunk_correlation(rows: DataFrame, by: list[str], channel: str, chunk: str, place: str, v: str) -> DataFrame:
+    """by, channel, chunk, _r, _places: per chunk, a channel's correlation with the median over channels at each place; missing where a variance isn't positive."""
+    at = [*by, chunk]
+    mid = rows.groupBy(*at, place).agg(F.median(v).alias("_m"))
+    mean = mid.groupBy(*at).agg(F.avg("_m").alias("_mm"), F.count(F.lit(1)).alias("_places"))
+    mid = mid.join(mean, at).withColumn("_m", F.col("_m") - F.col("_mm"))
+    norm = mid.groupBy(*at).agg(F.sum(F.col("_m") * F.col("_m")).alias("_mss"))
+    own = rows.groupBy(*at, channel).agg(F.avg(v).alias("_vm"))
+    c = F.col(v) - F.col("_vm")
+    sums = rows.join(own, [*at, channel]).join(mid.drop("_mm"), [*at, place]).groupBy(*at, channel, "_places").agg(F.sum(c * F.col("_m")).alias("_cross"), F.sum(c * c).alias("_vss"))
+    den = F.sqrt(F.col("_vss")) * F.sqrt(F.col("_mss"))
+    r = F.when(den > 0, F.col("_cross") / den)
+    return sums.join(norm, at).select(*at, channel, F.when(F.abs(r) < float("inf"), r).alias("_r"), "_places")
+
+
+def merged(states: DataFrame, keys: list[str], jump: float, flat: float = 1e-9) -> DataFrame:
+    """One state per key from the states of its runs of samples, which don't overlap: the step from one run's last sample to the next one's first is a difference too.
+
+    It gives states again, so any neighbours may be merged first, whatever the chunks, partitions or batches.
+    """
+    step = F.abs(F.col("first") - F.lag("last").over(Window.partitionBy(*keys).orderBy("start")))  # a row a chunk
+    rows = states.withColumn("_s", step)
+    here = {"flat": F.col("_s") <= flat, "jumps": F.col("_s") >= jump, "differences": F.lit(True)}
+    adds = [c for c in states.columns if c in ADDED or c.startswith("above_")]
+    ends = [F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("first", "start").alias("first"), F.max_by("last", "start").alias("last"), F.min("minimum").alias("minimum"), F.max("maximum").alias("maximum")]
+    return rows.groupBy(*keys).agg(*ends, *[F.sum(F.col(c) + F.when(_counts("_s") & here[c], 1).otherwise(0) if c in here else F.col(c)).alias(c) for c in adds]).select(*keys, *[c for c in states.columns if c not in keys])
+
+
+def channel_accumulators(samples: DataFrame, by: list[str], channel: str, chunk: str, order: list[str], x: str, jump: float, flat: float = 1e-9, limits: tuple[float, ...] = (100.0, 150.0, 200.0), every: int | None = 1) -> DataFrame:
+    """One state per recording and channel: chunk_states, merged."""
+    return merged(chunk_states(samples, by, channel, chunk, order, x, jump, flat, limits, every), [*by, channel], jump, flat)
 
 
 def reference_correlation(samples: DataFrame, by: list[str], channel: str, t: str, x: str) -> DataFrame:
@@ -69,9 +131,25 @@ def channel_rules(nonfinite: Column, flat: Column, high: Column, jumps: Column,
 
 
 def finished(acc: DataFrame) -> DataFrame:
-    """Means, deviations and fractions of accumulators; the variance is never negative."""
-    var = F.greatest(F.lit(0.0), F.col("squares") / F.col("n_samples") - F.pow(F.col("total") / F.col("n_samples"), 2))
-    return acc.select("*", (F.col("total") / F.col("n_samples")).alias("mean"), F.sqrt(var).alias("std"), F.sqrt(F.col("squares") / F.col("n_samples")).alias("rms"), (F.col("maximum") - F.col("minimum")).alias("ptp"), (F.col("flat") / F.greatest(F.col("differences"), F.lit(1))).alias("flat_fraction"), (F.col("jumps") / F.greatest(F.col("differences"), F.lit(1))).alias("jump_fraction"))
+    """Means, deviations and fractions of states, over finite samples; the variance is never negative. r is the mean correlation of chunks, by their places."""
+    n = F.greatest(F.col("finite"), F.lit(1))
+    steps = F.greatest(F.col("differences"), F.lit(1))
+    var = F.greatest(F.lit(0.0), F.col("squares") / n - F.pow(F.col("total") / n, 2))
+    ratios = [(F.col(c) / n).alias(f"{c}_fraction") for c in acc.columns if c.startswith("above_")]
+    return acc.select(
+        "*",
+        (F.col("total") / n).alias("mean"),
+        F.sqrt(var).alias("std"),
+        F.sqrt(F.col("squares") / n).alias("rms"),
+        (F.col("maximum") - F.col("minimum")).alias("ptp"),
+        F.greatest(F.abs("minimum"), F.abs("maximum")).alias("max_abs"),
+        (F.col("nonfinite") / F.greatest(F.col("n_samples"), F.lit(1))).alias("nonfinite_fraction"),
+        (F.col("zeros") / n).alias("zero_fraction"),
+        *ratios,
+        (F.col("flat") / steps).alias("flat_fraction"),
+        (F.col("jumps") / steps).alias("jump_fraction"),
+        F.when(F.col("r_weight") > 0, F.col("r_sum") / F.col("r_weight")).alias("r"),
+    )
 
 
 def robust_statistics(samples: DataFrame, by: list[str], x: str) -> DataFrame:
@@ -89,18 +167,46 @@ def shape(x: Column) -> tuple[Column, Column]:
     return F.skewness(x), F.kurtosis(x)
 
 
-def channel_flags(channels: DataFrame, by: list[str], std: str, z_limit: float, rules: dict[str, Column], had: Column | None = None, outlier: str | None = None) -> DataFrame:
-    """bad_channel and bad_reasons: rules, and log10 deviation far from the session's others; joined to earlier reasons.
+def channel_flags(channels: DataFrame, by: list[str], std: str, z_limit: float, rules: dict[str, Column], had: Column | None = None) -> DataFrame:
+    """bad_channel and bad_reasons of raw recordings: rules, and variance_outlier for a log10 deviation far from the session's others (a scale of zero is clamped, so one odd channel among equal ones is far)."""
+    df = with_robust_z(channels.withColumn("_log", log_floor(F.col(std))), "_log", by, "log_std_z", "clamp").drop("_log")
+    return _flagged(df, had, reasons(**rules, variance_outlier=F.abs("log_std_z") > z_limit))
 
-    The deviation's reasons are high_std and low_std, as for whole sessions, or the one name given as outlier, as for raw recordings ("variance_outlier").
-    """
-    df = with_robust_z(channels.withColumn("_log", log_floor(F.col(std))), "_log", by, "log_std_z").drop("_log")
-    z = F.col("log_std_z")
-    new = reasons(**rules, **({outlier: F.abs(z) > z_limit} if outlier else {"high_std": z > z_limit, "low_std": z < -z_limit}))
+
+def _flagged(df: DataFrame, had: Column | None, new: Column) -> DataFrame:
     df = df.withColumn("bad_reasons", joined_reasons(had if had is not None else F.lit(""), new))
     return df.withColumn("bad_channel", (F.col("bad_reasons") != "").cast("int"))
 
 
+def finalized_channels(channels: DataFrame, by: list[str], line: str, muscle: str, z_limit: float, had: Column | None = None) -> DataFrame:
+    """Final reasons of channels: earlier ones, line_noise_outlier and muscle_power_outlier (on a log scale) where they lie above the session's other channels."""
+    df = with_robust_z(channels, line, by, "line_z")
+    df = with_robust_z(df.withColumn("_log", log_floor(F.col(muscle))), "_log", by, "muscle_z").drop("_log")
+    return _flagged(df, had, reasons(line_noise_outlier=F.col("line_z") > z_limit, muscle_power_outlier=F.col("muscle_z") > z_limit))
+
+
+def finalized_sessions(sessions: DataFrame, channels: DataFrame, keys: list[str], across: list[str], metrics: dict[str, bool], bad_windows: str, fraction: float, z_limit: float) -> DataFrame:
+    """Sessions with n_channels, n_bad and bad_fraction of their channels, <metric>_z among the sessions of `across`, review_reasons (joined by ;) and flag_for_review.
+
+    metrics: name -> whether it is compared on a log scale. A session without channels has null counts and no reason from them.
+    """
+    counted = channels.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_channels"), F.sum("bad_channel").alias("n_bad"), F.avg("bad_channel").alias("bad_fraction"))
+    df = sessions.drop("n_channels", "n_bad", "bad_fraction").join(counted, keys, "left")
+    flags = {"many_bad_channels": F.col("bad_fraction") >= fraction, "many_bad_windows": F.col(bad_windows) >= fraction}
+    for m, log in metrics.items():
+        df = with_robust_z(df.withColumn("_m", log_floor(F.col(m)) if log else F.col(m)), "_m", across, f"{m}_z").drop("_m")
+        flags[f"{m}_outlier"] = F.abs(f"{m}_z") > z_limit
+    return df.withColumn("review_reasons", F.array_join(reasons(**flags), ";")).withColumn("flag_for_review", (F.col("review_reasons") != "").cast("int"))
+
+
+def finalized_trials(trials: DataFrame, by: list[str], rms: str, bad_windows: str, n_windows: str, fraction: float, z_limit: float) -> DataFrame:
+    """Trials with log_rms_z within their session, review_reasons (each followed by ;) and flag_for_review."""
+    df = with_robust_z(trials.withColumn("_log", log_floor(F.col(rms))), "_log", by, "log_rms_z").drop("_log")
+    found = reasons(many_bad_windows=F.col(bad_windows) > fraction, rms_outlier=F.abs("log_rms_z") > z_limit, no_quality_windows=F.col(n_windows) == 0)
+    df = df.withColumn("review_reasons", F.array_join(F.transform(found, lambda r: F.concat(r, F.lit(";"))), ""))
+    return df.withColumn("flag_for_review", (F.col("review_reasons") != "").cast("int"))
+
+
 def session_rollup(channels: DataFrame, by: list[str], measures: list[str], flag: str = "bad_channel") -> DataFrame:
     return channels.groupBy(*by).agg(F.count(F.lit(1)).alias("n_channels"), F.sum(flag).alias("n_bad"), F.avg(flag).alias("bad_fraction"), *[F.median(m).alias(f"median_{m}") for m in measures])
 

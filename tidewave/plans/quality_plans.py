@@ -64,7 +64,7 @@ def _channels(spark, sf_dir):
 
 @query(_CHAN + """, m AS (SELECT *, median(mean) OVER (PARTITION BY channel) AS mid FROM ch),
     d AS (SELECT *, 1.4826 * median(abs(mean - mid)) OVER (PARTITION BY channel) AS scale FROM m)
-    SELECT subject, channel, round(mean, 6) AS mean, round(CASE WHEN scale > 0 THEN (mean - mid) / scale ELSE 0 END, 6) AS z, round((mean - mid) / greatest(scale, 1e-12), 6) AS z_clamped FROM d""")
+    SELECT subject, channel, round(mean, 6) AS mean, round(CASE WHEN scale > 0 THEN (mean - mid) / scale ELSE 0 END, 6) AS z, round((mean - mid) / greatest(scale, 2.220446049250313e-16), 6) AS z_clamped FROM d""")
 def group_robust_z(spark, sf_dir):
     """Robust z within a group, both rules for a zero MAD."""
     ch = statistics.with_robust_z(_channels(spark, sf_dir), "mean", ["channel"], "z")
@@ -79,17 +79,60 @@ def log_robust_z(spark, sf_dir):
     return rounded(statistics.with_robust_z(ch, "x", ["subject"], "log_std_z").select("subject", "channel", "log_std_z"))
 
 
-@query(_CHAN + """, l AS (SELECT *, log10(greatest(std, 2.2250738585072014e-308)) AS x FROM ch),
-    m AS (SELECT *, median(x) OVER (PARTITION BY subject) AS mid FROM l), d AS (SELECT *, 1.4826 * median(abs(x - mid)) OVER (PARTITION BY subject) AS scale FROM m),
-    z AS (SELECT *, CASE WHEN scale > 0 THEN (x - mid) / scale ELSE 0 END AS z FROM d),
-    r AS (SELECT *, list_sort(list_filter([CASE WHEN mean > 60 THEN 'high_mean' END, CASE WHEN n < 5 THEN 'short' END, CASE WHEN z > 3 THEN 'high_std' END, CASE WHEN z < -3 THEN 'low_std' END, CASE WHEN subject % 2 = 0 THEN 'manual' END], lambda x: x IS NOT NULL)) AS r FROM z)
+_STEP = "2.220446049250313e-16"
+
+
+@query(_CHAN + f""", l AS (SELECT *, log10(greatest(std, 2.2250738585072014e-308)) AS x FROM ch),
+    m AS (SELECT *, median(x) OVER w AS mid, median(mean) OVER w AS line_mid FROM l WINDOW w AS (PARTITION BY subject)),
+    d AS (SELECT *, 1.4826 * median(abs(x - mid)) OVER w AS scale, 1.4826 * median(abs(mean - line_mid)) OVER w AS line_scale FROM m WINDOW w AS (PARTITION BY subject)),
+    z AS (SELECT *, (x - mid) / greatest(scale, {_STEP}) AS raw_z, CASE WHEN scale > {_STEP} THEN (x - mid) / scale ELSE 0 END AS muscle_z, CASE WHEN line_scale > {_STEP} THEN (mean - line_mid) / line_scale ELSE 0 END AS line_z FROM d),
+    r AS (SELECT *, list_sort(list_filter([CASE WHEN mean > 60 THEN 'high_mean' END, CASE WHEN n < 5 THEN 'short' END, CASE WHEN abs(raw_z) > 3 THEN 'variance_outlier' END, CASE WHEN line_z > 3 THEN 'line_noise_outlier' END, CASE WHEN muscle_z > 3 THEN 'muscle_power_outlier' END,
+        CASE WHEN subject % 2 = 0 THEN 'manual' END], lambda x: x IS NOT NULL)) AS r FROM z)
     SELECT subject, channel, array_to_string(r, ';') AS bad_reasons, CAST(len(r) > 0 AS INT) AS bad_channel FROM r""")
 def reason_flags_sorted(spark, sf_dir):
-    """Channel flags: rules, robust z and earlier reasons in one sorted list."""
-    out = quality.channel_flags(_channels(spark, sf_dir), ["subject"], "std", 3.0, {"high_mean": F.col("mean") > 60, "short": F.col("n") < 5}, F.when(F.col("subject") % 2 == 0, "manual;;nan").otherwise("nan"))
+    """Channel flags: rules, robust z and earlier reasons in one sorted list, first of recordings, then final ones within a session."""
+    raw = quality.channel_flags(_channels(spark, sf_dir), ["subject"], "std", 3.0, {"high_mean": F.col("mean") > 60, "short": F.col("n") < 5}, F.when(F.col("subject") % 2 == 0, "manual;;nan").otherwise("nan"))
+    out = quality.finalized_channels(raw, ["subject"], "mean", "std", 3.0, F.col("bad_reasons"))
     return out.select("subject", "channel", "bad_reasons", "bad_channel")
 
 
+def _z(x: str, by: str, out: str) -> str:
+    """CTEs of a robust z, zero where there is no scale."""
+    return f"m_{out} AS (SELECT *, median({x}) OVER (PARTITION BY {by}) AS mid FROM {{}}), d_{out} AS (SELECT *, 1.4826 * median(abs({x} - mid)) OVER (PARTITION BY {by}) AS scale FROM m_{out}), z_{out} AS (SELECT * EXCLUDE (mid, scale), CASE WHEN scale > {_STEP} THEN ({x} - mid) / scale ELSE 0 END AS {out} FROM d_{out})"
+
+
+_LOG = "log10(greatest({}, 2.2250738585072014e-308))"
+
+
+@query(f"""WITH {SAMPLES}, c AS (SELECT subject, session, channel, CAST(avg(value) > 60 AS INT) AS bad FROM s GROUP BY ALL),
+    n AS (SELECT subject, session, count(*) AS n_channels, sum(bad) AS n_bad, avg(bad) AS bad_fraction FROM c GROUP BY ALL),
+    t AS (SELECT subject, session, stddev_pop(value) AS spread, avg(value) AS level, avg(CAST(value > 150 AS INT)) AS bad_windows FROM s GROUP BY ALL),
+    {_z(_LOG.format("spread"), "session", "spread_z").format("t")}, {_z("level", "session", "level_z").format("z_spread_z")}
+    SELECT subject, session, n_channels, CAST(n_bad AS BIGINT) AS n_bad, round(spread_z, 6) AS spread_z, round(level_z, 6) AS level_z,
+        array_to_string(list_filter([CASE WHEN bad_fraction >= 0.5 THEN 'many_bad_channels' END, CASE WHEN bad_windows >= 0.5 THEN 'many_bad_windows' END, CASE WHEN abs(spread_z) > 3 THEN 'spread_outlier' END, CASE WHEN abs(level_z) > 3 THEN 'level_outlier' END], lambda x: x IS NOT NULL), ';') AS review_reasons,
+        CAST(coalesce(bad_fraction >= 0.5, false) OR bad_windows >= 0.5 OR abs(spread_z) > 3 OR abs(level_z) > 3 AS INT) AS flag_for_review
+    FROM z_level_z JOIN n USING (subject, session)""")
+def session_review(spark, sf_dir):
+    """Sessions finalised: their bad channels counted, measures compared with the other subjects of the day."""
+    s = samples(spark, sf_dir)
+    channels = s.groupBy("subject", "session", "channel").agg((F.avg("value") > 60).cast("int").alias("bad_channel"))
+    sessions = s.groupBy("subject", "session").agg(F.stddev_pop("value").alias("spread"), F.avg("value").alias("level"), F.avg((F.col("value") > 150).cast("int")).alias("bad_windows"))
+    out = quality.finalized_sessions(sessions, channels, ["subject", "session"], ["session"], {"spread": True, "level": False}, "bad_windows", 0.5, 3.0)
+    return rounded(out.select("subject", "session", "n_channels", "n_bad", "spread_z", "level_z", "review_reasons", "flag_for_review"))
+
+
+@query(f"""WITH {SAMPLES}, t AS (SELECT session, channel, hour, sqrt(avg(value * value)) AS rms, avg(CAST(value > 100 AS INT)) AS bad_windows, count(*) FILTER (value > 1) AS n_windows FROM s GROUP BY ALL),
+    {_z(_LOG.format("rms"), "session, channel", "z").format("t")}
+    SELECT session, channel, hour, round(z, 6) AS log_rms_z, CASE WHEN bad_windows > 0.3 THEN 'many_bad_windows;' ELSE '' END || CASE WHEN abs(z) > 2.5 THEN 'rms_outlier;' ELSE '' END || CASE WHEN n_windows = 0 THEN 'no_quality_windows;' ELSE '' END AS review_reasons,
+        CAST(bad_windows > 0.3 OR abs(z) > 2.5 OR n_windows = 0 AS INT) AS flag_for_review FROM z_z""")
+def trial_review(spark, sf_dir):
+    """Trials finalised within their recordings."""
+    s = samples(spark, sf_dir)
+    trials = s.groupBy("session", "channel", "hour").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"), F.avg((F.col("value") > 100).cast("int")).alias("bad_windows"), F.count(F.when(F.col("value") > 1, 1)).alias("n_windows"))
+    out = quality.finalized_trials(trials, ["session", "channel"], "rms", "bad_windows", "n_windows", 0.3, 2.5)
+    return rounded(out.select("session", "channel", "hour", "log_rms_z", "review_reasons", "flag_for_review"))
+
+
 @query(_CHAN + """, f AS (SELECT *, CAST(mean > 50 AS INT) AS bad FROM ch)
     SELECT channel, count(*) AS n_channels, CAST(sum(bad) AS BIGINT) AS n_bad, round(avg(bad), 6) AS bad_fraction, round(median(mean), 6) AS median_mean, round(median(std), 6) AS median_std FROM f GROUP BY channel""")
 def session_rollup(spark, sf_dir):
@@ -113,17 +156,39 @@ def group_zscore(spark, sf_dir):
 
 _ACC = f"""WITH {SAMPLES}, d AS (SELECT *, abs(value - lag(value) OVER (PARTITION BY subject, channel ORDER BY ts, event_id)) AS d, abs(value - median(value) OVER (PARTITION BY subject, channel, session)) AS c FROM s),
     acc AS (SELECT subject, channel, count(*) AS n_samples, count(*) FILTER (value IS NULL OR isnan(value)) AS nonfinite, count(*) FILTER (value = 0) AS zeros, sum(value) AS total, sum(value * value) AS squares, min(value) AS minimum, max(value) AS maximum,
-    count(*) FILTER (c > 100) AS above_100, count(*) FILTER (c > 150) AS above_150, count(*) FILTER (c > 200) AS above_200, count(*) FILTER (d <= 1e-9) AS flat, count(*) FILTER (d > 80) AS jumps, count(d) AS differences FROM d GROUP BY ALL)"""
+    count(*) FILTER (c > 100) AS above_100, count(*) FILTER (c > 150) AS above_150, count(*) FILTER (c > 200) AS above_200, count(*) FILTER (d <= 1e-9) AS flat, count(*) FILTER (d >= 80) AS jumps, count(d) AS differences FROM d GROUP BY ALL)"""
 
 
 def _accumulated(spark, sf_dir):
-    return quality.channel_accumulators(samples(spark, sf_dir), ["subject", "channel"], "session", ["ts", "event_id"], "value", 80.0)
+    return quality.channel_accumulators(samples(spark, sf_dir), ["subject"], "channel", "session", ["ts", "event_id"], "value", 80.0, every=None)
 
 
 @query(_ACC + " SELECT subject, channel, n_samples, nonfinite, zeros, round(total, 4) AS total, round(squares, 4) AS squares, round(minimum, 4) AS minimum, round(maximum, 4) AS maximum, above_100, above_150, above_200, flat, jumps, differences FROM acc")
 def channel_accumulators(spark, sf_dir):
     """Counts, sums and extremes per channel, differences carried across chunks."""
-    return rounded(_accumulated(spark, sf_dir), 4)
+    names = ["subject", "channel", "n_samples", "nonfinite", "zeros", "total", "squares", "minimum", "maximum", "above_100", "above_150", "above_200", "flat", "jumps", "differences"]
+    return rounded(_accumulated(spark, sf_dir).select(*names), 4)
+
+
+@query(f"""WITH {SAMPLES}, p AS (SELECT * EXCLUDE (value), CASE WHEN event_id % 23 = 0 THEN NULL WHEN event_id % 29 = 0 THEN 'infinity'::DOUBLE WHEN event_id % 31 = 0 THEN NULL ELSE value END AS v FROM s),
+    k AS (SELECT *, row_number() OVER (PARTITION BY subject, session, channel ORDER BY ts, event_id) - 1 AS k, v - lag(v) OVER (PARTITION BY subject, channel ORDER BY ts, event_id) AS d, v - median(v) OVER (PARTITION BY subject, channel, session) AS c FROM p),
+    acc AS (SELECT subject, channel, count(*) AS n, count(*) FILTER (isfinite(v)) AS finite, sum(v) FILTER (isfinite(v)) AS total, sum(v * v) FILTER (isfinite(v)) AS squares, min(v) AS minimum, max(v) AS maximum, count(*) FILTER (NOT isnan(c) AND abs(c) > 100) AS above,
+        count(*) FILTER (isfinite(d) AND abs(d) >= 80) AS jumps, count(*) FILTER (isfinite(d)) AS differences FROM k GROUP BY ALL),
+    mid AS (SELECT subject, session, k, median(v) AS m FROM k GROUP BY ALL), mids AS (SELECT *, m - avg(m) OVER (PARTITION BY subject, session) AS r, count(*) OVER (PARTITION BY subject, session) AS places FROM mid),
+    norm AS (SELECT subject, session, sum(r * r) AS rr FROM mids GROUP BY ALL),
+    own AS (SELECT k.subject, k.session, k.channel, k.v - avg(k.v) OVER (PARTITION BY k.subject, k.session, k.channel) AS c, r, places FROM k JOIN mids USING (subject, session, k)),
+    cor AS (SELECT subject, session, channel, places, sum(c * r) AS cross_, sum(c * c) AS vv FROM own GROUP BY ALL),
+    rs AS (SELECT subject, channel, places, CASE WHEN vv > 0 AND rr > 0 AND NOT isinf(vv) AND NOT isnan(vv) AND NOT isnan(cross_) AND NOT isinf(rr) AND NOT isnan(rr) THEN cross_ / (sqrt(vv) * sqrt(rr)) END AS r FROM cor JOIN norm USING (subject, session)),
+    w AS (SELECT subject, channel, sum(r * places) / sum(places) FILTER (r IS NOT NULL) AS r FROM rs GROUP BY ALL)
+    SELECT subject, channel, n AS n_samples, finite, round(coalesce(total, 0) / greatest(finite, 1), 6) AS mean, round(sqrt(greatest(0, coalesce(squares, 0) / greatest(finite, 1) - pow(coalesce(total, 0) / greatest(finite, 1), 2))), 6) AS std, round((n - finite) / n, 6) AS nonfinite_fraction,
+        round(above / greatest(finite, 1), 6) AS above_100_fraction, round(jumps / greatest(differences, 1), 6) AS jump_fraction, differences, round(r, 6) AS r FROM acc JOIN w USING (subject, channel)""")
+def channel_states_missing(spark, sf_dir):
+    """Accumulators of recordings with planted gaps: missing samples, not-a-number and infinities, and the correlation with the median over channels."""
+    e = F.col("event_id")
+    v = F.when(e % 23 == 0, F.lit(None)).when(e % 29 == 0, float("inf")).when(e % 31 == 0, float("nan")).otherwise(F.col("value"))
+    acc = quality.channel_accumulators(samples(spark, sf_dir).withColumn("value", v), ["subject"], "channel", "session", ["ts", "event_id"], "value", 80.0)
+    out = quality.finished(acc).select("subject", "channel", "n_samples", "finite", "mean", "std", "nonfinite_fraction", "above_100_fraction", "jump_fraction", "differences", "r")
+    return rounded(out)
 
 
 @query(_ACC + """ SELECT subject, channel, round(total / n_samples, 6) AS mean, round(sqrt(greatest(0, squares / n_samples - pow(total / n_samples, 2))), 6) AS std, round(sqrt(squares / n_samples), 6) AS rms, round(maximum - minimum, 6) AS ptp,
@@ -141,10 +206,10 @@ def channel_robust_statistics(spark, sf_dir):
 
 
 @query(f"""WITH {SAMPLES}, d AS (SELECT *, value - lag(value) OVER (PARTITION BY subject, channel ORDER BY ts, event_id) AS d FROM s)
-    SELECT event_id, round(d, 6) AS difference, d IS NOT NULL AND abs(d) > 80 AS jump FROM d""")
+    SELECT event_id, round(d, 6) AS difference, d IS NOT NULL AND abs(d) >= 80 AS jump FROM d""")
 def first_difference_jumps(spark, sf_dir):
     d = F.col("value") - F.lag("value").over(Window.partitionBy("subject", "channel").orderBy("ts", "event_id"))
-    return rounded(samples(spark, sf_dir).select("event_id", d.alias("difference"), F.coalesce(F.abs(d) > 80, F.lit(False)).alias("jump")))
+    return rounded(samples(spark, sf_dir).select("event_id", d.alias("difference"), F.coalesce(F.abs(d) >= 80, F.lit(False)).alias("jump")))
 
 
 @query(f"""WITH {SAMPLES}, g AS (SELECT channel, avg(value) AS mean, CASE WHEN stddev_pop(value) < 1e-8 THEN 1 ELSE stddev_pop(value) END AS std FROM s GROUP BY channel)

@@ -17,7 +17,7 @@ def windowed_quality(stream: DataFrame, at: str, channel: str, x: str, width: st
 
 
 def jumps_across_batches(stream: DataFrame, key: str, at: str, x: str, jump: float) -> DataFrame:
-    """First differences over `jump` per key; the last sample is carried from batch to batch as state."""
+    """First differences of `jump` or more per key; the last sample is carried from batch to batch as state."""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n = jumps = 0
@@ -25,7 +25,7 @@ def jumps_across_batches(stream: DataFrame, key: str, at: str, x: str, jump: flo
         for pdf in batches:
             v = pdf.sort_values(at)[x]
             d = v.diff() if last is None else pd.concat([pd.Series([last]), v]).diff().iloc[1:]
-            n, jumps, last = n + len(v), jumps + int((d.abs() > jump).sum()), float(v.iloc[-1])
+            n, jumps, last = n + len(v), jumps + int((d.abs() >= jump).sum()), float(v.iloc[-1])
         state.update((last,))
         yield pd.DataFrame([(k[0], n, jumps)], columns=[key, "n", "jumps"])
 
