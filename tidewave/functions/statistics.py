@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
+from .selection import joined_keys, in_ranges, with_ranks, with_suffix_minimum
+
 MAD_SCALE = 1.4826
 TINY = 2.2250738585072014e-308
 #: The step of doubles at 1: scales up to it count as zero.
@@ -53,19 +55,18 @@ def floored_std(x: Column, floor: float) -> Column:
     return F.when(s < floor, F.lit(1.0)).otherwise(s)
 
 
-def benjamini_hochberg(df: DataFrame, p: str, out: str, by: list[str] | None = None) -> DataFrame:
+def benjamini_hochberg(df: DataFrame, p: str, out: str, by: list[str] | None = None, partitions: int | None = None) -> DataFrame:
     """q-values of Benjamini and Hochberg, within groups. One missing p makes all q of its group missing.
 
-    Rank and reversed cumulative minimum are running windows; without groups the p-values are one list.
+    Ranks and the reversed cumulative minimum are scans over ranges of p, so one list of any length is the work of many tasks; equal
+    p-values are told apart by their rows' hashes.
     """
     keys = by or []
-    up = Window.partitionBy(*keys).orderBy(F.col(p).asc())
-    down = Window.partitionBy(*keys).orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    n, ok = F.count(F.lit(1)).over(whole), F.min(F.col(p).isNotNull() & ~F.isnan(p)).over(whole)
-    ranked = df.withColumn("_n", n).withColumn("_ok", ok).withColumn("_rank", F.row_number().over(up))
-    q = F.min(F.col(p) * F.col("_n") / F.col("_rank")).over(down)
-    return ranked.withColumn(out, F.when(F.col("_ok"), F.least(q, F.lit(1.0)))).drop("_n", "_ok", "_rank")
+    rows = in_ranges(df.withColumn("_h", F.xxhash64(*df.columns)), [*map(F.col, keys), F.col(p), F.col("_h")], partitions)
+    whole = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(F.col(p).isNotNull() & ~F.isnan(p)).alias("_ok"))
+    ranked = with_ranks(joined_keys(rows, whole, keys), keys, "_rank")
+    q = with_suffix_minimum(ranked, keys, F.col(p) * F.col("_n") / F.col("_rank"), "_q")
+    return q.withColumn(out, F.when(F.col("_ok"), F.least("_q", F.lit(1.0)))).select(*df.columns, out)
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:

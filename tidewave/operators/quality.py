@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.names import joined_reasons, reasons
+from ..functions.selection import exact_median, exact_quantiles, joined_keys
 from ..functions.statistics import log_floor, with_robust_z
 
 
@@ -153,13 +154,11 @@ def finished(acc: DataFrame) -> DataFrame:
 
 
 def robust_statistics(samples: DataFrame, by: list[str], x: str) -> DataFrame:
-    """Per group: median, mad (the median distance from it, times 1.4826) and max_abs. Null and NaN are left out; null keys are groups."""
-    real = samples.where(F.col(x).isNotNull() & ~F.isnan(x))
-    mid = real.groupBy(*by).agg(F.median(x).alias("median"), F.max(F.abs(x)).alias("max_abs"))
-    keyed = mid.select(*[F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)], "median", "max_abs")
-    same = [F.col(c).eqNullSafe(F.col(f"_by_{i}")) for i, c in enumerate(by)]
-    far = real.select(*by, x).join(keyed, same).groupBy(*by, "median", "max_abs")
-    return far.agg((F.median(F.abs(F.col(x) - F.col("median"))) * 1.4826).alias("mad"))
+    """Per group: median, mad (the median distance from it, times 1.4826) and max_abs. Null and NaN are left out; null keys are groups. Groups may be of any size."""
+    real = samples.where(F.col(x).isNotNull() & ~F.isnan(x)).select(*by, x)
+    mid = joined_keys(real.groupBy(*by).agg(F.max(F.abs(x)).alias("max_abs")), exact_median(real, by, x, "median").drop("n"), by)
+    far = joined_keys(real, mid.select(*by, "median"), by).select(*by, F.abs(F.col(x) - F.col("median")).alias("_far"))
+    return joined_keys(mid, exact_median(far, by, "_far", "_m").drop("n"), by).select(*by, "median", "max_abs", (F.col("_m") * 1.4826).alias("mad"))
 
 
 def shape(x: Column) -> tuple[Column, Column]:
@@ -212,10 +211,11 @@ def session_rollup(channels: DataFrame, by: list[str], measures: list[str], flag
 
 
 def low_scores(df: DataFrame, by: list[str], score: str, k: float = 1.5) -> DataFrame:
-    """Tukey's lower fence per group, z with the sample deviation, and the rows below the fence flagged."""
-    q = df.groupBy(*by).agg(F.percentile(score, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("std"), F.median(score).alias("median"))
-    q = q.select(*by, "mean", "std", "median", (F.col("q")[0] - k * (F.col("q")[1] - F.col("q")[0])).alias("fence"))
-    return df.join(q, by).withColumn("z", F.when(F.col("std") > 0, (F.col(score) - F.col("mean")) / F.col("std"))).withColumn("is_low", F.col(score) < F.col("fence"))
+    """Tukey's lower fence per group, z with the sample deviation, and the rows below the fence flagged. Groups may be of any size."""
+    q = exact_quantiles(df, by, score, [0.25, 0.5, 0.75]).drop("n")
+    moments = df.groupBy(*by).agg(F.avg(score).alias("mean"), F.stddev_samp(score).alias("std"))
+    q = joined_keys(moments, q, by).select(*by, "mean", "std", F.col("quantiles")[1].alias("median"), (F.col("quantiles")[0] - k * (F.col("quantiles")[2] - F.col("quantiles")[0])).alias("fence"))
+    return joined_keys(df, q, by).withColumn("z", F.when(F.col("std") > 0, (F.col(score) - F.col("mean")) / F.col("std"))).withColumn("is_low", F.col(score) < F.col("fence"))
 
 
 def with_counts_of(flagged: DataFrame, tables: list[tuple[DataFrame, list[Column]]], keys: list[str]) -> DataFrame:
