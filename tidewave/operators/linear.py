@@ -6,7 +6,7 @@ are fitted, judged and correlated from those.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -51,23 +51,19 @@ def partial_sums(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return df.select(*by, x, y).mapInPandas(reduce_, schema)
 
 
-def added(partials: DataFrame, by: list[str], fan: int = 32) -> DataFrame:
-    """One row a key: all other columns (numbers, and arrays of numbers of one length a key) added up over the partials of tasks.
+def merged_in_tree(partials: DataFrame, by: list[str], merge: Callable[[pd.DataFrame], list], fan: int = 32) -> DataFrame:
+    """One row a key: `merge` takes the rows of a key to the values of all other columns, in their order, and must be associative.
 
-    Partials of neighbouring tasks are added first, `fan` at a time, then their sums, so no task holds more than fan partials of ten thousand tasks, or
-    handles a key alone; arrays travel whole.
+    Partials of neighbouring tasks are merged first, `fan` at a time, then what they gave, so of ten thousand tasks' partials no task holds more than
+    `fan` at once; arrays travel whole.
     """
     columns = [c for c in partials.columns if c not in by]
-    is_array = {c: t.startswith("array") for c, t in partials.dtypes}
-
-    def total_of(pdf: pd.DataFrame) -> list:
-        return [np.sum(np.stack(pdf[c].to_numpy()), axis=0).tolist() if is_array[c] else pdf[c].sum() for c in columns]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key[: len(by)], *total_of(pdf), key[-1] // fan)], columns=[*by, *columns, "_g"])
+        return pd.DataFrame([(*key[: len(by)], *merge(pdf), key[-1] // fan)], columns=[*by, *columns, "_g"])
 
     def last(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *total_of(pdf))], columns=[*by, *columns])
+        return pd.DataFrame([(*key, *merge(pdf))], columns=[*by, *columns])
 
     parts = partials.withColumn("_g", F.expr(f"spark_partition_id() div {fan}")).select(*by, *columns, "_g")
     level = ", ".join(f"{c} {t}" for c, t in parts.dtypes)
@@ -76,6 +72,12 @@ def added(partials: DataFrame, by: list[str], fan: int = 32) -> DataFrame:
     return parts.drop("_g").groupBy(*by).applyInPandas(last, ", ".join(f"{c} {parts.schema[c].dataType.simpleString()}" for c in [*by, *columns])).select(*partials.columns)
 
 
+def added(partials: DataFrame, by: list[str], fan: int = 32) -> DataFrame:
+    """merged_in_tree by sums: numbers, and arrays of numbers of one length a key, are added up."""
+    columns = [(c, t.startswith("array")) for c, t in partials.dtypes if c not in by]
+    return merged_in_tree(partials, by, lambda pdf: [np.sum(np.stack(pdf[c].to_numpy()), axis=0).tolist() if many else pdf[c].sum() for c, many in columns], fan)
+
+
 def merged_sums(partials: DataFrame, by: list[str]) -> DataFrame:
     """One row of SUMS per key."""
     return added(partials, by)

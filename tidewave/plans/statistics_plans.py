@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import draws
 from ..functions import statistics as st
-from ..operators import retrieval, windows
+from ..operators import moments, retrieval, windows
 from .base import SAMPLES, query, rounded, samples, table
 
 _R = f"""WITH {SAMPLES}, l AS (SELECT *, lag(value) OVER (PARTITION BY subject, channel ORDER BY ts, event_id) AS p FROM s),
@@ -163,13 +164,39 @@ def behaviour_association(spark, sf_dir):
 
 @query()
 def permutation_correlation(spark, sf_dir):
-    """Permutation p-values of the correlation of daily counts and means, one kernel per channel (a row a day)."""
-    import pandas as pd
-
+    """The behaviour report: correlation of daily counts and means per channel with its interval, permutation p-value and q-value over the channels, in batches of draws over tasks."""
     d = samples(spark, sf_dir).groupBy("channel", "session").agg(F.avg("value").alias("x"), F.count(F.lit(1)).cast("double").alias("y"))
+    found = draws.permutations(d, ["channel"], ["session"], "x", "y", 20260101)
+    low, high = st.fisher_interval(F.col("r"), F.col("n"))
+    return st.benjamini_hochberg(found.select("channel", "n", "r", low.alias("low"), high.alias("high"), "p"), "p", "q")
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("session")
-        return pd.DataFrame([(pdf["channel"].iloc[0], st.permutation_p(pdf["x"], pdf["y"], 20260101), len(pdf))], columns=["channel", "p", "n"])
+_HALVES = f"WITH {SAMPLES}, d AS (SELECT channel, subject, avg(value) FILTER (hour < 12) - avg(value) FILTER (hour >= 12) AS d FROM s GROUP BY ALL)"
 
-    return d.groupBy("channel").applyInPandas(run, "channel string, p double, n long")
+
+@query()
+def sign_flip_drawn(spark, sf_dir):
+    """Sign-flip tests of all subjects' morning and afternoon means per channel: 200 000 drawn patterns, dealt over tasks in batches."""
+    half = lambda c: F.avg(F.when(c, F.col("value")))
+    d = samples(spark, sf_dir).groupBy("channel", "subject").agg((half(F.col("hour") < 12) - half(F.col("hour") >= 12)).alias("d"))
+    return draws.sign_flips(d, ["channel"], ["subject"], "d", 20260102)
+
+
+@query(_HALVES + """, s1 AS (SELECT channel, count(d) AS n, avg(d) AS mean, stddev_samp(d) AS sd FROM d GROUP BY channel)
+    SELECT channel, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(sd / sqrt(n), 6) AS sem, round(mean / sd, 6) AS dz, round(mean / (sd / sqrt(n)), 6) AS t FROM s1""")
+def paired_effect(spark, sf_dir):
+    """Paired differences of all subjects: mean, standard error, effect size and t."""
+    half = lambda c: F.avg(F.when(c, F.col("value")))
+    d = samples(spark, sf_dir).groupBy("channel", "subject").agg((half(F.col("hour") < 12) - half(F.col("hour") >= 12)).alias("d"))
+    g = d.groupBy("channel").agg(F.count("d").alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"))
+    sem = F.col("sd") / F.sqrt("n")
+    return rounded(g.select("channel", "n", "mean", "sd", sem.alias("sem"), (F.col("mean") / F.col("sd")).alias("dz"), (F.col("mean") / sem).alias("t")))
+
+
+@query("""WITH v AS (SELECT label, unnest(range(0, len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
+    SELECT label, CAST(i AS INT) AS i, count(*) AS n, round(avg(x), 6) AS mean, round(CASE WHEN stddev_pop(x) < 1e-8 THEN 1 ELSE stddev_pop(x) END, 6) AS std FROM v GROUP BY label, i""")
+def vector_moments(spark, sf_dir):
+    """Means and deviations of vectors per label, from states that merge."""
+    m = moments.finished_moments(moments.vector_moments(table(spark, sf_dir, "embeddings"), ["label"], "embedding"))
+    cells = m.select("label", "n", F.posexplode(F.arrays_zip("mean", "std")).alias("i", "x"))
+    return rounded(cells.select("label", "i", "n", F.col("x.mean").alias("mean"), F.col("x.std").alias("std")))

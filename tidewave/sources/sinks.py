@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,49 @@ def write_arrays(df: DataFrame, path: str, finite: list[str] | None = None) -> N
     df.write.mode("errorifexists").parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Hadoop has them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def manifest(spark: SparkSession, path: str, keys: str) -> DataFrame:
+    """What of the table at path was completed: keys (a DDL list) and signature, from the newest manifest that was written to its end; empty where there is none."""
+    fs, at = _hadoop(spark, f"{path}.manifest")
+    done = [s.getPath() for s in fs.listStatus(at)] if fs.exists(at) else []
+    done = [p for p in done if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    schema = f"{keys}, signature string"
+    if not done:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(max(done, key=lambda p: p.getName()).toString())
+
+
+def resumed_by(spark: SparkSession, path: str, wanted: DataFrame, make: Callable[[DataFrame], DataFrame], keys: str) -> DataFrame:
+    """The table at path, partitioned by key, with only those partitions made again whose signature isn't the one they were completed with.
+
+    wanted has the keys and signature of all that should be there (a subject, and the digest of its inputs and settings). make takes the rows of wanted that must be made, and returns
+    the table's rows for them with the key columns; their partitions replace what is there, and keys that are not wanted any more leave the table's rows that are returned. The manifest is
+    a new folder for each run, written after the data, so a run that dies leaves partitions that will be made again.
+    """
+    names = [k.split()[0] for k in keys.split(",")]
+    repeated = wanted.groupBy(*names).count().where("count > 1")
+    if not repeated.isEmpty():
+        raise ValueError(f"{path}: a key is wanted twice: {repeated.first()}")
+    had = manifest(spark, path, keys)
+    todo = wanted.join(had, [*names, "signature"], "left_anti")
+    if not todo.isEmpty():
+        # keys that are made again are not complete while they are made
+        make(todo).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*names).parquet(path)
+        fs, at = _hadoop(spark, f"{path}.manifest")
+        number = len(fs.listStatus(at)) if fs.exists(at) else 0
+        kept = had.join(todo.select(*names), names, "left_anti")
+        kept.unionByName(todo.select(*had.columns)).coalesce(1).write.mode("overwrite").parquet(f"{path}.manifest/{number:08d}")
+    fs, at = _hadoop(spark, path)
+    if not fs.exists(at):
+        return make(todo)
+    return spark.read.option("basePath", path).parquet(path).join(wanted.select(*names), names, "left_semi")
+
+
 def resumed(spark: SparkSession, path: str, config: dict, make, on_change: str = "recompute") -> DataFrame:
     """The table at path if it was completed with the same configuration; else made, and kept with its signature.
 
