@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..functions.selection import ranked_rows
 from .intervals import adjacent_pairs
 from .relational import coverage
 from .retrieval import leave_one_out
@@ -95,5 +95,5 @@ def placeholders(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def released(groups: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Rows numbered within their session, in order."""
-    return groups.withColumn("order_within_session", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    """Rows numbered within their session, in order, by a scan over ranges: sessions may be of any size. Pass ids only, and join the rest."""
+    return ranked_rows(groups, by, [F.col(o) for o in order], "order_within_session")

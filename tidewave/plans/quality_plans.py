@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import names, statistics
+from ..functions import names, selection, statistics
 from ..operators import quality, windows
 from .base import SAMPLES, query, rounded, samples, table
 
@@ -257,8 +257,9 @@ def overlap_windows_avg(spark, sf_dir):
 @query(f"""WITH {SAMPLES}, n AS (SELECT *, row_number() OVER (PARTITION BY channel, session ORDER BY ts, event_id) - 1 AS t FROM s) SELECT event_id, CAST(t AS BIGINT) AS t FROM n WHERE t % 7 = 0""")
 def decimated(spark, sf_dir):
     """Every seventh sample of each recording, counted from its start."""
-    t = windows.numbered(samples(spark, sf_dir), ["channel", "session"], ["ts", "event_id"])
-    return windows.every(t, "t", 7).select("event_id", F.col("t").cast("long").alias("t"))
+    at = samples(spark, sf_dir).select("channel", "session", "ts", "event_id")
+    t = selection.ranked_rows(at, ["channel", "session"], [F.col("ts"), F.col("event_id")], "_k").withColumn("t", F.col("_k") - 1)
+    return windows.every(t, "t", 7).select("event_id", "t")
 
 
 @query("""SELECT doc_id, unnest(range(0, length(text), 480)) AS start, least(unnest(range(0, length(text), 480)) + 490, length(text)) AS stop FROM documents WHERE length(text) > 0

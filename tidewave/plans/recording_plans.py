@@ -78,5 +78,7 @@ def inferred_rate(spark, sf_dir):
 @query("""SELECT doc_id, regexp_matches(text, 'TBD|DO NOT PUBLISH') AS placeholder, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS order_within_session, sha256(text) = sha256(trim(text)) AS same FROM documents""")
 def release_audit(spark, sf_dir):
     """Placeholders, order within a session and digests of texts and their trimmed copies."""
-    d = recordings.released(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), ["lang"], ["doc_id"])
-    return d.select("doc_id", F.col("text").rlike("TBD|DO NOT PUBLISH").alias("placeholder"), F.col("order_within_session").cast("long").alias("order_within_session"), (F.sha2(F.col("text").cast("binary"), 256) == F.sha2(F.trim("text").cast("binary"), 256)).alias("same"))
+    d = table(spark, sf_dir, "documents")
+    ids = recordings.released(d.select("doc_id", "lang"), ["lang"], ["doc_id"]).select("doc_id", "order_within_session")
+    checks = d.select("doc_id", F.col("text").rlike("TBD|DO NOT PUBLISH").alias("placeholder"), (F.sha2(F.col("text").cast("binary"), 256) == F.sha2(F.trim("text").cast("binary"), 256)).alias("same"))
+    return checks.join(ids, "doc_id").select("doc_id", "placeholder", "order_within_session", "same")
