@@ -493,3 +493,13 @@ def test_the_pipeline_stage_by_stage(spark, lib):
         assert crc(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]) == r["ids_crc32"]
     assert sum(r["length"] for r in out.collect()) == sum(map(len, ids.values()))
     assert json.dumps(names) and hashlib
+
+
+def test_sequence_numbers_of_late_rounds(spark):
+    """Numbers of any round fit and stay apart from those of others."""
+    pieces = spark.createDataFrame([(i, 100 + i % 300) for i in range(60)], "doc_id long, length long")
+    seen = set()
+    for number in (0, 127, 128, 1300):
+        ids = {r["sequence_id"] for r in packing._round(pieces, number, 3, 1024, 3 * number).select("sequence_id").collect()}
+        assert ids and not ids & seen and min(ids) >= 0
+        seen |= ids

@@ -118,8 +118,8 @@ def _packed(lengths: np.ndarray, capacity: int, seed: int) -> tuple[np.ndarray,
     return best_fit_decreasing(lengths, capacity, np.argsort(-lengths * blur, kind="stable"))
 
 
-def _round(pieces: DataFrame, number: int, parts: int, capacity: int) -> DataFrame:
-    """pieces, dealt into parts tasks and packed there; adds sequence_id, offset and gap (sequences of its task above the task's bound)."""
+def _round(pieces: DataFrame, number: int, parts: int, capacity: int, base: int = 0) -> DataFrame:
+    """pieces, dealt into parts tasks and packed there; adds sequence_id, offset and gap (sequences of its task above the task's bound). base: parts of the rounds before, so that ids stay apart."""
     names = pieces.columns
     same = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
 
@@ -144,7 +144,7 @@ def _round(pieces: DataFrame, number: int, parts: int, capacity: int) -> DataFra
                 if best[2] <= bound:
                     break
             seq, offset, n = best
-            yield pdf[names].assign(sequence_id=(number << 56) | (int(part) << 32) | seq, offset=offset, _pk_gap=n - bound)
+            yield pdf[names].assign(sequence_id=((base + int(part)) << 32) | seq, offset=offset, _pk_gap=n - bound)
 
     dealt = pieces.mapInPandas(deal, same + ", _pk_part long").repartition(parts, "_pk_part")
     return dealt.mapInPandas(pack, same + ", sequence_id long, offset long, _pk_gap long")
@@ -164,9 +164,11 @@ def pack(spark: SparkSession, pieces: DataFrame, capacity: int = 1024, task_piec
     full = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     bound, closed, used = lower_bound(counts, capacity), [full.select(*names, "sequence_id", "offset")], int(counts[capacity])
     open_, n, best, idle = pieces.where(F.col("length") < capacity), int(counts[:capacity].sum()), None, 0
+    base = 0
     for number in itertools.count() if n else ():
         parts = max(1, math.ceil(n / task_pieces))
-        packed = cut(_round(open_, number, parts, capacity), "packed")
+        packed = cut(_round(open_, number, parts, capacity, base), "packed")
+        base += parts
         total = packed.where("offset = 0").agg(F.count("*").alias("bins"), F.count(F.when(F.expr(SETTLED), 1)).alias("settled")).first()
         idle = 0 if best is None or total["bins"] < best[0] else idle + 1
         if not idle:
