@@ -33,6 +33,25 @@ def has_auxiliary_word(c: Column) -> Column:
     return F.lower(c).rlike("|".join(AUXILIARY_WORDS))
 
 
+#: How names can be made alike, by name.
+NORMALIZERS = {"folded": str.casefold, "stripped_upper": lambda s: s.strip().upper(), "letters_upper": lambda s: "".join(c for c in s.upper() if c.isascii() and c.isalnum())}
+
+
+def _two(number: Column) -> Column:
+    """A number in two digits at least; missing stays missing."""
+    return F.when(number.isNotNull(), F.format_string("%02d", number.cast("int")))
+
+
+def recording_path(root: str, subject: Column, day: Column, story: Column | None = None, suffix: str = "_eeg.npz") -> Column:
+    """Where a recording of a story, or without one the day's rest, lies in a release: sub-01/ses-day1/eeg/sub-01_ses-day1_task-audio_desc-story01_eeg.npz.
+
+    subject and story are numbers; the day can be story_day(story). A missing part gives no path.
+    """
+    sub, ses = F.concat(F.lit("sub-"), _two(subject)), F.concat(F.lit("ses-day"), day.cast("string"))
+    what = F.lit("rest") if story is None else F.concat(F.lit("story"), _two(story))
+    return F.concat(F.lit(root.rstrip("/") + "/"), sub, F.lit("/"), ses, F.lit("/eeg/"), sub, F.lit("_"), ses, F.lit("_task-audio_desc-"), what, F.lit(suffix))
+
+
 def trailing_number(c: Column) -> Column:
     """The number at the end of "sub-07" and the like."""
     return F.regexp_extract(c, r"(\d+)$", 1).try_cast("int")

@@ -157,6 +157,26 @@ def welch_t(m1: Column, v1: Column, n1: Column, m2: Column, v2: Column, n2: Colu
     return (m1 - m2) / F.sqrt(a + b), F.pow(a + b, 2) / (a * a / (n1 - 1) + b * b / (n2 - 1))
 
 
+def paired_summary(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """by, n, means and deviations of a and b, mean_difference, dz, t and welch_t with its df: complete pairs only; missing where a deviation is zero. p-values: t_two_sided(t, n - 1) and of welch_t."""
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("_d", F.col(a) - F.col(b))
+    g = both.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[x for c in (a, b) for x in (F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_sd"))],
+        F.avg("_d").alias("mean_difference"),
+        F.stddev_samp("_d").alias("_sd"),
+    )
+    n, va, vb = F.col("n"), F.pow(f"{a}_sd", 2.0), F.pow(f"{b}_sd", 2.0)
+    w, df_ = welch_t(F.col(f"{a}_mean"), va, n, F.col(f"{b}_mean"), vb, n)
+    spread = (va + vb > 0) & (n > 1)
+    return g.select(
+        *by, "n", f"{a}_mean", f"{a}_sd", f"{b}_mean", f"{b}_sd", "mean_difference",
+        F.when(F.col("_sd") > 0, F.col("mean_difference") / F.col("_sd")).alias("dz"),
+        F.when(F.col("_sd") > 0, F.col("mean_difference") / (F.col("_sd") / F.sqrt(n))).alias("t"),
+        F.when(spread, w).alias("welch_t"), F.when(spread, df_).alias("welch_df"),
+    )
+
+
 @F.pandas_udf(DoubleType())
 def binomial_p(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return _vector(binomial_greater)(k, n, p)

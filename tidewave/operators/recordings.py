@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.selection import ranked_rows
+from ..functions.statistics import fisher_mean
 from .intervals import adjacent_pairs
 from .relational import coverage
 from .retrieval import leave_one_out
@@ -66,6 +67,17 @@ def task_against_rest(task: DataFrame, rest: DataFrame, trial: str, subject: str
     return r_task.join(length, trial).join(r_rest, ["length", channel, subject], "left").drop("length")
 
 
+def isc_by_trial(r: DataFrame, trial: list[str], channel: str, measures: list[str]) -> DataFrame:
+    """trial and each measure over the whole head: correlations are averaged over subjects within a channel, then over channels on the Fisher scale."""
+    per = r.groupBy(*trial, channel).agg(*[F.avg(m).alias(m) for m in measures])
+    return per.groupBy(*trial).agg(*[fisher_mean(F.col(m)).alias(m) for m in measures])
+
+
+def isc_by_subject(r: DataFrame, trial: list[str], subject: str, measures: list[str]) -> DataFrame:
+    """trial, subject and each measure averaged over channels on the Fisher scale."""
+    return r.groupBy(*trial, subject).agg(*[fisher_mean(F.col(m)).alias(m) for m in measures])
+
+
 def rate_by_length(n: Column, seconds: Column, rates: tuple[int, ...] = (50, 100), tolerance: float = 0.05) -> Column:
     """The sampling rate whose length agrees with a duration, or null."""
     out = F.lit(None).cast("int")

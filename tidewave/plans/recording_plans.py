@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.statistics import paired_summary
 from ..operators import recordings, windows
-from .base import SAMPLES, query, rounded, samples, table
+from .base import SAMPLES, SQL, query, rounded, samples, table
 
 
 @query("""WITH m AS (SELECT user_id AS subject, event_type, event_id, epoch(ts) AS tm FROM events), p AS (SELECT *, lag(tm) OVER w AS s, row_number() OVER w AS n FROM m WINDOW w AS (PARTITION BY subject, event_type ORDER BY event_id))
@@ -39,6 +40,31 @@ def task_rest_isc(spark, sf_dir):
     return rounded(recordings.task_against_rest(task, h, "trial", "subject", "channel", "t", "v"))
 
 
+_FISHER = "round(tanh(avg(atanh(greatest(-0.999999, least(0.999999, {0}))))), 5) AS {0}"
+
+
+@query(f"WITH r AS ({SQL['task_rest_isc']}), c AS (SELECT trial, channel, avg(r_task) AS r_task, avg(r_rest) AS r_rest FROM r GROUP BY ALL) SELECT trial, {_FISHER.format('r_task')}, {_FISHER.format('r_rest')} FROM c GROUP BY trial")
+def isc_trials(spark, sf_dir):
+    """Inter-subject correlation of whole trials, and of rest as long: means over subjects, Fisher means over channels."""
+    return rounded(recordings.isc_by_trial(task_rest_isc(spark, sf_dir), ["trial"], "channel", ["r_task", "r_rest"]), 5)
+
+
+@query(f"WITH r AS ({SQL['task_rest_isc']}) SELECT trial, subject, {_FISHER.format('r_task')}, {_FISHER.format('r_rest')} FROM r GROUP BY trial, subject")
+def isc_subjects(spark, sf_dir):
+    """Each participant's correlation with the others, Fisher means over channels."""
+    return rounded(recordings.isc_by_subject(task_rest_isc(spark, sf_dir), ["trial"], "subject", ["r_task", "r_rest"]), 5)
+
+
+@query(f"""WITH r AS ({SQL['task_rest_isc']}), c AS (SELECT trial, channel, avg(r_task) AS task, avg(r_rest) AS rest FROM r GROUP BY ALL), p AS (SELECT channel, task, rest, task - rest AS d FROM c WHERE task IS NOT NULL AND rest IS NOT NULL),
+    s AS (SELECT channel, count(*) AS n, avg(task) AS ma, stddev_samp(task) AS sa, avg(rest) AS mb, stddev_samp(rest) AS sb, avg(d) AS md, stddev_samp(d) AS sd FROM p GROUP BY channel)
+    SELECT channel, n, round(ma, 5) AS task_mean, round(sa, 5) AS task_sd, round(mb, 5) AS rest_mean, round(sb, 5) AS rest_sd, round(md, 5) AS mean_difference, round(md / sd, 4) AS dz, round(md / (sd / sqrt(n)), 4) AS t, round((ma - mb) / sqrt(sa * sa / n + sb * sb / n), 4) AS welch_t FROM s""")
+def isc_paired(spark, sf_dir):
+    """Task against rest by channel: paired differences over trials, effect size, paired and independent t."""
+    per = task_rest_isc(spark, sf_dir).groupBy("trial", "channel").agg(F.avg("r_task").alias("task"), F.avg("r_rest").alias("rest"))
+    out = rounded(paired_summary(per, ["channel"], "task", "rest").drop("welch_df"), 5)
+    return out.withColumns({c: F.round(c, 4) for c in ("dz", "t", "welch_t")})
+
+
 @query("""WITH l AS (SELECT l_suppkey AS subject, l_linenumber AS story, count(*) AS eeg, CAST(sum(CAST(l_discount > 0.02 AS INT)) AS BIGINT) AS feature FROM lineitem GROUP BY ALL),
     g AS (SELECT s_suppkey AS subject, story FROM supplier, (SELECT DISTINCT l_linenumber AS story FROM lineitem)) SELECT subject, story, eeg IS NOT NULL AS present, eeg, feature, eeg - feature AS trailing FROM g LEFT JOIN l USING (subject, story)""")
 def temporal_completeness(spark, sf_dir):

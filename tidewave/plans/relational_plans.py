@@ -256,3 +256,30 @@ def inventory(spark, sf_dir):
 
     parts = [profile(table(spark, sf_dir, t), t, k, c) for t, k, c in (("documents", "doc_id", "text"), ("pages", "page_id", "html"), ("conversations", "conv_id", "text"))]
     return relational.stacked(parts)
+
+
+@query("SELECT l_orderkey, l_linenumber, p_brand, p_size FROM lineitem JOIN part ON l_partkey = p_partkey")
+def lexicon_lookup(spark, sf_dir):
+    """Every row with its lexicon entry; a key without one would fail the query."""
+    words = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size")
+    return relational.lookup(table(spark, sf_dir, "lineitem"), words, "l_partkey").select("l_orderkey", "l_linenumber", "p_brand", "p_size")
+
+
+@query("SELECT l_suppkey AS id FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT s_suppkey FROM supplier WHERE s_acctbal > 0")
+def common_channels(spark, sf_dir):
+    """Ids that all of several tables have."""
+    l, s = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
+    of = lambda flag: l.where(F.col("l_returnflag") == flag).select(F.col("l_suppkey").alias("id"))
+    return relational.intersection([of("A"), of("R"), s.where("s_acctbal > 0").select(F.col("s_suppkey").alias("id"))], ["id"])
+
+
+@query("""WITH w AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1),
+    m AS (UNPIVOT w ON f, o, p INTO NAME status VALUE wide), n AS (SELECT o_custkey, lower(o_orderstatus) AS status, count(*) AS long FROM orders WHERE o_totalprice > 1000 GROUP BY ALL)
+    SELECT coalesce(m.o_custkey, n.o_custkey) AS o_custkey, coalesce(m.status, n.status) AS status, CAST(wide AS DOUBLE) AS wide, CAST(long AS DOUBLE) AS long FROM m FULL JOIN n ON m.o_custkey = n.o_custkey AND m.status = n.status WHERE NOT coalesce((wide IS NULL AND long IS NULL) OR abs(wide - long) <= 0, false)""")
+def wide_long_differences(spark, sf_dir):
+    """Cells in which a wide table of counts and its long form differ, or that one of them lacks."""
+    orders = table(spark, sf_dir, "orders")
+    count = lambda s: F.count(F.when(F.col("o_orderstatus") == s.upper(), 1)).cast("double").alias(s)
+    wide = orders.groupBy("o_custkey").agg(*map(count, "fop"))
+    long = orders.where("o_totalprice > 1000").groupBy("o_custkey", F.lower("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return relational.same_values(wide, long, ["o_custkey"], list("fop"), "status", "n")

@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.names import NORMALIZERS
+from ..operators.signal import resample_poly
+
 
 def tsv(spark: SparkSession, path: str, schema: StructType | str, separator: str = "\t") -> DataFrame:
     """A table with a header; n/a is missing, a byte order mark before the header is harmless, .gz is read as it is."""
@@ -45,34 +48,42 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     return files(spark, path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def npy_frames(spark: SparkSession, path: str, scale: float = 1.0) -> DataFrame:
-    """path, t, y of NumPy arrays [time] or [time, dimension]; values that aren't finite fail the job."""
+def _fitted(x: np.ndarray, rates: tuple[int, int] | None, first: int, last: int | None) -> np.ndarray:
+    """A file's samples [time, ...], brought from the first rate to the second, then cropped."""
+    if rates is not None and rates[0] != rates[1]:
+        x = resample_poly(x, rates[1], rates[0])
+    return x[first:last]
+
+
+def npy_frames(spark: SparkSession, path: str, scale: float = 1.0, rates: tuple[int, int] | None = None, first: int = 0, last: int | None = None) -> DataFrame:
+    """path, t, y of NumPy arrays [time] or [time, dimension]; values that aren't finite fail the job. rates: the file's sampling rate and the one wanted; first and last crop what that gives, and t counts from the crop."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for p, c in zip(pdf["path"], pdf["content"], strict=True):
-                yield from _frames(p, np.load(io.BytesIO(c), allow_pickle=False), scale)
+                yield from _frames(p, _fitted(np.load(io.BytesIO(c), allow_pickle=False).astype(np.float64), rates, first, last), scale)
 
     return files(spark, path, "*.npy").select("path", "content").mapInPandas(read, "path string, t long, y array<float>")
 
 
-def npz_frames(spark: SparkSession, path: str, data: str = "eeg_data", names: str = "ch_names", channels: list[str] | None = None, scale: float = 1.0, average_reference: bool = False) -> DataFrame:
-    """path, t, x of NPZ recordings [channel, time] with channel names; channels are picked in the order given, without regard to case."""
+def npz_frames(spark: SparkSession, path: str, data: str = "eeg_data", names: str = "ch_names", channels: list[str] | None = None, scale: float = 1.0, average_reference: bool = False, normalize: str = "folded", rates: tuple[int, int] | None = None, first: int = 0, last: int | None = None) -> DataFrame:
+    """path, t, x of NPZ recordings [channel, time] with channel names; channels are picked in the order given, with names made alike by names.NORMALIZERS[normalize]. rates, first and last are npy_frames's."""
+    alike = NORMALIZERS[normalize]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for p, c in zip(pdf["path"], pdf["content"], strict=True):
                 with np.load(io.BytesIO(c), allow_pickle=False) as z:
-                    x, have = z[data], [str(n).casefold() for n in z[names]]
+                    x, have = z[data], [alike(str(n)) for n in z[names]]
                 if len(set(have)) != len(have):
                     raise ValueError(f"{p}: a channel name repeats")
                 if x.shape[0] != len(have):
                     x = x.T
                 if channels is not None:
-                    if gone := [n for n in channels if n.casefold() not in have]:
+                    if gone := [n for n in channels if alike(n) not in have]:
                         raise ValueError(f"{p}: missing channels {gone}")
-                    x = x[[have.index(n.casefold()) for n in channels]]
-                x = x.T.astype(np.float64)
+                    x = x[[have.index(alike(n)) for n in channels]]
+                x = _fitted(x.T.astype(np.float64), rates, first, last)
                 if average_reference:
                     x = x - x.mean(1, keepdims=True)
                 yield from _frames(p, x, scale)
