@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.missing import ratio_or_zero
+from ..functions.selection import cut
 from ..functions.statistics import binomial_p
 
 #: Samples are numbered within spans of so many values of t.
@@ -91,8 +92,10 @@ def retrieval_windows(prediction: DataFrame, by: list[str], t: str, predicted: s
 
     t is a number. Windows begin every `stride` samples (by default `width`). A trial's draws are one sequence, seeded by [seed,
     the parts of its key, the width in milliseconds (by default in samples)], so they depend on nothing else; windows without n - 1 others that don't overlap
-    them are left out. Samples are numbered within spans of t, windows are put together by key and number, and meet their candidates in a join, so no trial is gathered.
+    them are left out, and so are windows of fewer than two samples. Samples are numbered within spans of t, windows are put together by key and number, and meet their candidates in a join, so no trial is gathered.
     """
+    if n < 2:
+        raise ValueError(f"{n} candidates: two at least")
     stride = stride or width
     g = F.struct(*by)
     x = prediction.select(g.alias("g"), F.floor(F.col(t) / SPAN).alias("span"), F.col(t).alias("t"), F.col(predicted).alias("p"), F.col(target).alias("y"))
@@ -106,8 +109,10 @@ def retrieval_windows(prediction: DataFrame, by: list[str], t: str, predicted: s
     parts = x.groupBy("g", "w").agg(F.array_sort(F.collect_list(F.struct("i", "p", "y"))).alias("v"))  # width rows
     flat = lambda c: F.flatten(F.transform("v", lambda r: F.transform(r[c], lambda v: v.cast("double"))))
     centred = lambda c: F.transform(c, lambda v: v - F.aggregate(c, F.lit(0.0), lambda s, u: s + u) / F.size(c))
-    full = parts.where(F.size("v") == width)
-    side = lambda c, name: full.select("g", F.col("w").alias(f"w_{name}"), flat(c).alias("v")).select("g", f"w_{name}", F.explode(F.array(centred(F.col("v")))).alias(name))
+    full = parts.where((F.size("v") == width) & F.lit(width > 1)).select("g", "w", flat("p").alias("p"), flat("y").alias("y"))
+    # built once, with both sides: draws, queries and candidates all read it
+    full = cut(full.select("g", "w", F.explode(F.array(F.struct(centred(F.col("p")).alias("a"), centred(F.col("y")).alias("b")))).alias("x")).select("g", "w", "x.a", "x.b"), "windows")
+    side = lambda name: full.select("g", F.col("w").alias(f"w_{name}"), name)
     apart = -(-width // stride)
 
     def draws(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,10 +123,10 @@ def retrieval_windows(prediction: DataFrame, by: list[str], t: str, predicted: s
                 while rows := list(islice(numbers, 10_000)):
                     yield pd.DataFrame([(key, i, c) for i, c in rows], columns=["key", "w_a", "candidates"])
 
-    trials = _trials(prediction, g, width, stride)
+    trials = full.groupBy("g").agg((F.max("w") + 1).alias("k")).select("g", F.to_json("g").alias("key"), "k")
     dealt = trials.select("key", "k").repartition("key").mapInPandas(draws, "key string, w_a int, candidates array<int>")
     asked = dealt.join(trials.select("key", "g"), "key").select("g", "w_a", F.posexplode("candidates").alias("at", "w_b"))
-    j = asked.join(side("p", "a"), ["g", "w_a"]).join(side("y", "b"), ["g", "w_b"])
+    j = asked.join(side("a"), ["g", "w_a"]).join(side("b"), ["g", "w_b"])
     den = F.sqrt(dot(F.col("a"), F.col("a")) * dot(F.col("b"), F.col("b")))
     j = j.select("g", "w_a", "at", "w_b", F.when(den > 1e-12, dot(F.col("a"), F.col("b")) / den).otherwise(0.0).alias("score"))
     q = j.groupBy("g", "w_a").agg(F.array_sort(F.collect_list(F.struct("at", "w_b", "score"))).alias("c"))  # n candidates
@@ -134,12 +139,6 @@ def retrieval_windows(prediction: DataFrame, by: list[str], t: str, predicted: s
     return q.select(*by, "segment", (F.col("segment").cast("long") * stride).alias("start"), "candidates", "scores", "positive_label", "predicted_label", rank.alias("positive_rank"), (F.col("predicted_label") == F.col("positive_label")).cast("int").alias("correct"), own.alias("positive_score"), mean.alias("mean_negative"), (own - F.array_max(others)).alias("margin"))
 
 
-def _trials(prediction: DataFrame, g: Column, width: int, stride: int) -> DataFrame:
-    """Per trial: its key as a struct and as text, and the number of its full windows."""
-    k = F.greatest(F.lit(0), F.floor((F.col("n") - width) / stride) + 1)
-    return prediction.groupBy(g.alias("g")).agg(F.count(F.lit(1)).alias("n")).select("g", F.to_json("g").alias("key"), k.alias("k"))
-
-
 def summary(rows: DataFrame, by: list[str], n: int) -> DataFrame:
     """Accuracy, mean reciprocal rank and mean scores per key, with the one-sided binomial p-value against chance."""
     out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("windows"), F.sum("correct").alias("correct"), F.avg("correct").alias("accuracy"), F.avg(1 / F.col("positive_rank")).alias("mrr"), F.avg("positive_score").alias("mean_positive"), F.avg("mean_negative").alias("mean_negative"), F.avg("margin").alias("mean_margin"), F.lit(1.0 / n).alias("chance"))
