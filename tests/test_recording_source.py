@@ -20,7 +20,7 @@ def written(folder, name, x, kind="IEEE_FLOAT_32", layout="MULTIPLEXED", resolut
 
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
-    at = tmp_path_factory.mktemp("bids")
+    at = tmp_path_factory.mktemp("bi ds")
     (at / "sub-1").mkdir()
     rng = np.random.default_rng(1)
     data = {"a": rng.integers(-99, 99, (1000, 4)), "b": rng.integers(-99, 99, (300, 4)), "c": rng.integers(-99, 99, (5, 4))}

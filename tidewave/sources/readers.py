@@ -7,8 +7,10 @@ archives are read in place by pyarrow's file systems at the URIs that Spark list
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
@@ -116,12 +118,18 @@ def array_headers(spark: SparkSession, path: str) -> DataFrame:
     return files(spark, path, "*.npy").select("path", F.expr("substring(content, 1, 65536)").alias("content")).mapInPandas(read, "path string, shape array<int>, dtype string")
 
 
-def _opened(uri: str):
-    """The file at a URI as Spark lists it, for reads at any place."""
+def located(path: str):
+    """The file system and the place in it of a path as Spark has it: a URI or a local path, spaces and percent signs as they are."""
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(uri)
-    return system.open_input_file(path)
+    uri = path if re.match(r"[A-Za-z][\w+.-]*:/", path) else f"file://{path}"
+    return fs.FileSystem.from_uri(quote(uri, safe=":/@[]"))
+
+
+def _opened(path: str):
+    """The file at a path as Spark lists it, for reads at any place."""
+    system, at = located(path)
+    return system.open_input_file(at)
 
 
 def archive_headers(spark: SparkSession, path: str) -> DataFrame:

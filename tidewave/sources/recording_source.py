@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
+from .readers import located
+
 SCHEMA = "path string, channel string, t long, value double"
 #: The formats that headers name.
 FORMATS = {"IEEE_FLOAT_32": "<f4", "INT_16": "<i2", "INT_32": "<i4", "UINT_16": "<u2"}
@@ -104,7 +106,7 @@ class RecordingReader(DataSourceReader):
     def _files(self) -> tuple[object, list[str], dict[str, int]]:
         from pyarrow import fs
 
-        system, root = fs.FileSystem.from_uri(self.root if "://" in self.root else f"file://{self.root}")
+        system, root = located(self.root)
         info = system.get_file_info(root)
         found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
         if info.type == fs.FileType.File:
@@ -138,12 +140,10 @@ class RecordingReader(DataSourceReader):
         return out or [Slice(Header("", "<f4", True, []), 0, 0)]
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         h, size = partition.header, np.dtype(partition.header.kind).itemsize
         if not h.wanted:
             return
-        system, _ = fs.FileSystem.from_uri(self.root if "://" in self.root else f"file://{self.root}")
+        system, _ = located(self.root)
         with system.open_input_file(h.data_file) as f:
             for a in range(partition.first, partition.stop, ROWS):
                 n = min(ROWS, partition.stop - a)
