@@ -48,3 +48,14 @@ def test_a_run_that_dies_is_made_again(spark, tmp_path):
 def test_a_key_wanted_twice_is_an_error(spark, tmp_path):
     with pytest.raises(ValueError, match="twice"):
         sinks.resumed_by(spark, f"file://{tmp_path}/t", wanted(spark, [("a", 1, "x"), ("a", 1, "y")]), lambda todo: todo, KEYS)
+
+
+def test_outputs_that_would_touch_inputs(tmp_path):
+    (tmp_path / "in put").mkdir()
+    for out, given in ((f"{tmp_path}/in put/x", f"file://{tmp_path}/in put"), (f"file://{tmp_path}", f"{tmp_path}/in put"), ("hdfs://a/x/../y", "hdfs://A/y/z"), ("s3://b/k", "s3://b/k/")):
+        with pytest.raises(ValueError, match="overlap"):
+            sinks.safe_output(out, [given])
+    assert sinks.safe_output("hdfs://a/x", ["hdfs://b/x", "hdfs://a/xy", "/x"]) == "hdfs://a/x"
+    assert sinks.safe_output(f"file://{tmp_path}/out", [f"{tmp_path}/in put"], new=True) == f"{tmp_path}/out"
+    with pytest.raises(FileExistsError):
+        sinks.safe_output(f"{tmp_path}/in put", [], new=True)

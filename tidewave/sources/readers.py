@@ -103,19 +103,19 @@ def _frames(path: str, y: np.ndarray, scale: float, batch: int = 4096) -> Iterat
 
 
 def array_headers(spark: SparkSession, path: str) -> DataFrame:
-    """path, shape and dtype of .npy files from their headers."""
+    """path, shape and dtype of .npy files; only headers are read."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for p, c in zip(pdf["path"], pdf["content"], strict=True):
-                f = io.BytesIO(c)
-                version = np.lib.format.read_magic(f)
-                shape, _, dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+            for p in pdf["path"]:
+                with _opened(p) as f:
+                    version = np.lib.format.read_magic(f)
+                    shape, _, dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
                 rows.append((p, list(shape), dtype.str))
             yield pd.DataFrame(rows, columns=["path", "shape", "dtype"])
 
-    return files(spark, path, "*.npy").select("path", F.expr("substring(content, 1, 65536)").alias("content")).mapInPandas(read, "path string, shape array<int>, dtype string")
+    return files(spark, path, "*.npy").select("path").mapInPandas(read, "path string, shape array<int>, dtype string")
 
 
 def located(path: str):

@@ -5,22 +5,43 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import posixpath
+import re
 from collections.abc import Callable
-from pathlib import Path
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .readers import located
+
+
+def _place(path: str) -> tuple[str, str]:
+    """Store and normal path of a URI or a local path; local links are followed."""
+    u = urlsplit(path) if re.match(r"[A-Za-z][\w+.-]*:/", path) else None
+    if u is None or u.scheme == "file":
+        return "file", os.path.realpath(u.path if u else path)
+    return f"{u.scheme}://{u.netloc}".lower(), posixpath.normpath(u.path or "/")
+
 
 def safe_output(output: str, inputs: list[str], new: bool = False) -> str:
-    """output, resolved; an error if it is an input, holds one or lies in one, or (new) exists."""
-    out = Path(os.path.realpath(output))
-    for i in map(lambda p: Path(os.path.realpath(p)), inputs):
-        if out == i or i in out.parents or out in i.parents:
-            raise ValueError(f"output {out} and input {i} overlap")
-    if new and out.exists():
-        raise FileExistsError(str(out))
-    return str(out)
+    """output (a local path resolved, a URI as it is); an error if it is an input, holds one or lies in one, or (new) exists."""
+    store, out = _place(output)
+    for i in inputs:
+        other, at = _place(i)
+        inside = lambda x, y: x == y or x.startswith(y.rstrip("/") + "/")
+        if store == other and (inside(out, at) or inside(at, out)):
+            raise ValueError(f"output {output} and input {i} overlap")
+    if new and _exists(output):
+        raise FileExistsError(output)
+    return out if store == "file" else output
+
+
+def _exists(path: str) -> bool:
+    from pyarrow import fs
+
+    system, at = located(path)
+    return system.get_file_info(at).type != fs.FileType.NotFound
 
 
 def signature(config: dict) -> str:
