@@ -503,3 +503,17 @@ def test_sequence_numbers_of_late_rounds(spark):
         ids = {r["sequence_id"] for r in packing._round(pieces, number, 3, 1024, 3 * number).select("sequence_id").collect()}
         assert ids and not ids & seen and min(ids) >= 0
         seen |= ids
+
+
+def test_the_pipeline_of_empty_tables(spark, tmp_path):
+    """Stages and the whole pipeline give empty results; columns stay as they are until the last stage."""
+    import corpus_pipeline
+
+    tables = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id string, text string"}
+    for name, schema in tables.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.collect() == [] and out.columns == docs.columns
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
