@@ -3,6 +3,7 @@
 import hashlib
 import io
 import json
+import math
 import random
 import re
 import zlib
@@ -517,3 +518,33 @@ def test_the_pipeline_of_empty_tables(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.collect() == [] and out.columns == docs.columns
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def scored_by_hand(model, text):
+    """The network in plain loops: symbols, responses at each place, maxima of blocks and of two blocks, mean and maximum over a text."""
+    n_blocks = -(-(len(text) + quality.GAP) // quality.BLOCK)
+    raw = list(text) + [255] * (n_blocks * quality.BLOCK - len(text) + 64)
+    sym = []
+    for i, b in enumerate(raw):
+        again = any(i >= lag and raw[i : i + 4] == raw[i - lag : i - lag + 4] for lag in quality.LAGS)
+        sym.append(quality.PAD if b == 255 else b + 256 * again)
+    blocks = []
+    for k in range(n_blocks):
+        best = np.full(quality.FILTERS, -np.inf)
+        for i in range(k * quality.BLOCK, (k + 1) * quality.BLOCK):
+            best = np.maximum(best, sum(model.tables[j, sym[i + p]].astype(float) for j, p in enumerate(quality.PLACES)))
+        blocks.append(best + model.bias)
+    chunks = [np.maximum(np.maximum(b, blocks[k + 1]) if k + 1 < n_blocks else b, 0) for k, b in enumerate(blocks)]
+    z = float(np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0), [1.0]]) @ model.head)
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_by_plain_loops():
+    rng = np.random.default_rng(4)
+    model = quality.Model(rng.normal(0, 0.3, (len(quality.PLACES), quality.SYMBOLS, quality.FILTERS)).astype(np.float32), rng.normal(0, 0.2, quality.FILTERS).astype(np.float32), rng.normal(0, 0.3, 2 * quality.FILTERS + 1).astype(np.float32))
+    model.tables[1:, quality.PAD], model.tables[0, quality.PAD] = 0, quality.NEVER
+    texts = ["", "a", "abcabcabcabc" * 9, "Nothing repeats here, or hardly so.", "é" * 70 + " tail", "x" * 92, "x" * 93, "line of words " * 40, bytes(rng.integers(32, 126, 700)).decode()]
+    got = quality.score(model, [t.encode() for t in texts])
+    np.testing.assert_allclose(got, [scored_by_hand(model, t.encode()) for t in texts], atol=1e-5)
+    one_by_one = [quality.score(model, [t.encode()])[0] for t in texts]
+    np.testing.assert_allclose(got, one_by_one, atol=1e-6)  # no text sees another
