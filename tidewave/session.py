@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -56,5 +58,6 @@ def work_path(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir is not set: executors and driver share no folder")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="spark-tidewave-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
         base = f"file://{_own[0]}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
