@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewave.functions import names
 from tidewave.functions import statistics as st
-from tidewave.operators import recordings, signal
+from tidewave.operators import intervals, quality, recordings, signal, windows
 from tidewave.sources import readers
 
 
@@ -57,3 +57,35 @@ def test_inter_subject_summaries(spark):
     assert whole == pytest.approx(np.tanh(np.mean(np.arctanh(per))))
     own = {x["subject"]: x["r"] for x in recordings.isc_by_subject(df, ["trial"], "subject", ["r"]).collect()}
     assert own["s2"] == pytest.approx(np.tanh(np.mean(np.arctanh([r[2, 0], r[2, 1]]))))
+
+
+def test_tokens_within_their_words(spark):
+    words = spark.createDataFrame([("d", 0, 3, "foo"), ("d", 3, 9, "barbaz"), ("e", 5, 8, "end")], "k string, s int, e int, w string")
+    tokens = spark.createDataFrame([("d", 0, 2), ("d", 2, 3), ("d", 6, 9), ("e", 5, 8)], "k string, a int, b int")
+    look = lambda t: sorted(tuple(r) for r in intervals.words_of_tokens(t, words, ["k"], "a", "b", "s", "e", ["w"]).collect())
+    assert look(tokens) == [("d", 0, 2, "foo"), ("d", 2, 3, "foo"), ("d", 6, 9, "barbaz"), ("e", 5, 8, "end")]
+    for bad in (("d", 2, 4), ("e", 1, 2), ("none", 1, 2)):
+        with pytest.raises(Exception, match="within a word"):
+            look(tokens.unionByName(spark.createDataFrame([bad], "k string, a int, b int")))
+
+
+@pytest.mark.parametrize("n,k", [(1, 4), (3, 4), (4, 4), (11, 4), (30, 7)])
+def test_chunks_spread_out(spark, n, k):
+    rows = [(s, c, i) for s in ("a", None) for c in range(n) for i in range(2)]
+    got = windows.sampled_chunks(spark.createDataFrame(rows, "s string, c int, i int"), ["s"], "c", k).collect()
+    due = np.linspace(0, n - 1, min(n, k)).round().astype(int).tolist()
+    assert sorted((r["s"] or "", r["c"], r["i"]) for r in got) == sorted((s, c, i) for s in ("a", "") for c in set(due) for i in range(2))
+
+
+def test_statuses_of_trials(spark):
+    expected = spark.createDataFrame([("s", i) for i in range(6)], "subject string, trial int")
+    found = spark.createDataFrame([("s", 0, 3, [3, 50]), ("s", 1, 3, [40, 3]), ("s", 2, 3, [4, 50]), ("s", 3, 3, [3]), ("s", 4, None, [3, 5]), ("s", 9, 3, [3, 5])], "subject string, trial int, names int, shape array<int>")
+    got = {r["trial"]: (r["status"], r["channels"], r["samples"]) for r in quality.trial_statuses(expected, found, ["subject", "trial"], "names", "shape").collect()}
+    assert got == {0: ("ok", 3, 50), 1: ("ok", 3, 40), 2: ("shape_error", None, None), 3: ("shape_error", None, None), 4: ("shape_error", None, None), 5: ("missing", None, None)}
+
+
+def test_implausible_recordings(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, float(v)) for k, s in (("a", 1.0), ("b", 1e-9), ("c", 1e6)) for v in rng.normal(size=50) * s] + [("d", None), ("d", float("nan"))]
+    got = {r["k"]: r["mad"] for r in quality.implausible(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", 0.01, 1000.0).collect()}
+    assert got.keys() == {"b", "c", "d"} and got["d"] is None

@@ -30,11 +30,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def joined_keys(rows: DataFrame, per: DataFrame, keys: list[str]) -> DataFrame:
+def joined_keys(rows: DataFrame, per: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """rows with the other columns of per, joined by keys; null keys are keys like others."""
     other = per.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in per.columns if c not in keys])
     same = [rows[k].eqNullSafe(other[f"_k{i}"]) for i, k in enumerate(keys)]
-    return rows.join(other, same or F.lit(True)).drop(*[f"_k{i}" for i in range(len(keys))])
+    return rows.join(other, same or F.lit(True), how).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def exact_quantiles(df: DataFrame, by: list[str], x: str, qs: list[float], limit: int = LIMIT, grid: int = GRID) -> DataFrame:

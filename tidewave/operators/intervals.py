@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.missing import require
+
 
 def _bucket(c: Column, width: float) -> Column:
     return F.floor(c / width).cast("long")
@@ -105,3 +107,9 @@ def best_pair(marks: DataFrame, by: list[str], order: list[str], at: str, expect
     found = low.unionByName(after).unionByName(least).where("_j > _i").withColumn("_error", F.abs(F.col("_aj") - F.col("_goal")))
     best = found.groupBy(*by).agg(F.min(F.struct("_error", "_i", "_j", "_ai", "_aj")).alias("_m"))
     return best.select(*by, F.col("_m._ai").alias("start"), F.col("_m._aj").alias("stop"), F.col("_m._error").alias("error"))
+
+
+def words_of_tokens(tokens: DataFrame, words: DataFrame, by: list[str], start: str, end: str, word_start: str, word_end: str, values: list[str]) -> DataFrame:
+    """Each token with the values of the last word that begins at or before it; a token before the first word, or that ends behind its word, is an error."""
+    found = latest_before(tokens, words.withColumn("_end", F.col(word_end)), by, start, word_start, [*values, "_end"])
+    return require(found, F.col(end) <= F.col("_end"), "a token that isn't within a word").drop("_end")

@@ -223,3 +223,21 @@ def with_counts_of(flagged: DataFrame, tables: list[tuple[DataFrame, list[Column
     for table, measures in tables:
         flagged = flagged.join(table.groupBy(*keys).agg(*measures), keys, "left")
     return flagged
+
+
+def trial_statuses(expected: DataFrame, found: DataFrame, keys: list[str], n_names: str, shape: str) -> DataFrame:
+    """Expected trials with status: missing, shape_error (neither side of the array has as many rows as there are names), or ok; and channels, samples of those that are ok, turned if they lie on their side."""
+    rows = expected.select(*keys).join(found.withColumn("_found", F.lit(True)), keys, "left")
+    first, second, names = F.get(shape, F.lit(0)), F.get(shape, F.lit(1)), F.col(n_names)
+    upright = (F.size(shape) == 2) & (first == names)
+    fits = upright | ((F.size(shape) == 2) & (second == names))
+    status = F.when(F.col("_found").isNull(), "missing").when(~F.coalesce(fits, F.lit(False)), "shape_error").otherwise("ok")
+    ok = F.col("status") == "ok"
+    return rows.withColumn("status", status).withColumn("channels", F.when(ok, names)).withColumn("samples", F.when(ok, F.when(upright, second).otherwise(first))).drop("_found")
+
+
+def implausible(samples: DataFrame, by: list[str], x: str, low: float, high: float) -> DataFrame:
+    """Recordings whose robust deviation (1.4826 MAD) lies outside [low, high], or can't be told: by, mad. Groups may be of any size."""
+    robust = robust_statistics(samples, by, x)
+    whole = joined_keys(samples.select(*by).distinct(), robust.select(*by, "mad"), by, "left")
+    return whole.where(~F.coalesce(F.col("mad").between(low, high), F.lit(False)))

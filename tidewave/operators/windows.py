@@ -79,6 +79,17 @@ def spread_out(n: int, k: int) -> list[int]:
     return sorted({int(x) for x in np.linspace(0, n - 1, min(n, k))}) if n else []
 
 
+def sampled_chunks(df: DataFrame, by: list[str], chunk: str, k: int) -> DataFrame:
+    """Rows of k chunks of each series, spread evenly from the first to the last (places rounded half to even): all of them where there are no more. chunk counts from 0."""
+    if k < 2:
+        raise ValueError(f"{k} chunks: two at least")
+    n = df.groupBy(*by).agg((F.max(chunk) + 1).cast("long").alias("_n")).withColumn("_m", F.least(F.col("_n"), F.lit(k)))
+    place = F.when(F.col("_m") > 1, F.rint(F.col("_i") * (F.col("_n") - 1) / F.greatest(F.col("_m") - 1, F.lit(1)))).otherwise(0).cast("long")
+    taken = n.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1))).select(*by, place.alias("_at")).distinct()
+    same = [df[b].eqNullSafe(taken[b]) for b in by]
+    return df.join(taken, [*same, df[chunk] == taken["_at"]], "left_semi")
+
+
 def average_reference(x: Column) -> Column:
     """An array of channels less its mean."""
     mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double")) / F.size(x)

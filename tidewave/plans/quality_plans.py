@@ -306,3 +306,12 @@ def channel_rules(spark, sf_dir):
     h = samples(spark, sf_dir).groupBy("subject", "session", "channel").agg(F.avg("value").alias("v"))
     r = quality.reference_correlation(h, ["subject"], "channel", "session", "v")
     return _accumulated(spark, sf_dir).join(r, ["subject", "channel"]).select("subject", "channel", F.array_join(reasons(**rules), ";").alias("reasons"))
+
+
+@query(f"""WITH {SAMPLES}, n AS (SELECT session, max(hour) + 1 AS n FROM s GROUP BY 1), p AS (SELECT session, n, least(n, 5) AS m, unnest(range(0, least(n, 5))) AS i FROM n),
+    t AS (SELECT DISTINCT session, CAST(CASE WHEN m > 1 THEN round_even(i * (n - 1) / (m - 1), 0) ELSE 0 END AS INT) AS hour FROM p)
+    SELECT session, hour, count(*) AS n, round(avg(value), 6) AS mean FROM s JOIN t USING (session, hour) GROUP BY ALL""")
+def spread_out_chunks(spark, sf_dir):
+    """Five hours of each session, spread evenly from the first to the last."""
+    some = windows.sampled_chunks(samples(spark, sf_dir), ["session"], "hour", 5)
+    return rounded(some.groupBy("session", "hour").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")))
