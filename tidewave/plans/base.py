@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,16 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 SAMPLES = "s AS (SELECT user_id AS subject, strftime(ts, '%Y-%m-%d') AS session, event_type AS channel, CAST(hour(ts) AS INT) AS hour, event_id, ts, value FROM events)"
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """All doubles rounded, so that the order of sums doesn't show."""
-    return df.withColumns({c: F.round(c, digits) for c, t in df.dtypes if t == "double"})
+def to_digits(x: Column, digits: int) -> Column:
+    """x rounded as the SQL's round does it: the double x * 10 ** digits to the nearest integer, halves away from zero."""
+    return F.when(F.abs(x) < 1e300, F.round(x * 10.0**digits) / 10.0**digits).otherwise(x)
+
+
+def rounded(df: DataFrame, digits: int = 6, other: dict[str, int] | None = None) -> DataFrame:
+    """All doubles rounded once, so that the order of sums doesn't show; other: columns with digits of their own."""
+    return df.withColumns({c: to_digits(F.col(c), (other or {}).get(c, digits)) for c, t in df.dtypes if t == "double"})
+
+
+def above(mean: Column, limit: float) -> Column:
+    """mean > limit, for means that are the limit but for the order of their sums: those aren't above it."""
+    return to_digits(mean, 9) > limit

@@ -61,8 +61,7 @@ def isc_subjects(spark, sf_dir):
 def isc_paired(spark, sf_dir):
     """Task against rest by channel: paired differences over trials, effect size, paired and independent t."""
     per = task_rest_isc(spark, sf_dir).groupBy("trial", "channel").agg(F.avg("r_task").alias("task"), F.avg("r_rest").alias("rest"))
-    out = rounded(paired_summary(per, ["channel"], "task", "rest").drop("welch_df"), 5)
-    return out.withColumns({c: F.round(c, 4) for c in ("dz", "t", "welch_t")})
+    return rounded(paired_summary(per, ["channel"], "task", "rest").drop("welch_df"), 5, dict.fromkeys(("dz", "t", "welch_t"), 4))
 
 
 @query("""WITH l AS (SELECT l_suppkey AS subject, l_linenumber AS story, count(*) AS eeg, CAST(sum(CAST(l_discount > 0.02 AS INT)) AS BIGINT) AS feature FROM lineitem GROUP BY ALL),
