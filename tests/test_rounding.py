@@ -1,7 +1,9 @@
 """Rounding, means at a limit and Fisher means of registered queries, where the order of sums or a second rounding would show."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidewave.functions.statistics import fisher_mean
 from tidewave.plans.base import rounded
 
 
@@ -15,3 +17,12 @@ def test_doubles_are_rounded_as_in_sql(spark):
     xs = [(i * 10 + 5) / 1e6 * (1 + j * 1.2e-16) for i in range(0, 90000, 977) for j in (-1, 0, 1)] + [-2.5, 1e305, float("inf"), None]
     got = rounded(spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double"), 5).orderBy("i").collect()
     assert [r.x for r in got] == [duckdb.execute("SELECT round(?::DOUBLE, 5)", [x]).fetchall()[0][0] for x in xs]
+
+
+def test_a_fisher_mean_of_one_correlation_is_rounded_as_in_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rs = [*((i * 10 + 5) / 1e6 for i in range(11, 99000, 1013)), 0.321905, 0.876875, -0.321905, 0.0, 1.0, -1.0]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rs)], "i int, r double")
+    got = rounded(df.groupBy("i").agg(fisher_mean(F.col("r")).alias("r")), 5).orderBy("i").collect()
+    sql = "SELECT round(tanh(avg(atanh(greatest(-0.999999, least(0.999999, ?::DOUBLE))))), 5)"
+    assert [r.r for r in got] == [duckdb.execute(sql, [r]).fetchall()[0][0] for r in rs]

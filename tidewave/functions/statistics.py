@@ -43,9 +43,17 @@ def clipped(r: Column) -> Column:
     return F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), r))
 
 
+def fisher(r: Column) -> Column:
+    """atanh of a clipped correlation by one log1p, as the C library has it: tanh leads back to r itself where two logs would miss it by a step."""
+    c = clipped(r)
+    x = F.abs(c)
+    twice = x + x
+    return F.signum(c) * 0.5 * F.log1p(F.when(x < 0.5, twice + twice * x / (1 - x)).otherwise(twice / (1 - x)))
+
+
 def fisher_mean(r: Column, weight: Column | None = None) -> Column:
     """Mean of correlations on the Fisher scale."""
-    z = F.atanh(clipped(r))
+    z = fisher(r)
     return F.tanh(F.avg(z)) if weight is None else F.tanh(F.sum(weight * z) / F.sum(F.when(r.isNotNull(), weight)))
 
 
