@@ -1,9 +1,12 @@
 """Rounding, means at a limit and Fisher means of registered queries, where the order of sums or a second rounding would show."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidewave.functions.statistics import fisher_mean
+from tidewave.plans import quality_plans
 from tidewave.plans.base import rounded
 
 
@@ -26,3 +29,25 @@ def test_a_fisher_mean_of_one_correlation_is_rounded_as_in_sql(spark):
     got = rounded(df.groupBy("i").agg(fisher_mean(F.col("r")).alias("r")), 5).orderBy("i").collect()
     sql = "SELECT round(tanh(avg(atanh(greatest(-0.999999, least(0.999999, ?::DOUBLE))))), 5)"
     assert [r.r for r in got] == [duckdb.execute(sql, [r]).fetchall()[0][0] for r in rs]
+
+
+def _at_limit(limit: int, n: int = 13) -> list[float]:
+    """Values in cents with that mean, whose sum in doubles comes out above it."""
+    rng = random.Random(1)
+    while True:
+        cents = [rng.randrange(200 * limit) for _ in range(n - 1)]
+        cents.append(100 * limit * n - sum(cents))
+        x, total = [c / 100 for c in cents], 0.0
+        for v in x:
+            total += v
+        if cents[-1] >= 0 and total / n > limit:
+            return x
+
+
+@pytest.mark.parametrize(("query", "limit"), [("session_rollup", 50), ("reason_flags_sorted", 60)])
+def test_a_mean_at_the_limit_is_not_above_it(spark, tmp_path, query, limit):
+    rows = [(i, v, 1, "click") for i, v in enumerate(_at_limit(limit))]
+    events = spark.createDataFrame(rows, "event_id long, value double, user_id long, event_type string").coalesce(1)
+    events.withColumn("ts", F.timestamp_seconds(F.col("event_id") + 1_700_000_000)).write.parquet(str(tmp_path / "events.parquet"))
+    row = getattr(quality_plans, query)(spark, str(tmp_path)).first()
+    assert row["n_bad"] == 0 if query == "session_rollup" else row["bad_reasons"] == ""

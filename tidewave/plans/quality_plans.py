@@ -5,7 +5,7 @@ from pyspark.sql.window import Window
 
 from ..functions import names, selection, statistics
 from ..operators import quality, windows
-from .base import SAMPLES, query, rounded, samples, table
+from .base import above, SAMPLES, query, rounded, samples, table
 
 _WQ = f"""WITH {SAMPLES},
     c AS (SELECT *, value - median(value) OVER (PARTITION BY session, hour, channel) AS c FROM s),
@@ -91,7 +91,7 @@ _STEP = "2.220446049250313e-16"
     SELECT subject, channel, array_to_string(r, ';') AS bad_reasons, CAST(len(r) > 0 AS INT) AS bad_channel FROM r""")
 def reason_flags_sorted(spark, sf_dir):
     """Channel flags: rules, robust z and earlier reasons in one sorted list, first of recordings, then final ones within a session."""
-    raw = quality.channel_flags(_channels(spark, sf_dir), ["subject"], "std", 3.0, {"high_mean": F.col("mean") > 60, "short": F.col("n") < 5}, F.when(F.col("subject") % 2 == 0, "manual;;nan").otherwise("nan"))
+    raw = quality.channel_flags(_channels(spark, sf_dir), ["subject"], "std", 3.0, {"high_mean": above(F.col("mean"), 60), "short": F.col("n") < 5}, F.when(F.col("subject") % 2 == 0, "manual;;nan").otherwise("nan"))
     out = quality.finalized_channels(raw, ["subject"], "mean", "std", 3.0, F.col("bad_reasons"))
     return out.select("subject", "channel", "bad_reasons", "bad_channel")
 
@@ -115,7 +115,7 @@ _LOG = "log10(greatest({}, 2.2250738585072014e-308))"
 def session_review(spark, sf_dir):
     """Sessions finalised: their bad channels counted, measures compared with the other subjects of the day."""
     s = samples(spark, sf_dir)
-    channels = s.groupBy("subject", "session", "channel").agg((F.avg("value") > 60).cast("int").alias("bad_channel"))
+    channels = s.groupBy("subject", "session", "channel").agg(above(F.avg("value"), 60).cast("int").alias("bad_channel"))
     sessions = s.groupBy("subject", "session").agg(F.stddev_pop("value").alias("spread"), F.avg("value").alias("level"), F.avg((F.col("value") > 150).cast("int")).alias("bad_windows"))
     out = quality.finalized_sessions(sessions, channels, ["subject", "session"], ["session"], {"spread": True, "level": False}, "bad_windows", 0.5, 3.0)
     return rounded(out.select("subject", "session", "n_channels", "n_bad", "spread_z", "level_z", "review_reasons", "flag_for_review"))
@@ -136,7 +136,7 @@ def trial_review(spark, sf_dir):
 @query(_CHAN + """, f AS (SELECT *, CAST(mean > 50 AS INT) AS bad FROM ch)
     SELECT channel, count(*) AS n_channels, CAST(sum(bad) AS BIGINT) AS n_bad, round(avg(bad), 6) AS bad_fraction, round(median(mean), 6) AS median_mean, round(median(std), 6) AS median_std FROM f GROUP BY channel""")
 def session_rollup(spark, sf_dir):
-    ch = _channels(spark, sf_dir).withColumn("bad_channel", (F.col("mean") > 50).cast("int"))
+    ch = _channels(spark, sf_dir).withColumn("bad_channel", above(F.col("mean"), 50).cast("int"))
     return rounded(quality.session_rollup(ch, ["channel"], ["mean", "std"]))
 
 
