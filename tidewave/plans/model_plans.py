@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.selection import cut
 from ..operators import linear, response, retrieval, signal, windows
 from .base import SAMPLES, query, rounded, samples, table
 
@@ -85,25 +86,25 @@ def _series(spark, sf_dir):
 
 @query()
 def fft_resample(spark, sf_dir):
-    return signal.on_series(_series(spark, sf_dir), ["subject", "channel"], "t", "value", lambda x: signal.resample_fft(x, max(1, len(x) // 2)))
+    return signal.on_series(_series(spark, sf_dir), ["subject", "channel"], "t", "value", lambda x: signal.resample_fft(x, max(1, len(x) // 2)), stacked=True)
 
 
 @query()
 def poly_resample(spark, sf_dir):
-    return signal.on_series(_series(spark, sf_dir), ["subject", "channel"], "t", "value", lambda x: signal.resample_poly(x, 64, 125))
+    return signal.on_series(_series(spark, sf_dir), ["subject", "channel"], "t", "value", lambda x: signal.resample_poly(x, 64, 125), stacked=True)
 
 
 @query()
 def lowpass(spark, sf_dir):
     """Zero-phase eighth-order low-pass."""
     sos = signal.butter_sos(8, 0.4)
-    return signal.on_series(_series(spark, sf_dir), ["subject", "channel"], "t", "value", lambda x: signal.filtfilt(sos, x))
+    return signal.on_series(_series(spark, sf_dir), ["subject", "channel"], "t", "value", lambda x: signal.filtfilt(sos, x), stacked=True)
 
 
 @query()
 def log_mel_frames(spark, sf_dir):
     """Mean log-mel energy of each series read as a waveform."""
-    return signal.on_series(_series(spark, sf_dir), ["subject", "channel"], "t", "value", lambda x: signal.log_mel(x, max(1, len(x) // 160 + 1)).mean(1))
+    return signal.on_series(_series(spark, sf_dir), ["subject", "channel"], "t", "value", lambda x: signal.log_mel(x.T, max(1, len(x) // 160 + 1)).mean(-1).T, stacked=True)
 
 
 def _psd(spark, sf_dir):
@@ -118,7 +119,7 @@ def welch_psd(spark, sf_dir):
 @query()
 def spectral_measures(spark, sf_dir):
     """Band means, band power, spectral slope and line noise per channel, in SQL over the spectra."""
-    psd = _psd(spark, sf_dir).groupBy("channel", "frequency").agg(F.avg("power").alias("power"))
+    psd = cut(_psd(spark, sf_dir).groupBy("channel", "frequency").agg(F.avg("power").alias("power")), "spectra")  # small, and read four times
     out = signal.band_means(psd, ["channel"]).join(signal.band_power(psd, ["channel"], 1.0, 40.0, "broadband"), "channel")
     return out.join(psd.groupBy("channel").agg(signal.spectral_slope().alias("slope"), signal.line_noise_db((28.0, 32.0), ((22.0, 26.0), (34.0, 38.0))).alias("line_db")), "channel")
 
