@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from hashlib import blake2b
 from itertools import combinations, repeat
 
 import numpy as np
@@ -356,6 +357,49 @@ def _followers(members: DataFrame, similarity: float, ahead: int) -> DataFrame:
     return ordered.mapInPandas(follow, f"a {kind}, a_th long, b {kind}, b_th long").distinct()
 
 
+def _met_pairs(members: DataFrame, similarity: float, block: int = 256) -> DataFrame:
+    """members (node, th, bands, group, hashes) -> pairs a, a_th, b, b_th of different groups, one for any two groups that met in a task and are similar.
+
+    All members of a band's key meet each other, in blocks dealt over tasks: memory is bounded by two blocks, work is
+    quadratic in what the earlier steps left apart. Two members are judged in the first band they share.
+    """
+    each = members.select("node", "th", "group", "bands", F.posexplode("bands").alias("band", "key"))
+    keys = each.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("band", "key", F.ceil(F.col("n") / block).alias("blocks"))
+    own = F.pmod(F.xxhash64("node", "th"), F.col("blocks"))
+    dealt = each.join(keys, ["band", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).select("band", "key", "p", "q", "own", "node", "th")
+    dealt = dealt.join(members.select("node", "th", "group", "bands", "hashes"), ["node", "th"])
+    kind = members.schema["node"].dataType.simpleString()
+
+    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own, group, node, th = (pdf[c].to_numpy() for c in ("own", "group", "node", "th"))
+        left, right = np.flatnonzero(own == key[2]), np.flatnonzero(own == key[3])
+        bands = np.stack(pdf["bands"].to_numpy())
+        sets = [np.frombuffer(h, np.uint64) for h in pdf["hashes"]]
+        size = np.array([len(x) for x in sets])
+        _, word, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        text = np.repeat(np.arange(len(sets)), size)[count[word] > 1]  # a shingle of one text is shared with none
+        word = np.unique(word[count[word] > 1], return_inverse=True)[1]
+        order = np.argsort(word, kind="stable")
+        word, text = word[order], text[order]
+        shared = np.zeros((len(left), len(right)), np.float64)
+        for a in range(0, int(word[-1]) + 1 if len(word) else 0, 4096):
+            i, j = np.searchsorted(word, (a, a + 4096))
+            has = np.zeros((len(sets), 4096), np.float32)
+            has[text[i:j], word[i:j] - a] = 1
+            shared += has[left] @ has[right].T
+        either = size[left][:, None] + size[right] - shared
+        ok = (shared >= (similarity - 1e-9) * either) & (group[left][:, None] != group[right])
+        x, y = np.nonzero(ok)
+        x, y = left[x], right[y]
+        first = (bands[x] == bands[y]).argmax(1) == key[0] if len(x) else np.zeros(0, bool)
+        x, y = x[first], y[first]
+        found = pd.DataFrame({"a": node[x], "a_th": th[x], "b": node[y], "b_th": th[y], "l": np.minimum(group[x], group[y]), "h": np.maximum(group[x], group[y])})
+        return found.drop_duplicates(["l", "h"])[["a", "a_th", "b", "b_th"]]
+
+    return dealt.groupBy("band", "key", "p", "q").applyInPandas(meet, f"a {kind}, a_th long, b {kind}, b_th long").distinct()
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_differing: int = 10, steps: tuple[int, ...] = (2, 4, 6, 8), seed: int = 42, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Groups by similarity of shingle sets (Jaccard), with fingerprints and MinHash bands as the indexes: id_col, component_id.
 
@@ -363,8 +407,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
     by the shortest links that connect them; nodes that share a band to the smallest that has it. Bands see sets, so they also
     find pairs whose fingerprints lie far apart. Each link's similarity is then computed from whole texts, and those below the
     threshold are cut. Nodes whose bands still hold several groups are then sorted band by band, and each is tested with those
-    that follow it in that order (_followers). All steps make a bounded number of pairs a node, however large a family of
-    texts is; how many similar pairs end in one group is measured in the tests and the README. Rows of one id are one document.
+    that follow it in that order (_followers), which joins most of a large family with few pairs. What still lies in several groups of
+    a band is compared with all the others there (_met_pairs), so every similar pair that shares a band ends in one group. Rows of one id are one document.
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
@@ -406,6 +450,16 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
     open_ = banded.join(mixed, ["band", "key"], "left_semi").select("node", "th").distinct()
     members = cut(named.join(open_, ["node", "th"], "left_semi").select("node", "th", "bands", "least", "group"), "open-members")
     more = similar(_followers(members, similarity, AHEAD))
-    roots = cut(components(spark, good.unionByName(more)), "roots")
+    good = cut(good.unionByName(more), "similar")
+    roots = cut(components(spark, good), "roots")
+    left = members.drop("group", "least").join(roots, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
+
+    @F.pandas_udf("binary")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([b"".join(sorted(blake2b(x, digest_size=8).digest() for x in shingles(t, shingle))) for t in texts])
+
+    kept = left.join(plain.select(F.col("id").alias("node"), "th", "t").dropDuplicates(["node", "th"]), ["node", "th"]).withColumn("hashes", hashes("t")).drop("t")
+    rest = similar(_met_pairs(cut(kept, "open-members"), similarity))
+    roots = cut(components(spark, good.unionByName(rest)), "roots")
     named = nodes.join(roots, "node", "left").select("fp", "th", F.coalesce("root", "node").alias("component_id"))
     return marked.select("id", "fp", "th").join(named, ["fp", "th"]).select(F.col("id").alias(id_col), "component_id")
