@@ -113,7 +113,7 @@ def cross_products(responses: DataFrame, chunks: DataFrame, by: list[str], story
             for r in pdf.itertuples(index=False):
                 at = r.chunk * size
                 i = np.asarray(r.i)
-                ys = np.stack(r.y)[i < r.n]  # samples behind the last valid one are left out
+                ys = np.asarray(r.y).reshape(len(i), -1)[i < r.n]  # samples behind the last valid one are left out
                 i = i[i < r.n] - at
                 if not np.isfinite(ys).all():
                     raise ValueError("responses that aren't finite")
@@ -132,7 +132,7 @@ def cross_products(responses: DataFrame, chunks: DataFrame, by: list[str], story
     def out(held: dict) -> pd.DataFrame:
         return pd.DataFrame([(*k, seen, sy.tolist(), syy.tolist(), xy.ravel().tolist()) for k, (seen, sy, syy, xy) in held.items()], columns=[*keys, "seen", "sy", "syy", "xy"])
 
-    parts = met.select(*keys, "chunk", "n", "shift", "x", F.transform("_s", lambda s: s["_i"]).alias("i"), F.transform("_s", lambda s: s["_y"]).alias("y")).mapInPandas(reduce_, schema)
+    parts = met.select(*keys, "chunk", "n", "shift", "x", F.transform("_s", lambda s: s["_i"]).alias("i"), F.flatten(F.transform("_s", lambda s: s["_y"])).alias("y")).mapInPandas(reduce_, schema)
     return added(parts, keys)
 
 
