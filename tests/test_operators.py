@@ -243,6 +243,27 @@ def test_best_pair_is_the_brute_force_one(spark):
             assert g not in got
 
 
+def test_best_pair_in_any_order_with_ties_and_missing_times(spark):
+    rng = np.random.default_rng(6)
+    m = [(g, i, None if g % 4 == 3 and rng.random() < 0.3 else float(x)) for g in range(16) for i, x in enumerate(rng.integers(0, 30, rng.integers(9, 40)))]
+    m += [(None, 0, 1.0), (None, 1, 2.0), (99, 0, 1.0), (98, 0, None), (98, 1, 4.0), (98, 2, None), (97, 0, None), (97, 1, 4.0), (96, 0, 4.0), (96, 1, None), (95, 0, None), (95, 1, None)]
+    lone = {98: (4.0, 4.0, None), 97: (None, 4.0, None), 96: (4.0, None, None), 95: (None, None, None)}
+    for expected in (9.5, 0.0, -3.0):
+        want = dict(lone)
+        for g in range(16):
+            v = [(i, x) for h, i, x in m if h == g and x is not None]
+            e, i, j, a, b = min((abs(y - (x + expected)), i, j, x, y) for i, x in v for j, y in v if i < j)
+            want[g] = (a, b, e)
+        got = intervals.best_pair(spark.createDataFrame(m, "g int, i int, x double").repartition(3), ["g"], ["i"], "x", F.lit(expected)).collect()
+        assert {r["g"]: (r["start"], r["stop"], r["error"]) for r in got} == want
+
+
+def test_best_pair_shuffles_and_sorts_its_marks_once(spark):
+    m = spark.range(100).selectExpr("id % 3 AS g", "id AS i", "cast(id AS double) AS x")
+    plan = intervals.best_pair(m, ["g"], ["i"], "x", F.lit(5.0))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("+- Sort [") == 2  # each sort holds its task's marks
+
+
 def test_adjacent_pairs_and_latest_marks(spark):
     m = spark.createDataFrame([("a", 1, 0.0), ("a", 2, 10.0), ("a", 3, 200.0), ("a", 4, 500.0), ("b", 1, 0.0)], "k string, n int, at double")
     assert rows(intervals.adjacent_pairs(m, ["k"], ["n"], "at", 150)) == [("a", 200.0, 500.0, 2)]

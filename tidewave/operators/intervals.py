@@ -92,21 +92,47 @@ def adjacent_pairs(marks: DataFrame, by: list[str], order: list[str], at: str, l
 
 
 def best_pair(marks: DataFrame, by: list[str], order: list[str], at: str, expected: Column) -> DataFrame:
-    """Of all pairs i < j of a key, the one whose gap is nearest to `expected`; ties go to the smallest (i, j).
-
-    For one i the best j lies next to at + expected, so each mark looks up its two neighbours there in the
-    key's sorted list: n log n, not all pairs. A key's marks are one list; a key is one recording's event type.
+    """Of all pairs i < j of a key, the one whose gap is nearest to `expected` (one value a key); ties go to the smallest (i, j).
+
+    `at` may fall along `order`: a key's marks are cut into runs in which it doesn't, and spans of runs are halved again and again, so that
+    each pair is within one run or between two halves (marks in time order are one run, and listed twice). In each, goals (at + expected)
+    and marks are sorted together: the nearest goal and mark are neighbours, and of equal ones the smallest i and j count. Only where times
+    repeat or goals lie behind may it be the next mark of the run. One shuffle, two sorts, no pairs: n log(runs) rows.
+    Missing times and keys pair with nothing. As with SQL's min_by, a key of several marks with one time known still has a row without an
+    error: that time is its start unless it is the last mark's, and its stop unless it is the first one's.
+    The shuffle keeps spark.sql.shuffle.partitions: each mark takes several times its shuffled bytes in the sorts, which AQE wouldn't see.
     """
     w = Window.partitionBy(*by).orderBy(*order)
-    rows = marks.withColumn("_i", F.row_number().over(w)).withColumn("_goal", F.col(at) + expected)
-    targets = rows.select(*by, F.col("_i").alias("_j"), F.col(at).alias("_aj"))
-    seek = rows.select(*by, F.col("_i"), F.col(at).alias("_ai"), F.col("_goal"))
-    low = latest_before(seek, targets, by, "_goal", "_aj", ["_j", "_aj"])
-    after = latest_before(seek.withColumn("_ng", -F.col("_goal")), targets.withColumn("_na", -F.col("_aj")), by, "_ng", "_na", ["_j", "_aj"]).drop("_ng")
-    least = seek.select(*by, "_i", "_ai", "_goal").join(targets.withColumn("_i", F.col("_j") - 1), [*by, "_i"])  # the next mark, where all goals lie before i
-    found = low.unionByName(after).unionByName(least).where("_j > _i").withColumn("_error", F.abs(F.col("_aj") - F.col("_goal")))
-    best = found.groupBy(*by).agg(F.min(F.struct("_error", "_i", "_j", "_ai", "_aj")).alias("_m"))
-    return best.select(*by, F.col("_m._ai").alias("start"), F.col("_m._aj").alias("stop"), F.col("_m._error").alias("error"))
+    until, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = marks.dropna(subset=by).withColumns({"_at": F.col(at), "_goal": F.col(at) + expected}).select(*by, *[c for c in order if c not in by], "_at", "_goal")
+    rows = rows.repartition(int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+    last = F.last(F.when(F.col("_at").isNotNull(), F.struct("_at", "_goal")), ignorenulls=True)
+    rows = rows.withColumns({"_no": F.row_number().over(w), "_i": F.count("_at").over(until), "_first": F.first("_at").over(until), "_last": last.over(before)})
+    rows = rows.withColumn("_run", F.sum(F.when(F.col("_at") < F.col("_last._at"), 1).otherwise(0)).over(until))
+    rows = rows.withColumn("_halvings", F.max(F.when(F.col("_run") > 0, F.length(F.bin("_run"))).otherwise(0)).over(Window.partitionBy(*by)))
+
+    def pair(i: Column, ai: Column, goal: Column, j: Column, aj: Column) -> Column:
+        error = F.abs(aj - goal)
+        return F.struct(error.isNull().alias("none"), error.alias("error"), i.cast("long").alias("i"), j.cast("long").alias("j"), ai.alias("ai"), aj.alias("aj"))
+
+    known = (F.col("_at") - F.col("_last._goal")).isNotNull()
+    lone = pair(-F.col("_no"), F.col("_last._at"), F.lit(None).cast("double"), F.col("_no"), F.coalesce("_at", F.when(F.col("_first").isNull(), F.col("_last._at"))))  # the key's last mark has the least
+    follows = F.when(known & ((F.col("_at") == F.col("_last._at")) | (F.col("_last._goal") <= F.col("_last._at"))), pair(F.col("_i") - 1, F.col("_last._at"), F.col("_last._goal"), F.col("_i"), F.col("_at")))
+    follows = follows.when(~known & (F.col("_no") > 1), lone)
+    # _k 0 and 1: goals and marks of a run (_level 0); above, goals of the even and marks of the odd one of two neighbouring spans of 2 ** (_level - 1) runs
+    listed = rows.withColumn("_follows", follows).withColumn("_k", F.explode(F.expr("sequence(0, 1 + _halvings)"))).withColumn("_level", F.greatest(F.col("_k") - 1, F.lit(0)))
+    seeks = F.expr("_k = 0 OR _k > 1 AND shiftright(_run, _level - 1) % 2 = 0")
+    listed = listed.select(*by, "_level", F.expr("shiftright(_run, _level)").alias("_span"), F.when(seeks, F.col("_goal")).otherwise(F.col("_at")).alias("_pos"), F.when(seeks, F.col("_at")).alias("_ai"), "_i", F.when(F.col("_k") == 0, F.col("_follows")).alias("_follows"))
+    listed = listed.where("_pos IS NOT NULL OR _follows IS NOT NULL")
+    so_far = Window.partitionBy(*by, "_level", "_span").orderBy("_pos", F.col("_ai").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    listed = listed.withColumns({  # the greatest place so far, with its smallest i or j
+        "_s": F.min(F.expr("CASE WHEN _pos IS NOT NULL AND _ai IS NOT NULL THEN struct(-_pos AS at, _i AS i, _ai AS ai) END")).over(so_far),
+        "_t": F.min(F.expr("CASE WHEN _pos IS NOT NULL AND _ai IS NULL THEN struct(-_pos AS at, _i AS j) END")).over(so_far),
+    })
+    above = F.when(F.expr("_ai IS NULL AND _i > _s.i"), pair(F.col("_s.i"), F.col("_s.ai"), -F.col("_s.at"), F.col("_i"), F.col("_pos")))
+    below = F.when(F.expr("_ai IS NOT NULL AND _t.j > _i"), pair(F.col("_i"), F.col("_ai"), F.col("_pos"), F.col("_t.j"), -F.col("_t.at")))
+    best = listed.groupBy(*by).agg(F.min(F.array_min(F.array(above, below, "_follows"))).alias("_m")).where("_m IS NOT NULL")
+    return best.select(*by, F.col("_m.ai").alias("start"), F.col("_m.aj").alias("stop"), F.col("_m.error").alias("error"))
 
 
 def words_of_tokens(tokens: DataFrame, words: DataFrame, by: list[str], start: str, end: str, word_start: str, word_end: str, values: list[str]) -> DataFrame:
